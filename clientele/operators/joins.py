@@ -35,13 +35,14 @@ def attach(lines: DataFrame, features: DataFrame, key: str, how: str = "left",
     gives the right partner, because all of them exist on the feature side.
     """
     hot = heavy_keys(lines, key, share)
-    total = sum(hot.values())
     if not hot:
         return lines.join(features, key, how)
-    salts = max(2, min(1000, math.ceil(max(hot.values()) / total * len(hot) / share / 10)))
+    salts = min(1000, max(2, math.ceil(max(hot.values()) / min(hot.values())) * 2))
     is_hot = F.col(key).isin(list(hot))
-    # Row content decides the salt, so a recomputed task sends every row to the same place.
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in lines.columns]), F.lit(salts))
+    # Content and input partition decide the salt: equal rows of different partitions spread too,
+    # and a recomputed task sends every row to the same place as before.
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in lines.columns])
+                    + F.spark_partition_id(), F.lit(salts))
     left = lines.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)).cast("long"))
     right = features.withColumn("_salt", F.explode(F.when(
         is_hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
