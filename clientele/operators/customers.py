@@ -40,7 +40,7 @@ def customer_totals(lines: DataFrame) -> DataFrame:
     """
     return (lines.where(F.col("customer_id").isNotNull())
             .groupBy("customer_id")
-            .agg(F.countDistinct("order_id").alias("orders"),
+            .agg(F.count("*").alias("n_lines"), F.countDistinct("order_id").alias("orders"),
                  F.coalesce(F.sum("value"), F.lit(0)).cast("double").alias("spend"),
                  F.coalesce(F.sum("quantity"), F.lit(0)).cast("double").alias("units"),
                  F.min("order_ts").alias("first_ts"), F.max("order_ts").alias("last_ts")))
@@ -167,7 +167,10 @@ def churn_label(limits: dict[str, float] = CHURN_LIMITS) -> Column:
 
 def customer_features(lines: DataFrame, as_of: datetime | None = None,
                       duplicates: str = "raise") -> DataFrame:
-    """RFM, descriptive lifetime value and tenure of every customer, from one aggregation."""
+    """RFM, descriptive lifetime value and tenure of every customer, from one aggregation.
+
+    ``n_lines`` counts the customer's order lines, for joining the features back to them.
+    """
     totals = customer_totals(lines).persist()
     when = as_of_column(totals, as_of)
     company = totals.agg(F.count("*").alias("n"),
@@ -182,7 +185,7 @@ def customer_features(lines: DataFrame, as_of: datetime | None = None,
         safe_ratio("spend", "orders").alias("avg_order_value"),
         safe_ratio("orders", n).alias("purchase_frequency"),
         (F.col("spend") * F.lit(PROFIT_MARGIN)).alias("profit_margin"),
-        day_diff(when, F.col("first_ts")).alias("tenure"),
+        day_diff(when, F.col("first_ts")).alias("tenure"), "n_lines",
     ).withColumn("customer_value", safe_ratio(
         F.col("avg_order_value") * F.col("purchase_frequency"), churn_rate)
     ).withColumn("cltv", F.col("customer_value") * F.col("profit_margin"))
@@ -193,7 +196,7 @@ def churn_lines(lines: DataFrame, limits: dict[str, float] = CHURN_LIMITS,
                 as_of: datetime | None = None) -> DataFrame:
     """Order lines with all customer features and the churn label."""
     features = customer_features(lines, as_of).withColumn("churn", churn_label(limits))
-    return attach(lines, features, "customer_id")
+    return attach(lines, features, "customer_id", rows="n_lines")
 
 
 def churn_shares(lines: DataFrame) -> DataFrame:

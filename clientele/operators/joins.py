@@ -26,18 +26,34 @@ def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> dict[object
             if t["item"] is not None and t["count"] > share * row["n"]}
 
 
+def heavy_keys_by_count(features: DataFrame, key: str, rows: str,
+                        share: float = HOT_SHARE) -> dict[object, int]:
+    """As ``heavy_keys``, from a row count that the (cached) feature rows already carry."""
+    whole = features.agg(F.sum(rows).alias("n"), F.max(rows).alias("top")).first()
+    if not whole["n"] or whole["top"] <= share * whole["n"]:
+        return {}
+    frequent = features.where(F.col(rows) > F.lit(share * whole["n"]))
+    return {r[0]: r[1] for r in frequent.select(key, rows).collect()}
+
+
 def attach(lines: DataFrame, features: DataFrame, key: str, how: str = "left",
-           share: float = HOT_SHARE) -> DataFrame:
+           share: float = HOT_SHARE, rows: str | None = None) -> DataFrame:
     """Join features (one row per key) to lines; a key that is very frequent is salted.
 
     The rows of a frequent key are spread over several salts and its one feature row is copied to
     each of them, so the join is one ordinary equi-join whose largest task is bounded. Any salt
-    gives the right partner, because all of them exist on the feature side.
+    gives the right partner, because all of them exist on the feature side. ``rows`` names a
+    feature column with the key's number of lines (used up here); without it a sketch over the
+    lines finds the frequent keys.
     """
-    hot = heavy_keys(lines, key, share)
+    if rows:
+        hot = heavy_keys_by_count(features, key, rows, share)
+        features = features.drop(rows)
+    else:
+        hot = heavy_keys(lines, key, share)
     if not hot:
         return lines.join(features, key, how)
-    salts = min(1000, max(2, math.ceil(max(hot.values()) / min(hot.values())) * 2))
+    salts = min(1000, max(2, math.ceil(2 * max(hot.values()) / min(hot.values()))))
     is_hot = F.col(key).isin(list(hot))
     # Content and input partition decide the salt: equal rows of different partitions spread too,
     # and a recomputed task sends every row to the same place as before.
@@ -55,11 +71,14 @@ def drop_matching(df: DataFrame, part: DataFrame, key: str) -> DataFrame:
     return df.join(part.select(key).distinct(), key, "left_anti")
 
 
-def update_matching(df: DataFrame, keys: DataFrame, key: str, target: str,
-                    value: Column) -> DataFrame:
-    """Set ``target`` to ``value`` on every row whose key occurs in ``keys``."""
+def update_matching(df: DataFrame, keys: DataFrame, key: str, target: str, value: Column,
+                    unique: bool = False) -> DataFrame:
+    """Set ``target`` to ``value`` on every row whose key occurs in ``keys``.
+
+    ``unique`` says that no key has many rows in ``df``, which saves looking for frequent ones.
+    """
     marks = keys.select(key).distinct().withColumn("_hit", F.lit(True))
-    out = attach(df, marks, key)
+    out = df.join(marks, key, "left") if unique else attach(df, marks, key)
     return out.withColumn(target, F.when(F.col("_hit"), value).otherwise(F.col(target))).drop("_hit")
 
 

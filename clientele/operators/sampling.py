@@ -8,10 +8,11 @@ and no large limit.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clientele.operators.joins import update_matching
+from clientele.operators.joins import attach, update_matching
 from clientele.operators.order_stats import TASK_ROWS, select_positions
 
 SPLIT_STEPS = 1_000_000
@@ -60,21 +61,34 @@ def undersample(df: DataFrame, label: str, n: int | None = None, frac: float | N
     return sample_exact(large, n, frac, seed, key).unionByName(rest)
 
 
-def label_noise(lines: DataFrame, day_from: int, keep: float, day_to: int | None = None,
-                seed: int = 10, customer: str = "customer_id", label: str = "churn",
+def label_noise(lines: DataFrame, rounds: Sequence[tuple[int, float, int | None]], seed: int = 10,
+                customer: str = "customer_id", label: str = "churn",
                 recency: str = "recency") -> DataFrame:
-    """Turn some quiet customers into churners.
+    """Turn some quiet customers into churners, in rounds of (day_from, keep, day_to).
 
-    Candidates are customers with lines in the recency range none of which is labelled 1. A share
-    ``keep`` of them stays; the label of every line of the others becomes 1.
+    Candidates of a round are customers with lines in its recency range none of which is labelled
+    1. A share ``keep`` of them stays; the label of every line of the others becomes 1. The rounds
+    run on one row per (customer, recency); the lines are read once before and joined once after.
     """
-    chosen = lines.where((F.col(recency) >= day_from)
-                         & (F.lit(True) if day_to is None else F.col(recency) < day_to))
-    quiet = (chosen.groupBy(customer).agg(F.max(label).alias("_label"))
-             .where("_label = 0").select(customer).persist())
-    flipped = quiet.count() - round(keep * quiet.count())
-    turned = sample_exact(quiet, n=flipped, seed=seed)
-    return update_matching(lines, turned, customer, label, F.lit(1).cast(lines.schema[label].dataType))
+    one = F.lit(1).cast(lines.schema[label].dataType)
+    state = (lines.where(F.col(customer).isNotNull()).groupBy(customer, recency)
+             .agg(F.max(label).alias(label), F.count("*").alias("_rows")).persist())
+    turned = []
+    current = state
+    for day_from, keep, day_to in rounds:
+        in_range = F.col(recency) >= day_from
+        if day_to is not None:
+            in_range = in_range & (F.col(recency) < day_to)
+        quiet = (current.where(in_range).groupBy(customer).agg(F.max(label).alias("_label"))
+                 .where("_label = 0").select(customer).persist())
+        n = quiet.count()
+        turned.append(sample_exact(quiet, n=n - round(keep * n), seed=seed))
+        current = update_matching(current, turned[-1], customer, label, one, unique=True)
+    picked = reduce(DataFrame.unionByName, turned).distinct().withColumn("_hit", F.lit(True))
+    marks = (state.groupBy(customer).agg(F.sum("_rows").alias("_rows"))
+             .join(picked, customer, "left").select(customer, "_rows", "_hit"))
+    return (attach(lines, marks, customer, rows="_rows")
+            .withColumn(label, F.when(F.col("_hit"), one).otherwise(F.col(label))).drop("_hit"))
 
 
 def hash_split(df: DataFrame, test_size: float = 0.3, seed: int = 10,

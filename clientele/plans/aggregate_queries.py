@@ -115,8 +115,7 @@ def conditional_share(spark, sf):
 
 
 @query("quantiles", """
-with p as (select unnest([0, .05, .5, .95, .99, 1]) as p)
-select p::double as p, round(l_price, 6) as extendedprice, round(l_qty, 6) as quantity from (
+select p as p, round(l_price, 6) as extendedprice, round(l_qty, 6) as quantity from (
   select unnest([0, .05, .5, .95, .99, 1])::double as p,
     unnest(quantile_cont(l_extendedprice::double, [0, .05, .5, .95, .99, 1])) as l_price,
     unnest(quantile_cont(l_quantity::double, [0, .05, .5, .95, .99, 1])) as l_qty from lineitem)""")

@@ -121,7 +121,7 @@ from joined cross join lim""")
 def churn_label_from_data(spark, sf):
     lines = order_lines(spark, sf)
     featured = attach(lines.select("customer_id", "order_id", "line_number"),
-                      customers.customer_features(lines), "customer_id")
+                      customers.customer_features(lines), "customer_id", rows="n_lines")
     limits = customers.churn_limits_from(featured)
     return featured.select("customer_id", "order_id", "line_number",
                            customers.churn_label(limits).alias("churn"))

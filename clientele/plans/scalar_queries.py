@@ -39,11 +39,11 @@ def line_total(spark, sf):
 
 
 @query("safe_ratio", with_(CAMPAIGN) + """
-select day, type, round(earning / nullif(purchase, 0), 6) as earning_per_purchase,
+select day::varchar as day, type, round(earning / nullif(purchase, 0), 6) as earning_per_purchase,
        round(click / nullif(impression, 0), 6) as click_rate from campaign""")
 def safe_ratio(spark, sf):
     return campaign(spark, sf).select(
-        "day", "type", F.round(S.safe_ratio("earning", "purchase"), 6).alias("earning_per_purchase"),
+        F.col("day").cast("string").alias("day"), "type", F.round(S.safe_ratio("earning", "purchase"), 6).alias("earning_per_purchase"),
         F.round(S.safe_ratio("click", "impression"), 6).alias("click_rate"))
 
 
