@@ -32,7 +32,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Run], Run]:
 def all_queries() -> dict[str, Query]:
     # Importing the sections registers their queries.
     from clientele.plans import (  # noqa: F401
-        aggregate_queries, customer_queries, feature_queries, lifetime_queries, profile_queries,
+        ab_queries, aggregate_queries, customer_queries, feature_queries, lifetime_queries,
+        profile_queries,
         scalar_queries,
         source_queries)
     return QUERIES
