@@ -33,7 +33,7 @@ def all_queries() -> dict[str, Query]:
     # Importing the sections registers their queries.
     from clientele.plans import (  # noqa: F401
         ab_queries, aggregate_queries, customer_queries, feature_queries, lifetime_queries,
-        profile_queries,
+        model_queries, profile_queries,
         scalar_queries,
         source_queries)
     return QUERIES
