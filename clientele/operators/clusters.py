@@ -10,16 +10,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from clientele.operators.features import minmax_scale
+from clientele.session import stage
 
 METRICS = ("recency", "frequency", "monetary")
 
 
 def scaled_features(rfm: DataFrame, columns: Sequence[str] = METRICS) -> DataFrame:
-    """The columns scaled to 0…1 as one vector, kept in the cache for the iterations."""
-    scaled = minmax_scale(rfm, columns, suffix="_scaled")
+    """The columns scaled to 0…1 as one vector; a stage, because every iteration reads it."""
+    scaled = minmax_scale(stage(rfm, "rfm"), columns, suffix="_scaled")
     names = [f"{c}_scaled" for c in columns]
-    return (VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
-            .drop(*names).persist())
+    return stage(VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
+                 .drop(*names), "clusters")
 
 
 def kmeans(data: DataFrame, k: int = 4, starts: int = 10, max_iter: int = 300, seed: int = 10):

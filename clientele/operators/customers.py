@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clientele.functions.scalars import as_of_literal, day_diff, safe_ratio, score_text, shift_days
 from clientele.operators import order_stats
 from clientele.operators.joins import attach
+from clientele.session import stage
 
 # Recency scores, frequency scores and the name of the segment they make.
 RFM_SEGMENTS = (
@@ -68,9 +69,9 @@ def rfm_scores(rfm: DataFrame, duplicates: str = "raise",
                task_rows: int = order_stats.TASK_ROWS) -> DataFrame:
     """Scores 1–5: low recency is 5, frequency by ordinal rank, monetary by value.
 
-    ``rfm`` is read several times (edges, then scores), so it is kept in the cache.
+    ``rfm`` is read several times (edges, then scores), so it becomes a stage.
     """
-    rfm = rfm.persist()
+    rfm = stage(rfm, "rfm")
     edges = order_stats.quantile_edges(
         rfm, {"recency": ("recency", 5), "monetary": ("monetary", 5)}, duplicates, task_rows)
     cuts = order_stats.rank_cuts(rfm, "frequency", "customer_id", 5, task_rows)
@@ -171,7 +172,7 @@ def customer_features(lines: DataFrame, as_of: datetime | None = None,
 
     ``n_lines`` counts the customer's order lines, for joining the features back to them.
     """
-    totals = customer_totals(lines).persist()
+    totals = stage(customer_totals(lines), "totals")
     when = as_of_column(totals, as_of)
     company = totals.agg(F.count("*").alias("n"),
                          F.count_if(F.col("orders") > 1).alias("repeaters")).first()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clientele.operators.joins import attach
 from clientele.operators.order_stats import bin_of, exact_quantiles, label_of, quantile_edges
+from clientele.session import stage
 
 MAX_LEVELS = 200
 # Labels of the place segments, lowest sales first.
@@ -63,8 +64,8 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], suffix: str = "") -> Dat
 def city_segments(lines: DataFrame, city: str = "city", value: str = "value",
                   labels: Sequence[str] = CITY_LABELS) -> DataFrame:
     """Sales per place and its equal-frequency segment."""
-    sales = (lines.where(F.col(city).isNotNull()).groupBy(city)
-             .agg(F.sum(value).cast("double").alias("sales")).persist())
+    sales = stage(lines.where(F.col(city).isNotNull()).groupBy(city)
+                  .agg(F.sum(value).cast("double").alias("sales")), "sales")
     edges = quantile_edges(sales, {"sales": ("sales", len(labels))})["sales"]
     return sales.withColumn("city_segment", label_of(bin_of("sales", edges), labels))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.functions.scalars import probability_band, safe_ratio, threshold_flag
 from clientele.operators.order_stats import running_totals
+from clientele.session import stage
 
 
 def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -20,9 +21,11 @@ def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted")
 def _rates(y: Column, p: Column) -> list[Column]:
     tp, fp = F.count_if((y == 1) & (p == 1)), F.count_if((y == 0) & (p == 1))
     fn, tn = F.count_if((y == 1) & (p == 0)), F.count_if((y == 0) & (p == 0))
+    zero = F.lit(0.0)  # a rate without cases counts as 0
     return [safe_ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
-            safe_ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-            safe_ratio(tp, tp + fp).alias("precision"), safe_ratio(tp, tp + fn).alias("recall")]
+            F.coalesce(safe_ratio(2 * tp, 2 * tp + fp + fn), zero).alias("f1"),
+            F.coalesce(safe_ratio(tp, tp + fp), zero).alias("precision"),
+            F.coalesce(safe_ratio(tp, tp + fn), zero).alias("recall")]
 
 
 def class_metrics(df: DataFrame, label: str = "label", prob: str = "prob",
@@ -44,7 +47,7 @@ def auc(df: DataFrame, label: str, prob: str, fold: str, folds: Sequence) -> Dat
     for i, f in enumerate(folds):
         cells += [F.count_if((at == F.lit(f)) & (y == 1)).alias(f"p{i}"),
                   F.count_if((at == F.lit(f)) & (y == 0)).alias(f"n{i}")]
-    table = df.where(F.col(prob).isNotNull()).groupBy(F.col(prob).alias("v")).agg(*cells).persist()
+    table = stage(df.where(F.col(prob).isNotNull()).groupBy(F.col(prob).alias("v")).agg(*cells), "auc")
     ranked = running_totals(table, "v", [f"n{i}" for i in range(len(folds))])
     wins = [F.sum(F.col(f"p{i}") * (F.col(f"below_n{i}") + F.col(f"n{i}") / 2.0)) for i in range(len(folds))]
     row = ranked.agg(*[c for i, w in enumerate(wins) for c in (

@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.operators.metrics import class_metrics, soft_vote
+from clientele.session import stage
 
 Scorer = Callable[[DataFrame], DataFrame]  # adds the column "prob"
 SEED = 10
@@ -122,6 +123,8 @@ def fit_kernel_svm(train: DataFrame, components: int = 200, gamma: float | None
 
 STUMP = re.compile(r"If \(feature (\d+) <= (\S+)\)\s+Predict: (\S+)\s+Else .*\s+Predict: (\S+)")
 
+LEAF = re.compile(r"Predict: (\S+)")
+
 
 def fit_adaboost(train: DataFrame, rounds: int = 50) -> Fitted:
     """AdaBoost (SAMME) over depth-1 trees.
@@ -145,9 +148,11 @@ def fit_adaboost(train: DataFrame, rounds: int = 50) -> Fitted:
             weighted = data.withColumn("_w", F.exp(total(miss)))
             model = DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=SEED).fit(weighted)
             found = STUMP.search(model.toDebugString)
-            if not found:  # a single leaf: no split improves on the weighted majority
-                break
-            stump = (int(found[1]), float(found[2]), float(found[3]), float(found[4]))
+            if found:
+                stump = (int(found[1]), float(found[2]), float(found[3]), float(found[4]))
+            else:  # both sides vote alike: a constant, which still shifts the weights
+                leaf = float(LEAF.search(model.toDebugString)[1])
+                stump = (0, math.inf, leaf, leaf)
             wrong, whole = weighted.agg(F.sum(F.col("_w") * miss(*stump)), F.sum("_w")).first()
             error = min(max(wrong / whole, 1e-10), 1.0 - 1e-10)
             if error >= 0.5:
@@ -205,7 +210,7 @@ def cross_validate(df: DataFrame, learner: Learner, folds: Sequence[int], fold:
 def compare_models(df: DataFrame, learners: Sequence[Learner], folds: Sequence[int],
                    parallelism: int = 2) -> DataFrame:
     """(model, fold, metrics) for every learner; ``df`` has features, label and fold."""
-    df = df.persist()
+    df = stage(df, "folds")
     tables = [cross_validate(df, m, folds, parallelism=parallelism).withColumn("model", F.lit(m.name))
               for m in learners]
     return reduce(DataFrame.unionByName, tables)
@@ -214,7 +219,7 @@ def compare_models(df: DataFrame, learners: Sequence[Learner], folds: Sequence[i
 def grid_search(df: DataFrame, learner: Learner, grid: dict[str, list], folds: Sequence[int],
                 metric: str = "auc", parallelism: int = 2) -> tuple[Learner, DataFrame]:
     """The learner with the best mean metric, and the score of every combination."""
-    df = df.persist()
+    df = stage(df, "folds")
     rows = []
     for values in itertools.product(*grid.values()):
         params = dict(zip(grid, values))
@@ -230,7 +235,7 @@ def grid_search(df: DataFrame, learner: Learner, grid: dict[str, list], folds: S
 def importance_rows(df: DataFrame, learners: Sequence[Learner], names: Sequence[str],
                     folds: Sequence[int], parallelism: int = 2) -> DataFrame:
     """(model, auc, feature, importance) of tree learners fitted on all rows."""
-    df = df.persist()
+    df = stage(df, "folds")
     rows = []
     for m in learners:
         score = cross_validate(df, m, folds, parallelism=parallelism).agg(F.avg("auc")).first()[0]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.operators.joins import attach, update_matching
 from clientele.operators.order_stats import TASK_ROWS, select_positions
+from clientele.session import stage
 
 SPLIT_STEPS = 1_000_000
 
@@ -72,18 +73,20 @@ def label_noise(lines: DataFrame, rounds: Sequence[tuple[int, float, int | None]
     """
     one = F.lit(1).cast(lines.schema[label].dataType)
     state = (lines.where(F.col(customer).isNotNull()).groupBy(customer, recency)
-             .agg(F.max(label).alias(label), F.count("*").alias("_rows")).persist())
+             .agg(F.max(label).alias(label), F.count("*").alias("_rows")))
+    state = stage(state, "noise")
     turned = []
     current = state
     for day_from, keep, day_to in rounds:
         in_range = F.col(recency) >= day_from
         if day_to is not None:
             in_range = in_range & (F.col(recency) < day_to)
-        quiet = (current.where(in_range).groupBy(customer).agg(F.max(label).alias("_label"))
-                 .where("_label = 0").select(customer).persist())
+        quiet = stage(current.where(in_range).groupBy(customer).agg(F.max(label).alias("_label"))
+                      .where("_label = 0").select(customer), "quiet")
         n = quiet.count()
         turned.append(sample_exact(quiet, n=n - round(keep * n), seed=seed))
-        current = update_matching(current, turned[-1], customer, label, one, unique=True)
+        current = stage(update_matching(
+            current, turned[-1], customer, label, one, unique=True), "noise")
     picked = reduce(DataFrame.unionByName, turned).distinct().withColumn("_hit", F.lit(True))
     marks = (state.groupBy(customer).agg(F.sum("_rows").alias("_rows"))
              .join(picked, customer, "left").select(customer, "_rows", "_hit"))

@@ -8,6 +8,7 @@ from clientele.functions.scalars import safe_ratio
 from clientele.operators import abtest
 from clientele.plans.oracle import CAMPAIGN, with_
 from clientele.plans.registry import query
+from clientele.session import stage
 from clientele.sources.tables import campaign, table
 
 GROUPS = ("control", "test")
@@ -98,6 +99,6 @@ def mann_whitney(spark, sf):
 
 @query("ab_test")
 def ab_test(spark, sf):
-    daily = campaign(spark, sf).persist()
+    daily = stage(campaign(spark, sf), "campaign")
     out = abtest.ab_test(daily, "type", ["impression", "click", "purchase", "earning"], GROUPS)
     return out.unionByName(abtest.ab_test(_events(spark, sf), "type", ["value"], GROUPS))

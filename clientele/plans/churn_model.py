@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from clientele.operators import features, models, profiling, sampling
 from clientele.operators.customers import churn_lines
 from clientele.operators.metrics import score_rows
+from clientele.session import stage
 
 # Identifiers and raw texts or times never become features.
 NOT_FEATURES = ("customer_id", "order_id", "product_id", "line_number", "invoice", "order_ts",
@@ -19,8 +20,8 @@ ALWAYS_NUMERIC = ("tax_ratio",)
 def churn_frame(lines: DataFrame, noise: Sequence[tuple[int, float, int | None]] = (),
                 seed: int = 10) -> DataFrame:
     """Order lines with customer features, churn label, place segment and optional label noise."""
-    frame = features.with_city_segment(churn_lines(lines))
-    return sampling.label_noise(frame, noise, seed) if noise else frame
+    frame = stage(features.with_city_segment(churn_lines(stage(lines, "lines"))), "churn")
+    return stage(sampling.label_noise(frame, noise, seed), "noisy") if noise else frame
 
 
 def model_frame(frame: DataFrame, drop: Sequence[str] = features.LEAKING,
@@ -29,7 +30,7 @@ def model_frame(frame: DataFrame, drop: Sequence[str] = features.LEAKING,
     """Encode and scale what remains after ``drop`` and assemble it; also the feature names."""
     kept = {k: f"_keep_{k}" for k in keep}
     usable = [c for c in frame.columns if c not in (*NOT_FEATURES, *drop)]
-    base = frame.select(*usable, F.col("churn"), *[F.col(k).alias(v) for k, v in kept.items()]).persist()
+    base = frame.select(*usable, F.col("churn"), *[F.col(k).alias(v) for k, v in kept.items()])
     roles = profiling.column_roles(base.select(*usable))
     categories = [c for c in roles["categorical"] if c not in ALWAYS_NUMERIC]
     numbers = [c for c in usable if c in roles["numeric"] or c in ALWAYS_NUMERIC]
@@ -38,7 +39,7 @@ def model_frame(frame: DataFrame, drop: Sequence[str] = features.LEAKING,
     names = numbers + [c for c in scaled.columns
                        if c not in (*numbers, "churn", *kept.values(), *roles["cardinal"])]
     out = features.assemble(scaled, names, "churn", keep=list(kept.values()))
-    return out.withColumnsRenamed({v: k for k, v in kept.items()}), names
+    return stage(out.withColumnsRenamed({v: k for k, v in kept.items()}), "model"), names
 
 
 def train_and_score(data: DataFrame, learner: models.Learner, test_size: float = 0.3,
@@ -48,6 +49,6 @@ def train_and_score(data: DataFrame, learner: models.Learner, test_size: float =
     ``group`` keeps the rows of a customer on one side; without it the split is by row.
     """
     key = [group] if group else [c for c in data.columns if c != "features"]
-    marked = sampling.hash_split(data, test_size, seed, key).persist()
+    marked = sampling.hash_split(data, test_size, seed, key)
     fitted = learner(marked.where("not is_test").select("features", "label"))
-    return score_rows(fitted.score(marked)).drop("features")
+    return stage(score_rows(fitted.score(marked)).drop("features"), "scored")

@@ -9,6 +9,7 @@ from clientele.operators.joins import attach
 from clientele.operators.lifetime import PurchaseModel, SpendModel
 from clientele.plans.oracle import LINES, TOTALS, with_
 from clientele.plans.registry import query
+from clientele.session import stage
 from clientele.sources.tables import order_lines
 
 SUMMARY = """
@@ -148,8 +149,8 @@ segmented as (select scaled.*, ['D','C','B','A'][1 + len(list_filter(edges, lamb
 
 def _valued(spark, sf):
     # A value in closed form stands in for the fitted one, so the segments have an SQL check.
-    return _summary(spark, sf).withColumn(
-        "clv", lifetime.expected_profit(SPEND) * F.col("frequency")).persist()
+    return stage(_summary(spark, sf).withColumn(
+        "clv", lifetime.expected_profit(SPEND) * F.col("frequency")), "valued")
 
 
 @query("clv_segments", CLV_CTE + """
@@ -186,13 +187,13 @@ def backtest(spark, sf):
 
 @query("calibration")
 def calibration(spark, sf):
-    s = lifetime.lifetime_summary(order_lines(spark, sf), repeat_only=True, more_than=0).persist()
+    s = stage(lifetime.lifetime_summary(order_lines(spark, sf), repeat_only=True, more_than=0), "summary")
     return lifetime.calibration(s, lifetime.bgnbd_fit(s))
 
 
 @query("clv_fitted")
 def clv_fitted(spark, sf):
     """Both fits, six-month value, segments: the whole flow."""
-    s = _summary(spark, sf).persist()
-    valued = lifetime.with_clv(s, lifetime.bgnbd_fit(s), lifetime.gg_fit(s), months=6).persist()
-    return lifetime.clv_segments(valued)
+    s = stage(_summary(spark, sf), "summary")
+    valued = lifetime.with_clv(s, lifetime.bgnbd_fit(s), lifetime.gg_fit(s), months=6)
+    return lifetime.clv_segments(stage(valued, "valued"))

@@ -40,7 +40,7 @@ def _model_rows(spark, sf, noise=NOISE_ROUNDS, drop=None):
 
 def _folded(data):
     folded = sampling.stratified_folds(
-        data.persist(), "label", len(FOLDS), key=[c for c in data.columns if c != "features"])
+        data, "label", len(FOLDS), key=[c for c in data.columns if c != "features"])
     return folded.select("features", "label", "fold")
 
 
@@ -87,7 +87,6 @@ def model_compare_all_columns(spark, sf):
 @query("model_compare_undersampled")
 def model_compare_undersampled(spark, sf):
     data, _ = _model_rows(spark, sf)
-    data = data.persist()
     few = sampling.undersample(data, "label", frac=0.7832800563471853, key=[
         c for c in data.columns if c != "features"])
     return models.compare_models(_folded(few), _small("CART", "RF", "LightGBM"), FOLDS)
@@ -123,7 +122,7 @@ def voting_metrics(spark, sf):
     data, _ = _model_rows(spark, sf)
     voter = models.voting(_small("XGBoost", "LightGBM", "RF"))
     scored = churn_model.train_and_score(data, voter, group="customer_id").withColumn(
-        "side", F.col("is_test").cast("int")).persist()
+        "side", F.col("is_test").cast("int"))
     return metrics.class_metrics(scored, "label", "prob", "side", (0, 1))
 
 

@@ -13,6 +13,7 @@ from clientele.plans.oracle import LINES, METRICS, SCORES, SEGMENTS, TOTALS, wit
 from clientele.plans.registry import query
 from clientele.sources.tables import campaign, order_lines, orders_as_lines, purchases, table
 from clientele.plans.oracle import CAMPAIGN, PURCHASES
+from clientele.session import stage
 
 
 # --- projections and scalar functions ---------------------------------------------------------
@@ -311,8 +312,8 @@ select customer_id, frequency, row_number() over (order by frequency, customer_i
 from metrics""")
 def rank_first(spark, sf):
     from clientele.operators.order_stats import rank_first as ordinal_rank
-    metrics = customers.rfm_metrics(order_lines(spark, sf)).select("customer_id", "frequency").persist()
-    return ordinal_rank(metrics, "frequency", "customer_id", "frequency_rank")
+    metrics = customers.rfm_metrics(order_lines(spark, sf)).select("customer_id", "frequency")
+    return ordinal_rank(stage(metrics), "frequency", "customer_id", "frequency_rank")
 
 
 @query("qcut_labels", """
@@ -330,7 +331,8 @@ def qcut_labels(spark, sf):
 select customer_id, frequency_score from scores""")
 def qcut_rank(spark, sf):
     from clientele.operators.order_stats import rank_bin, rank_cuts
-    metrics = customers.rfm_metrics(order_lines(spark, sf)).select("customer_id", "frequency").persist()
+    metrics = customers.rfm_metrics(order_lines(spark, sf)).select("customer_id", "frequency")
+    metrics = stage(metrics)
     cuts = rank_cuts(metrics, "frequency", "customer_id", 5)
     return metrics.select("customer_id", rank_bin("frequency", "customer_id", cuts)
                           .alias("frequency_score"))

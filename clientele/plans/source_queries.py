@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from clientele.plans.oracle import CAMPAIGN, LINES, with_
 from clientele.plans.registry import query
 from clientele.sources.database import list_tables
-from clientele.sources.files import load_lines, shared_folder, write_csv
+from clientele.session import shared_folder
+from clientele.sources.files import load_lines, write_csv
 from clientele.sources.tables import campaign, order_lines, table
 from clientele.sources.workbook import read_workbooks, write_workbooks
 

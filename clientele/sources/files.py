@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clientele.functions.scalars import parse_ts
-from clientele.session import ensure_checkpoint_dir
 
 TS_PATTERN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint folder, which every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Part files with a header, timestamps with microseconds, empty text apart from NULL."""
     out = df.withColumns({
