@@ -201,7 +201,8 @@ def cross_validate(df: DataFrame, learner: Learner, folds: Sequence[int], fold:
 
     pool = ThreadPool(min(parallelism, len(folds)))
     try:
-        scored = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(one), folds))
+        scored = reduce(DataFrame.unionByName, pool.map(
+            inheritable_thread_target(df.sparkSession)(one), folds))
     finally:
         pool.close()
     return class_metrics(scored, "label", "prob", fold, folds)

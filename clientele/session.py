@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,20 @@ def build_session(master: str | None = None, partitions: int | None = None,
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the session was started from."""
+    sc = spark.sparkContext
+    name = f"{Path(__file__).parent.name}.zip"
+    if any(Path(p).name == name for p in sc.listFiles):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="clientele-zip-")) / name
+    root = Path(__file__).resolve().parents[1]
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(Path(__file__).parent.rglob("*.py")):
+            z.write(f, f.resolve().relative_to(root))
+    sc.addPyFile(str(archive))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The reliable folder for ``checkpoint()``.
 
