@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
-MICROS_PER_DAY = 86_400_000_000
 DAYS_PER_WEEK = 7
 
 # Lower bound (inclusive) and label of the churn-probability bands.
@@ -24,9 +23,14 @@ def col(c: str | Column) -> Column:
 
 
 def day_diff(later: str | Column, earlier: str | Column) -> Column:
-    """Whole elapsed 24-hour units from ``earlier`` to ``later``, rounded down (so −1 µs is −1)."""
-    micros = F.timestamp_diff("MICROSECOND", col(earlier), col(later))
-    return F.floor(micros / F.lit(MICROS_PER_DAY)).cast("long")
+    """Whole elapsed 24-hour units from ``earlier`` to ``later``, rounded down (so −1 µs is −1).
+
+    Calendar days, less one when that many days after ``earlier`` is past ``later``: this stays
+    free of the session's time zone, which converting to a point in time does not.
+    """
+    a, b = col(later), col(earlier)
+    days = F.date_diff(a.cast("date"), b.cast("date"))
+    return (days - (b + F.make_dt_interval(days) > a).cast("int")).cast("long")
 
 
 def shift_days(ts: str | Column, days: int) -> Column:
@@ -51,12 +55,14 @@ def line_total(quantity: str | Column, price: str | Column) -> Column:
     return col(quantity) * col(price)
 
 
-def parse_ts(text: str | Column, pattern: str = "yyyy-MM-dd HH:mm:ss.SSSSSS",
-             strict: bool = False) -> Column:
-    """Text to TIMESTAMP_NTZ. Unreadable text gives NULL, or an error when ``strict``."""
-    if strict:
+def parse_ts(text: str | Column, pattern: str | None = None) -> Column:
+    """Text to TIMESTAMP_NTZ: ISO text with up to six fraction digits, unreadable text to NULL.
+
+    With a ``pattern`` the text must match it; other text is an error.
+    """
+    if pattern:
         return F.to_timestamp_ntz(col(text), F.lit(pattern))
-    return F.try_to_timestamp(col(text), F.lit(pattern)).cast("timestamp_ntz")
+    return col(text).try_cast("timestamp_ntz")
 
 
 def score_text(*scores: str | Column) -> Column:

@@ -47,6 +47,15 @@ def customer_totals(lines: DataFrame) -> DataFrame:
                  F.min("order_ts").alias("first_ts"), F.max("order_ts").alias("last_ts")))
 
 
+def staged_totals(lines: DataFrame) -> DataFrame:
+    """The totals as a written table.
+
+    Every feature also needs a number over all customers (last order, their count). A subquery
+    for it would run the whole join and aggregation over the lines a second time.
+    """
+    return stage(customer_totals(lines), "totals")
+
+
 def as_of_column(totals: DataFrame, as_of: datetime | None) -> Column:
     """The analysis time: as given, or one day after the last order (a scalar subquery)."""
     if as_of is not None:
@@ -57,7 +66,7 @@ def as_of_column(totals: DataFrame, as_of: datetime | None) -> Column:
 def rfm_metrics(lines: DataFrame, as_of: datetime | None = None,
                 positive_only: bool = False) -> DataFrame:
     """Recency in days, number of distinct orders, and spend per customer."""
-    totals = customer_totals(lines)
+    totals = staged_totals(lines)
     out = totals.select(
         "customer_id",
         day_diff(as_of_column(totals, as_of), F.col("last_ts")).alias("recency"),
@@ -66,15 +75,22 @@ def rfm_metrics(lines: DataFrame, as_of: datetime | None = None,
 
 
 def rfm_scores(rfm: DataFrame, duplicates: str = "raise",
-               task_rows: int = order_stats.TASK_ROWS) -> DataFrame:
+               task_rows: int = order_stats.SELECT_ROWS) -> DataFrame:
     """Scores 1–5: low recency is 5, frequency by ordinal rank, monetary by value.
 
-    ``rfm`` is read several times (edges, then scores), so it becomes a stage.
+    ``rfm`` is read several times (edges, then scores); ``rfm_metrics`` gives a table made for it.
     """
-    rfm = stage(rfm, "rfm")
-    edges = order_stats.quantile_edges(
-        rfm, {"recency": ("recency", 5), "monetary": ("monetary", 5)}, duplicates, task_rows)
-    cuts = order_stats.rank_cuts(rfm, "frequency", "customer_id", 5, task_rows)
+    probs = order_stats.edge_probs(5)
+    positions = {"recency": lambda n: order_stats.quantile_positions(n, probs),
+                 "monetary": lambda n: order_stats.quantile_positions(n, probs),
+                 "frequency": lambda n: order_stats.cut_positions(n, 5)}
+    n, found = order_stats.select_positions(
+        rfm, {c: c for c in positions}, lambda name, size: positions[name](size), task_rows)
+    edges = {c: order_stats.unique_edges(
+        c, order_stats.quantiles_at(n[c], found[c], probs), duplicates)
+        for c in ("recency", "monetary")}
+    cuts = order_stats.rank_cuts(rfm, "frequency", "customer_id", 5, task_rows,
+                                 selected=(n["frequency"], found["frequency"]))
     return rfm.select(
         "*",
         (F.lit(6) - order_stats.bin_of("recency", edges["recency"])).alias("recency_score"),
@@ -120,7 +136,7 @@ def segment_members(scored: DataFrame, name: str) -> DataFrame:
 
 def descriptive_cltv(lines: DataFrame, margin: float = PROFIT_MARGIN) -> DataFrame:
     """Lifetime value from totals. With no one-order customer the churn rate is 0: value NULL."""
-    totals = customer_totals(lines)
+    totals = staged_totals(lines)
     company = totals.agg(
         F.count("*").alias("n"), F.count_if(F.col("orders") > 1).alias("repeaters"))
     n = company.select("n").scalar()
@@ -138,7 +154,7 @@ def descriptive_cltv(lines: DataFrame, margin: float = PROFIT_MARGIN) -> DataFra
 
 def tenure(lines: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Days since the first order per customer."""
-    totals = customer_totals(lines)
+    totals = staged_totals(lines)
     return totals.select("customer_id", day_diff(
         as_of_column(totals, as_of), F.col("first_ts")).alias("tenure"))
 
@@ -172,7 +188,7 @@ def customer_features(lines: DataFrame, as_of: datetime | None = None,
 
     ``n_lines`` counts the customer's order lines, for joining the features back to them.
     """
-    totals = stage(customer_totals(lines), "totals")
+    totals = staged_totals(lines)
     when = as_of_column(totals, as_of)
     company = totals.agg(F.count("*").alias("n"),
                          F.count_if(F.col("orders") > 1).alias("repeaters")).first()

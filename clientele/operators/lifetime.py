@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clientele.functions.scalars import DAYS_PER_WEEK, day_diff, shift_days
 from clientele.functions.special import hyp2f1, ln_gamma, log_add_exp
-from clientele.operators.customers import as_of_column, customer_totals
+from clientele.operators.customers import as_of_column, staged_totals
 from clientele.operators.features import minmax_scale
 from clientele.operators.order_stats import bin_of, label_of, quantile_edges
 
@@ -62,7 +62,7 @@ def lifetime_summary(lines: DataFrame, as_of: datetime | None = None, weekly: bo
     Customers with more than ``more_than`` orders and positive spend are kept. ``repeat_only``
     counts the orders after the first, as in the published model.
     """
-    totals = customer_totals(lines)
+    totals = staged_totals(lines)
     unit = F.lit(float(DAYS_PER_WEEK if weekly else 1))
     orders = F.col("orders") - 1 if repeat_only else F.col("orders")
     return (totals.withColumn("monetary", F.col("spend") / F.col("orders"))
@@ -183,8 +183,14 @@ def _fit(data: DataFrame, weight: str, loglik: Callable[[Sequence[Column]], Colu
 
 
 def bgnbd_fit(summary: DataFrame, penalty: float = BGNBD_PENALTY,
-              start: Sequence[float] = (1.0, 1.0, 1.0, 1.0)) -> PurchaseModel:
-    """Fit on the distinct (orders, recency, age) with their counts: bounded by time, not customers."""
+              start: Sequence[float] | None = None) -> PurchaseModel:
+    """Fit on the distinct (orders, recency, age) with their counts: bounded by time, not customers.
+
+    Without a ``start`` the search begins at the plain purchase rate.
+    """
+    if start is None:
+        mean = summary.agg(F.avg("frequency").alias("x"), F.avg("age").alias("age")).first()
+        start = (1.0, max(mean["age"] / mean["x"], 1e-3) if mean["x"] else 1.0, 1.0, 1.0)
     distinct = summary.select(
         F.col("frequency").cast("double").alias("x"), F.col("recency").cast("double").alias("tx"),
         F.col("age").cast("double").alias("age")).groupBy("x", "tx", "age").agg(

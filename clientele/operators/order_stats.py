@@ -21,7 +21,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from clientele.functions.scalars import col, interpolate
 
-# Rows (distinct values) one task may hold in the last step of a selection.
+# Distinct values one task sorts in the last step of a selection. Small, because narrowing by
+# counting is cheaper than moving values.
+SELECT_ROWS = 50_000
+# Rows one ordered piece may have.
 TASK_ROWS = 2_000_000
 # Upper bound for the number of ordered pieces; the edges live on the driver.
 MAX_PIECES = 20_000
@@ -75,12 +78,13 @@ def select_positions(
     df: DataFrame,
     cols: dict[str, str | Column],
     wanted: Callable[[str, int], Iterable[int]],
-    task_rows: int = TASK_ROWS,
+    task_rows: int = SELECT_ROWS,
+    sizes: dict[str, int] | None = None,
 ) -> tuple[dict[str, int], dict[str, dict[int, OrderStat]]]:
     """Values at 1-based positions of the sorted non-null values of several columns.
 
-    ``wanted(name, n)`` returns the positions for a column with ``n`` values. Returns the value
-    counts and, per column, position to ``OrderStat``. All columns share the same passes; the
+    ``wanted(name, n)`` returns the positions for a column with ``n`` values; ``sizes`` gives the
+    n where they are known. Returns them and, per column, position to ``OrderStat``. All columns share the same passes; the
     driver receives one row per position.
     """
     names = list(cols)
@@ -88,8 +92,10 @@ def select_positions(
     data, integral = _normalised(df, {safe[n]: col(cols[n]) for n in names})
     x = {n: F.col(safe[n]) for n in names}
 
-    totals = data.agg(*[F.count(x[n]).alias(safe[n]) for n in names]).first()
-    n_values = {n: totals[safe[n]] for n in names}
+    n_values = dict(sizes or {})
+    if any(n not in n_values for n in names):
+        totals = data.agg(*[F.count(x[n]).alias(safe[n]) for n in names]).first()
+        n_values = {n: totals[safe[n]] for n in names}
     open_spans: dict[tuple[str, _Span], set[int]] = {}
     for n in names:
         want = {p for p in wanted(n, n_values[n]) if 1 <= p <= n_values[n]}
@@ -183,61 +189,64 @@ def _finish(data, x, integral, spans, found):
 
 # --- quantiles -------------------------------------------------------------------------------
 
+def quantile_positions(n: int, probs: Sequence[float]) -> list[int]:
+    """The positions that quantiles of n values lie between."""
+    heights = [(n - 1) * p + 1 for p in probs]
+    return [f(h) for h in heights for f in (math.floor, math.ceil)]
+
+
+def quantiles_at(n: int, stats: dict[int, OrderStat], probs: Sequence[float]) -> list[float | None]:
+    """Quantiles by linear interpolation between the selected values."""
+    out = []
+    for p in probs:
+        h = (n - 1) * p + 1
+        lo = math.floor(h)
+        out.append(interpolate(float(stats[lo].value), float(stats[math.ceil(h)].value), h - lo)
+                   if n else None)
+    return out
+
+
 def exact_quantiles(
     df: DataFrame,
     wanted: dict[str, tuple[str | Column, Sequence[float]]],
-    task_rows: int = TASK_ROWS,
+    task_rows: int = SELECT_ROWS,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation, NULL and NaN skipped; None for an empty column.
 
     ``wanted`` maps a result name to (column, probabilities). Like ``approxQuantile`` this runs
     when called and returns plain numbers, so callers can use them as literals.
     """
-    def positions(name: str, n: int):
-        for p in wanted[name][1]:
-            h = (n - 1) * p + 1
-            yield math.floor(h)
-            yield math.ceil(h)
-
     n_values, found = select_positions(
-        df, {k: c for k, (c, _) in wanted.items()}, positions, task_rows)
-    out = {}
-    for name, (_, probs) in wanted.items():
-        n, stats = n_values[name], found[name]
-        values = []
-        for p in probs:
-            if n == 0:
-                values.append(None)
-                continue
-            h = (n - 1) * p + 1
-            lo = math.floor(h)
-            values.append(interpolate(float(stats[lo].value),
-                                      float(stats[math.ceil(h)].value), h - lo))
-        out[name] = values
-    return out
+        df, {k: c for k, (c, _) in wanted.items()},
+        lambda name, n: quantile_positions(n, wanted[name][1]), task_rows)
+    return {k: quantiles_at(n_values[k], found[k], probs) for k, (_, probs) in wanted.items()}
+
+
+def edge_probs(q: int) -> list[float]:
+    return [i / q for i in range(q + 1)]
+
+
+def unique_edges(name: str, edges: Sequence[float | None], duplicates: str = "raise") -> list[float]:
+    """Sorted bin edges. Equal edges make a bin empty: an error unless ``duplicates="drop"``."""
+    unique = sorted({e for e in edges if e is not None})
+    if unique and len(unique) < len(edges) and duplicates != "drop":
+        raise ValueError(f"bin edges of {name} are not unique: {edges}")
+    return unique
 
 
 def quantile_edges(df: DataFrame, wanted: dict[str, tuple[str | Column, int]],
                    duplicates: str = "raise",
-                   task_rows: int = TASK_ROWS) -> dict[str, list[float]]:
-    """Edges of ``q`` equal-frequency bins, minimum and maximum included.
-
-    Equal edges make a bin empty: an error unless ``duplicates="drop"``.
-    """
-    got = exact_quantiles(
-        df, {k: (c, [i / q for i in range(q + 1)]) for k, (c, q) in wanted.items()}, task_rows)
-    out = {}
-    for name, edges in got.items():
-        unique = sorted({e for e in edges if e is not None})
-        if len(unique) < len(edges) and duplicates != "drop":
-            raise ValueError(f"bin edges of {name} are not unique: {edges}")
-        out[name] = unique
-    return out
+                   task_rows: int = SELECT_ROWS) -> dict[str, list[float]]:
+    """Edges of ``q`` equal-frequency bins, minimum and maximum included."""
+    got = exact_quantiles(df, {k: (c, edge_probs(q)) for k, (c, q) in wanted.items()}, task_rows)
+    return {name: unique_edges(name, edges, duplicates) for name, edges in got.items()}
 
 
 def bin_of(value: str | Column, edges: Sequence[float]) -> Column:
     """Bin 1, 2, … of a value: right-closed bins, the lowest value in bin 1, NULL stays NULL."""
     v = col(value).cast("double")
+    if not edges:  # no values at all
+        return F.lit(None).cast("long")
     number = F.lit(1).cast("long")
     for e in edges[1:-1]:
         number = number + (v > F.lit(float(e))).cast("long")
@@ -246,7 +255,7 @@ def bin_of(value: str | Column, edges: Sequence[float]) -> Column:
 
 
 def qcut(df: DataFrame, value: str, q: int, out: str, labels: Sequence | None = None,
-         duplicates: str = "raise", task_rows: int = TASK_ROWS) -> DataFrame:
+         duplicates: str = "raise", task_rows: int = SELECT_ROWS) -> DataFrame:
     """Equal-frequency bins of a column, as numbers 1…q or as the given labels."""
     edges = quantile_edges(df, {value: (value, q)}, duplicates, task_rows)[value]
     number = bin_of(value, edges)
@@ -259,34 +268,37 @@ def label_of(number: Column, labels: Sequence) -> Column:
 
 # --- ordinal rank ----------------------------------------------------------------------------
 
-def rank_cuts(df: DataFrame, value: str, key: str, q: int,
-              task_rows: int = TASK_ROWS) -> list[tuple[object, object]]:
+def cut_positions(n: int, q: int) -> list[int]:
+    """The last rank in each of the first q−1 equal-frequency bins of the ranks 1…n."""
+    return [math.floor(1 + (n - 1) * k / q) for k in range(1, q)] if n else []
+
+
+def rank_cuts(df: DataFrame, value: str, key: str, q: int, task_rows: int = SELECT_ROWS,
+              selected: tuple[int, dict[int, OrderStat]] | None = None
+              ) -> list[tuple[object, object]]:
     """The last (value, key) of each of the first q−1 equal-frequency bins of the ordinal rank.
 
     The rank orders by value and breaks ties by key. Binning it needs no rank per row: the
-    boundary pairs are enough, and they are q−1 selections.
+    boundary pairs are enough, and they are q−1 selections. ``selected`` passes the row count and
+    the values at the cut positions when the caller has selected them already.
     """
-    n = 0
-
-    def positions(_, total):
-        nonlocal n
-        n = total
-        return [math.floor(1 + (total - 1) * k / q) for k in range(1, q)]
-
     paired = df.where(F.col(value).isNotNull())
-    _, found = select_positions(paired, {"v": value}, positions, task_rows)
-    wanted = positions("v", n)
-    ties = {found["v"][p].value: [] for p in wanted if p in found["v"]}
+    if selected is None:
+        n_values, found = select_positions(
+            paired, {"v": value}, lambda _, n: cut_positions(n, q), task_rows)
+        selected = n_values["v"], found["v"]
+    n, at = selected
+    wanted = cut_positions(n, q)
+    ties: dict[object, list[int]] = {}
     for p in wanted:
-        if p in found["v"]:
-            ties[found["v"][p].value].append(p - found["v"][p].less)
+        ties.setdefault(at[p].value, []).append(p - at[p].less)
     names = {f"k{i}": v for i, v in enumerate(ties)}
+    sizes = {k: next(at[p].equal for p in wanted if at[p].value == v) for k, v in names.items()}
     _, keys = select_positions(
         paired, {k: F.when(F.col(value) == F.lit(v), F.col(key)) for k, v in names.items()},
-        lambda name, _: ties[names[name]], task_rows)
-    at = {(v, p): keys[k][p].value for k, v in names.items() for p in ties[v]}
-    return [(found["v"][p].value, at[found["v"][p].value, p - found["v"][p].less])
-            for p in wanted if p in found["v"]]
+        lambda name, _: ties[names[name]], task_rows, sizes)
+    by_value = {v: keys[k] for k, v in names.items()}
+    return [(at[p].value, by_value[at[p].value][p - at[p].less].value) for p in wanted]
 
 
 def rank_bin(value: str, key: str, cuts: Sequence[tuple[object, object]]) -> Column:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.operators.joins import attach, update_matching
-from clientele.operators.order_stats import TASK_ROWS, select_positions
+from clientele.operators.order_stats import SELECT_ROWS, select_positions
 from clientele.session import stage
 
 SPLIT_STEPS = 1_000_000
@@ -24,7 +24,7 @@ def row_hash(df: DataFrame, seed: int, key: Sequence[str] | None = None) -> Colu
 
 
 def sample_exact(df: DataFrame, n: int | None = None, frac: float | None = None, seed: int = 10,
-                 key: Sequence[str] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+                 key: Sequence[str] | None = None, task_rows: int = SELECT_ROWS) -> DataFrame:
     """Exactly ``n`` rows, or round(frac · rows). ``key`` narrows the hash to identifying columns.
 
     When the last admitted hash belongs to several rows, a hash of the whole row decides between
@@ -106,7 +106,7 @@ def hash_split(df: DataFrame, test_size: float = 0.3, seed: int = 10,
 
 def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 10,
                      key: Sequence[str] | None = None, out: str = "fold",
-                     task_rows: int = TASK_ROWS) -> DataFrame:
+                     task_rows: int = SELECT_ROWS) -> DataFrame:
     """Folds 0…k−1 with the same class mix.
 
     Within a class the hash range is cut at its exact k-quantiles, so fold sizes differ by one row

@@ -13,7 +13,6 @@ from clientele.plans.oracle import LINES, METRICS, SCORES, SEGMENTS, TOTALS, wit
 from clientele.plans.registry import query
 from clientele.sources.tables import campaign, order_lines, orders_as_lines, purchases, table
 from clientele.plans.oracle import CAMPAIGN, PURCHASES
-from clientele.session import stage
 
 
 # --- projections and scalar functions ---------------------------------------------------------
@@ -59,21 +58,25 @@ def const_cast_concat(spark, sf):
 
 
 @query("parse_ts", """
-select event_id, ts as parsed, timestamp '2011-12-11 00:00:00' as fixed_day from events""")
+select event_id, ts as parsed, ts as parsed_iso, null::timestamp as unreadable,
+       timestamp '2011-12-11 00:00:00' as fixed_day from events""")
 def parse_ts(spark, sf):
     return table(spark, sf, "events").select(
         "event_id",
-        S.parse_ts(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("parsed"),
+        S.parse_ts(F.rpad(F.col("ts").cast("string"), F.lit(26), F.lit("0")),
+                   "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("parsed"),
+        S.parse_ts(F.col("ts").cast("string")).alias("parsed_iso"),
+        S.parse_ts("event_type").alias("unreadable"),
         S.as_of_literal(datetime(2011, 12, 11)).alias("fixed_day"))
 
 
 @query("date_shift_span", """
 select user_id as customer_id, max(ts) + interval 1 day as as_of, max(ts) - interval 90 day as earlier,
-       epoch_us(max(ts)) - epoch_us(min(ts)) as span_micros from events group by user_id""")
+       floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000)::bigint as span_days from events group by user_id""")
 def date_shift_span(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("customer_id")).agg(
         S.shift_days(F.max("ts"), 1).alias("as_of"), S.shift_days(F.max("ts"), -90).alias("earlier"),
-        F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")).alias("span_micros"))
+        S.day_diff(F.max("ts"), F.min("ts")).alias("span_days"))
 
 
 @query("day_diff", """
@@ -313,7 +316,7 @@ from metrics""")
 def rank_first(spark, sf):
     from clientele.operators.order_stats import rank_first as ordinal_rank
     metrics = customers.rfm_metrics(order_lines(spark, sf)).select("customer_id", "frequency")
-    return ordinal_rank(stage(metrics), "frequency", "customer_id", "frequency_rank")
+    return ordinal_rank(metrics, "frequency", "customer_id", "frequency_rank")
 
 
 @query("qcut_labels", """
@@ -332,7 +335,6 @@ select customer_id, frequency_score from scores""")
 def qcut_rank(spark, sf):
     from clientele.operators.order_stats import rank_bin, rank_cuts
     metrics = customers.rfm_metrics(order_lines(spark, sf)).select("customer_id", "frequency")
-    metrics = stage(metrics)
     cuts = rank_cuts(metrics, "frequency", "customer_id", 5)
     return metrics.select("customer_id", rank_bin("frequency", "customer_id", cuts)
                           .alias("frequency_score"))

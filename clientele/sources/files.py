@@ -6,13 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clientele.functions.scalars import parse_ts
 
-TS_PATTERN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Part files with a header, timestamps with microseconds, empty text apart from NULL."""
     out = df.withColumns({
-        f.name: F.date_format(f.name, TS_PATTERN) for f in df.schema
+        f.name: F.col(f.name).cast("string") for f in df.schema
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))})
     (out.write.mode(mode).option("header", True).option("emptyValue", '""').csv(path))
     return path
@@ -25,7 +22,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
         T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampNTZType)
                       else f.dataType) for f in schema])
     raw = spark.read.schema(as_text).option("header", True).csv(path)
-    return raw.withColumns({f.name: parse_ts(f.name, TS_PATTERN) for f in schema
+    return raw.withColumns({f.name: parse_ts(f.name) for f in schema
                             if isinstance(f.dataType, T.TimestampNTZType)}).select(schema.names)
 
 

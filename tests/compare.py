@@ -58,7 +58,8 @@ def main() -> None:
     from clientele.session import build_session
 
     sf_dir = sys.argv[1]
-    names = sys.argv[2:]
+    names = [n for n in sys.argv[2:] if not n.startswith("-")]
+    skip = [n[1:] for n in sys.argv[2:] if n.startswith("-")]
     spark = build_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
@@ -67,6 +68,8 @@ def main() -> None:
     for name, q in queries.items():
         if names and not any(n == name or (n.endswith("*") and name.startswith(n[:-1])) for n in names):
             continue
+        if name in skip:
+            continue
         start = time.time()
         try:
             got = q.run(spark, sf_dir).toPandas()
