@@ -38,7 +38,8 @@ def shift_days(ts: str | Column, days: int) -> Column:
 
 
 def as_of_literal(ts: datetime) -> Column:
-    return F.lit(ts).cast("timestamp_ntz")
+    # As text: a datetime literal would be read in the session's time zone.
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def safe_ratio(num: str | Column, den: str | Column) -> Column:

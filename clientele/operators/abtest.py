@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, functions as F
 from clientele.functions.special import (
     p_two_sided_t, p_two_sided_z, p_upper_f, p_upper_z)
 from clientele.operators.order_stats import exact_quantiles, running_totals, select_positions
+from clientele.session import stage
 
 NORMAL = NormalDist()
 # Sample size up to which the approximation behind the Shapiro-Wilk p-value was made.
 SHAPIRO_TESTED_N = 5000
+# Samples up to this size are sorted on the driver.
+SHAPIRO_LOCAL_ROWS = 20_000
 # Runs of equal values beyond this length use the integral of the normal scores in the middle.
 SCORE_RUN = 1000
 # Polynomial coefficients (rising powers) of Royston's 1995 algorithm.
@@ -116,14 +119,13 @@ def value_table(samples: DataFrame, groups: Sequence) -> DataFrame:
 def mann_whitney(df: DataFrame, group: str, metric: str,
                  groups: Sequence) -> tuple[float | None, float | None, float | None]:
     """U of the first group, its z (tie and continuity corrected) and the two-sided p."""
-    table = value_table(_clean(df, group, metric, groups), groups).persist()
+    table = stage(value_table(_clean(df, group, metric, groups), groups), "values")
     ranked = running_totals(table, "v", ["n1"])
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     ties = n0 + n1
     row = ranked.agg(
         F.sum(n0 * (F.col("below_n1") + n1 / 2)).alias("u"), F.sum(n0).alias("a"),
         F.sum(n1).alias("b"), F.sum(ties * ties * ties - ties).alias("t")).first()
-    table.unpersist()
     if not row["a"] or not row["b"]:
         return None, None, None
     return mann_whitney_z(row["u"], row["a"], row["b"], row["t"])
@@ -189,16 +191,36 @@ def shapiro_p(w: float, n: int) -> float:
     return p_upper_z((y - _poly(ROYSTON_MEAN, ln)) / math.exp(_poly(ROYSTON_SD, ln)))
 
 
-def shapiro(df: DataFrame, column: str) -> tuple[int, float | None, float | None]:
-    """Sample size, W and p. W uses every row, however many; beyond 5000 rows p is extrapolated."""
+def shapiro(df: DataFrame, column: str,
+            local_rows: int = SHAPIRO_LOCAL_ROWS) -> tuple[int, float | None, float | None]:
+    """Sample size, W and p. W uses every row, however many; beyond 5000 rows p is extrapolated.
+
+    A sample of at most ``local_rows`` values is fetched; a larger one is ranked by Spark.
+    """
     v = F.col(column).cast("double")
     values = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
-    n_values, found = select_positions(values, {"v": "v"}, lambda _, n: [1, 2, n - 1, n])
-    n = n_values["v"]
-    if n < 3:
+    few = values.limit(local_rows + 1).toPandas()["v"].to_numpy()
+    if len(few) <= local_rows:
+        n, x = len(few), np.sort(few)
+        if n < 3 or x[0] == x[-1]:
+            return n, None, None
+        ends = (x[0], x[1], x[-2], x[-1])
+        weighted = float((x * _score(np.arange(1, n + 1), n)).sum())
+        spread = float(((x - x.mean()) ** 2).sum())
+    else:
+        n_values, found = select_positions(values, {"v": "v"}, lambda _, n: [1, 2, n - 1, n])
+        n, stats = n_values["v"], found["v"]
+        ends = tuple(stats[p].value for p in (1, 2, n - 1, n))
+        weighted = _weighted_scores(values, n)
+        spread = values.agg(F.var_samp("v")).first()[0] * (n - 1)
+    if not spread:
         return n, None, None
-    at = {p: s.value for p, s in found["v"].items()}
+    w = _shapiro_w(n, ends, weighted, spread)
+    return n, w, shapiro_p(w, n)
+
 
+def _weighted_scores(values: DataFrame, n: int) -> float:
+    """Sum of value times normal score over the table of distinct values."""
     @F.pandas_udf("double")
     def scores(first: pd.Series, count: pd.Series) -> pd.Series:
         single = (count == 1).to_numpy()
@@ -208,31 +230,30 @@ def shapiro(df: DataFrame, column: str) -> tuple[int, float | None, float | None
             out[i] = _score_run(int(first.iat[i]), int(first.iat[i] + count.iat[i] - 1), n)
         return pd.Series(out)
 
-    table = values.groupBy("v").agg(F.count("*").alias("n")).persist()
-    row = (running_totals(table, "v", ["n"])
-           .agg(F.sum(F.col("v") * scores(F.col("below_n") + 1, F.col("n"))).alias("mx"))).first()
-    spread = values.agg(F.var_samp("v").alias("s")).first()["s"] * (n - 1)
-    table.unpersist()
-    if not spread:
-        return n, None, None
+    table = stage(values.groupBy("v").agg(F.count("*").alias("n")), "values")
+    return running_totals(table, "v", ["n"]).agg(
+        F.sum(F.col("v") * scores(F.col("below_n") + 1, F.col("n")))).first()[0]
+
 
+def _shapiro_w(n: int, ends: tuple, weighted: float, spread: float) -> float:
+    """W from the two lowest and two highest values and the sum of value times normal score."""
     total = _score_squares(n)
     m_last, m_second = (float(x) for x in _score([n, n - 1], n))
     u = 1.0 / math.sqrt(n)
-    a_last = m_last / math.sqrt(total) + _poly(ROYSTON_LAST, u) if n > 3 else math.sqrt(0.5)
-    outer, inner = at[n] - at[1], at[n - 1] - at[2]
-    if n > 5:
-        a_second = m_second / math.sqrt(total) + _poly(ROYSTON_SECOND, u)
-        phi = (total - 2 * m_last**2 - 2 * m_second**2) / (1 - 2 * a_last**2 - 2 * a_second**2)
-        b = ((row["mx"] - m_last * outer - m_second * inner) / math.sqrt(phi)
-             + a_last * outer + a_second * inner)
-    elif n > 3:
-        phi = (total - 2 * m_last**2) / (1 - 2 * a_last**2)
-        b = (row["mx"] - m_last * outer) / math.sqrt(phi) + a_last * outer
+    outer, inner = ends[3] - ends[0], ends[2] - ends[1]
+    if n == 3:
+        b = math.sqrt(0.5) * outer
     else:
-        b = a_last * outer
-    w = min(1.0, b * b / spread)
-    return n, w, shapiro_p(w, n)
+        a_last = m_last / math.sqrt(total) + _poly(ROYSTON_LAST, u)
+        if n <= 5:
+            phi = (total - 2 * m_last**2) / (1 - 2 * a_last**2)
+            b = (weighted - m_last * outer) / math.sqrt(phi) + a_last * outer
+        else:
+            a_second = m_second / math.sqrt(total) + _poly(ROYSTON_SECOND, u)
+            phi = (total - 2 * m_last**2 - 2 * m_second**2) / (1 - 2 * a_last**2 - 2 * a_second**2)
+            b = ((weighted - m_last * outer - m_second * inner) / math.sqrt(phi)
+                 + a_last * outer + a_second * inner)
+    return min(1.0, b * b / spread)
 
 
 # --- decision flow ----------------------------------------------------------------------------

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from clientele.functions.scalars import DAYS_PER_WEEK, day_diff, shift_days
+from clientele.functions.scalars import DAYS_PER_WEEK, as_of_literal, day_diff, shift_days
 from clientele.functions.special import hyp2f1, ln_gamma, log_add_exp
 from clientele.operators.customers import as_of_column, staged_totals
 from clientele.operators.features import minmax_scale
@@ -279,7 +279,7 @@ def clv_segments(df: DataFrame, value: str = "clv", labels: Sequence[str] = CLV_
 def backtest(lines: DataFrame, valued: DataFrame, days: int = 90) -> DataFrame:
     """Revenue of the last days, of all and of the valued customers, against their predicted value."""
     last = lines.agg(shift_days(F.max("order_ts"), -days)).first()[0]
-    recent = (lines.where(F.col("order_ts") > F.lit(last).cast("timestamp_ntz"))
+    recent = (lines.where(F.col("order_ts") > as_of_literal(last))
               .groupBy("customer_id").agg(F.sum("value").alias("recent")))
     joined = recent.join(valued.groupBy("customer_id").agg(F.max("clv").alias("clv")),
                          "customer_id", "full")

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from clientele.functions.scalars import parse_ts
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Part files with a header, timestamps with microseconds, empty text apart from NULL."""
+    """Part files with a header and timestamps in ISO form. Empty text comes back as NULL."""
     out = df.withColumns({
         f.name: F.col(f.name).cast("string") for f in df.schema
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))})
-    (out.write.mode(mode).option("header", True).option("emptyValue", '""').csv(path))
+    out.write.mode(mode).option("header", True).csv(path)
     return path
 
 
