@@ -216,7 +216,7 @@ def shapiro(df: DataFrame, column: str,
     if not spread:
         return n, None, None
     w = _shapiro_w(n, ends, weighted, spread)
-    return n, w, shapiro_p(w, n)
+    return n, float(w), float(shapiro_p(w, n))
 
 
 def _weighted_scores(values: DataFrame, n: int) -> float:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.functions.scalars import as_of_literal, day_diff, safe_ratio, score_text, shift_days
 from clientele.operators import order_stats
+from clientele.operators.cleaning import Limits, remove_outliers
 from clientele.operators.joins import attach
 from clientele.session import stage
 
@@ -34,17 +35,21 @@ CHURN_LIMITS = {
 
 
 def customer_totals(lines: DataFrame) -> DataFrame:
-    """One row per customer with everything the features below need: a single aggregation.
+    """One row per customer with everything the features below need: a single pass over the lines.
 
-    The distinct order count makes Spark aggregate by (customer, order) first, so the lines of a
-    very large customer are merged map-side and spread by order before they meet.
+    The lines are first summed per (customer, order): that gives the distinct orders without a
+    distinct aggregate, merges map-side, and spreads a very large customer by order.
     """
-    return (lines.where(F.col("customer_id").isNotNull())
-            .groupBy("customer_id")
-            .agg(F.count("*").alias("n_lines"), F.countDistinct("order_id").alias("orders"),
-                 F.coalesce(F.sum("value"), F.lit(0)).cast("double").alias("spend"),
-                 F.coalesce(F.sum("quantity"), F.lit(0)).cast("double").alias("units"),
-                 F.min("order_ts").alias("first_ts"), F.max("order_ts").alias("last_ts")))
+    per_order = (lines.where(F.col("customer_id").isNotNull())
+                 .groupBy("customer_id", "order_id")
+                 .agg(F.count("*").alias("n_lines"), F.sum("value").alias("value"),
+                      F.sum("quantity").alias("quantity"), F.min("order_ts").alias("first_ts"),
+                      F.max("order_ts").alias("last_ts")))
+    return per_order.groupBy("customer_id").agg(
+        F.sum("n_lines").alias("n_lines"), F.count("order_id").alias("orders"),
+        F.coalesce(F.sum("value"), F.lit(0)).cast("double").alias("spend"),
+        F.coalesce(F.sum("quantity"), F.lit(0)).cast("double").alias("units"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
 
 
 def staged_totals(lines: DataFrame) -> DataFrame:
@@ -210,10 +215,19 @@ def customer_features(lines: DataFrame, as_of: datetime | None = None,
 
 
 def churn_lines(lines: DataFrame, limits: dict[str, float] = CHURN_LIMITS,
-                as_of: datetime | None = None) -> DataFrame:
-    """Order lines with all customer features and the churn label."""
-    features = customer_features(lines, as_of).withColumn("churn", churn_label(limits))
-    return attach(lines, features, "customer_id", rows="n_lines")
+                as_of: datetime | None = None, trim: Limits | None = None,
+                trim_mode: str = "last") -> DataFrame:
+    """Order lines with all customer features and the churn label.
+
+    With ``trim`` limits, scores and value come from all lines, then the outlying lines are
+    dropped and the tenure is counted on the lines that remain.
+    """
+    features = customer_features(lines, as_of)
+    if trim:
+        lines = remove_outliers(lines, trim, trim_mode)
+        features = features.drop("tenure").join(tenure(lines, as_of), "customer_id")
+    return attach(lines, features.withColumn("churn", churn_label(limits)), "customer_id",
+                  rows="n_lines")
 
 
 def churn_shares(lines: DataFrame) -> DataFrame:

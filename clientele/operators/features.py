@@ -12,6 +12,8 @@ from clientele.operators.order_stats import bin_of, exact_quantiles, label_of, q
 from clientele.session import stage
 
 MAX_LEVELS = 200
+# A table of places up to this many rows is sent to every executor.
+BROADCAST_ROWS = 100_000
 # Labels of the place segments, lowest sales first.
 CITY_LABELS = ("E", "D", "C", "B", "A")
 # Columns the churn label was made from; a model that may use them only repeats the rules.
@@ -71,7 +73,11 @@ def city_segments(lines: DataFrame, city: str = "city", value: str = "value",
 
 
 def with_city_segment(lines: DataFrame, city: str = "city", value: str = "value") -> DataFrame:
-    return attach(lines, city_segments(lines, city, value).drop("sales"), city)
+    """Add the segment of each line's place; the places are broadcast if they are few."""
+    places = city_segments(lines, city, value).drop("sales")
+    if places.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(places), city, "left")
+    return attach(lines, places, city)
 
 
 def assemble(df: DataFrame, features: Sequence[str], label: str,

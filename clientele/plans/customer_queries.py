@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from clientele.operators import customers, profiling
+from clientele.operators import cleaning, customers, lifetime, profiling
 from clientele.operators.joins import attach
 from clientele.plans.oracle import CHURN, CLTV, LINES, METRICS, SCORES, SEGMENTS, TOTALS, with_
 from clientele.plans.registry import query
@@ -125,3 +127,72 @@ def churn_label_from_data(spark, sf):
     limits = customers.churn_limits_from(featured)
     return featured.select("customer_id", "order_id", "line_number",
                            customers.churn_label(limits).alias("churn"))
+
+
+TRIMMED = with_(LINES, TOTALS, METRICS, SCORES, SEGMENTS, CLTV, """
+lim as (select a - 1.5 * (b - a) as lo, b + 1.5 * (b - a) as hi from (
+  select quantile_cont(value::double, .4) as a, quantile_cont(value::double, .5) as b from lines)),
+kept as (select lines.* from lines cross join lim where not (value::double < lo or value::double > hi)),
+late as (select customer_id, floor((epoch_us((select max(order_ts) + interval 1 day from kept))
+                                    - epoch_us(min(order_ts))) / 86400000000)::bigint as tenure
+         from kept group by customer_id),
+flags as (select s.customer_id, t.tenure,
+    (coalesce(recency_score = 1, false)
+     or coalesce(recency_score = 2 and frequency_score <= 2 and monetary_score <= 2
+                 and cltv <= 5112 and t.tenure <= 555.38, false)
+     or coalesce(recency between 90 and 112 and frequency_score = 1 and monetary_score = 1
+                 and cltv <= 204.67 and t.tenure <= 442, false))::bigint as churn
+  from segments s join cltv c using (customer_id) join late t using (customer_id))""")
+
+
+@query("churn_label_trimmed", TRIMMED + """
+select k.customer_id, order_id, line_number, value::double as value, tenure, churn
+from kept k left join flags using (customer_id)""")
+def churn_label_trimmed(spark, sf):
+    """The staged flow: scores and value on all lines, then outlier trim, tenure and label."""
+    lines = order_lines(spark, sf)
+    limits = cleaning.outlier_limits(lines, ["value"], 0.40, 0.50)
+    return customers.churn_lines(lines, trim=limits).select(
+        "customer_id", "order_id", "line_number", F.col("value").cast("double").alias("value"),
+        "tenure", "churn")
+
+
+RETAIL = with_(LINES, """
+cleaned as (select customer_id, invoice as order_id, order_ts, quantity, unit_price from lines
+            where not contains(invoice, 'C') and quantity > 0 and unit_price > 0),
+q as (select quantile_cont(quantity, .01) as q1, quantile_cont(quantity, .99) as q3,
+             quantile_cont(unit_price, .01) as p1, quantile_cont(unit_price, .99) as p3 from cleaned),
+capped as (select customer_id, order_id, order_ts,
+  greatest(least(quantity, q3 + 1.5 * (q3 - q1)), q1 - 1.5 * (q3 - q1)) as quantity,
+  greatest(least(unit_price, p3 + 1.5 * (p3 - p1)), p1 - 1.5 * (p3 - p1)) as unit_price from cleaned cross join q)""")
+
+
+def _retail(spark, sf):
+    lines = order_lines(spark, sf).select(
+        "customer_id", F.col("invoice"), "order_ts", "quantity", "unit_price")
+    clean = cleaning.retail_clean(lines).drop("total_price")
+    capped = cleaning.winsorise(clean, cleaning.outlier_limits(clean, ["quantity", "unit_price"], 0.01, 0.99))
+    return capped.withColumnRenamed("invoice", "order_id").withColumn(
+        "value", F.col("quantity") * F.col("unit_price"))
+
+
+@query("retail_rfm", RETAIL + """
+select customer_id, floor((epoch_us(timestamp '2000-12-11') - epoch_us(max(order_ts))) / 86400000000)::bigint as recency,
+       count(distinct order_id) as frequency, round(sum(quantity * unit_price), 3) as monetary
+from capped group by customer_id""")
+def retail_rfm(spark, sf):
+    """Cleaned and capped invoice lines against a fixed day: later orders give negative recency."""
+    return customers.rfm_metrics(_retail(spark, sf), datetime(2000, 12, 11), positive_only=True).withColumn(
+        "monetary", F.round("monetary", 3))
+
+
+@query("retail_lifetime", RETAIL + """
+select customer_id, count(distinct order_id) as frequency,
+  round(floor((epoch_us(max(order_ts)) - epoch_us(min(order_ts))) / 86400000000) / 7, 6) as recency,
+  round(floor((epoch_us(timestamp '2001-12-11') - epoch_us(min(order_ts))) / 86400000000) / 7, 6) as age,
+  round(sum(quantity * unit_price) / count(distinct order_id), 7) as monetary
+from capped group by customer_id having count(distinct order_id) > 1""")
+def retail_lifetime(spark, sf):
+    out = lifetime.lifetime_summary(_retail(spark, sf), datetime(2001, 12, 11))
+    return out.withColumns({"recency": F.round("recency", 6), "age": F.round("age", 6),
+                            "monetary": F.round("monetary", 7)})

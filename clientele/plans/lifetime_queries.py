@@ -47,9 +47,10 @@ def _summary(spark, sf):
 
 @query("lifetime_summary", SUMMARISED + """
 select customer_id, frequency, round(recency, 6) as recency, round(age, 6) as age,
-       round(monetary, 6) as monetary from summary""")
+       round(monetary, 7) as monetary from summary""")
 def lifetime_summary(spark, sf):
-    return _summary(spark, sf).withColumns({c: F.round(c, 6) for c in ("recency", "age", "monetary")})
+    return _summary(spark, sf).withColumns({
+        "recency": F.round("recency", 6), "age": F.round("age", 6), "monetary": F.round("monetary", 7)})
 
 
 @query("bgnbd_loglik", SUMMARISED + f"""

@@ -208,10 +208,9 @@ city_segments as (
 select l.city, order_id, line_number, city_segment
 from lines l left join city_segments using (city)""")
 def city_join(spark, sf):
-    from clientele.operators.features import city_segments
-    lines = order_lines(spark, sf, city=True)
-    return joins.attach(lines.select("city", "order_id", "line_number"),
-                        city_segments(lines).drop("sales"), "city")
+    from clientele.operators.features import with_city_segment
+    return with_city_segment(order_lines(spark, sf, city=True)).select(
+        "city", "order_id", "line_number", "city_segment")
 
 
 @query("row_key_join", """

@@ -136,6 +136,16 @@ def convert(value, dtype: T.DataType):
     raise TypeError(f"no workbook conversion to {dtype.simpleString()}")
 
 
+def mounted_path(path: str) -> str:
+    """The path as a file path; other file systems cannot be opened here."""
+    scheme, _, rest = path.partition(":")
+    if not rest or "/" in scheme:
+        return path
+    if scheme != "file":
+        raise ValueError(f"workbooks need a mounted folder, not {path}")
+    return "/" + rest.lstrip("/")
+
+
 class WorkbookPart(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -146,7 +156,7 @@ class WorkbookReader(DataSourceReader):
         self.schema, self.options = schema, options
 
     def partitions(self):
-        path = self.options["path"].removeprefix("file:")
+        path = mounted_path(self.options["path"])
         if os.path.isdir(path):
             path = os.path.join(path, "*.xlsx")
         return [WorkbookPart(p) for p in sorted(glob.glob(path))]
@@ -175,7 +185,7 @@ class WorkbookWriter(DataSourceWriter):
         self.schema, self.options = schema, options
 
     def write(self, rows) -> WorkbookCommit:
-        folder = self.options["path"].removeprefix("file:")
+        folder = mounted_path(self.options["path"])
         os.makedirs(folder, exist_ok=True)
         limit = int(self.options.get("rowspersheet", SHEET_ROWS - 1))
         paths, rows = [], iter(rows)
