@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clientele.operators import customers, features, sampling
+from clientele.plans.oracle import CHURN, CLTV, LINES, METRICS, SCORES, SEGMENTS, TOTALS, with_
 from clientele.plans.registry import query
 from clientele.sources.tables import order_lines, table
 
@@ -26,6 +27,47 @@ def undersample(spark, sf):
     return sampling.undersample(o, "label", frac=0.2167, key=["order_id"])
 
 
+@query("class_sizes", """
+with t as (select (o_totalprice > 400000)::bigint as label from orders),
+n as (select count(*) filter (label = 0) as zeros from t)
+select label, count(*) as before,
+       case when label = 1 then count(*) else round_even(0.2167 * (select zeros from n), 0)::bigint end as after
+from t group by label""")
+def class_sizes(spark, sf):
+    """Rows per class before and after undersampling."""
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        (F.col("o_totalprice") > 400000).cast("long").alias("label"))
+    few = sampling.undersample(o, "label", frac=0.2167, key=["order_id"])
+    before = o.groupBy("label").agg(F.count("*").alias("before"))
+    return before.join(few.groupBy("label").agg(F.count("*").alias("after")), "label")
+
+
+@query("fold_sizes", """
+with t as (select (o_totalprice > 400000)::bigint as label, count(*) as n from orders group by 1)
+select label, fold::bigint as fold, (n * (fold + 1)) // 5 - (n * fold) // 5 as n from t, range(0, 5) r(fold)""")
+def fold_sizes(spark, sf):
+    """Rows per class and fold."""
+    return stratified_folds(spark, sf).groupBy("label", F.col("fold").cast("long").alias("fold")).agg(
+        F.count("*").alias("n"))
+
+
+@query("noise_sizes", with_(LINES, TOTALS, METRICS, SCORES, SEGMENTS, CLTV, CHURN, """
+bands as (select case when recency >= 90 then '90+' when recency >= 75 then '75-89'
+                      when recency >= 60 then '60-74' end as band,
+                 case when recency >= 90 then 0.9 else 0.75 end as keep, churn from churned)""") + """
+select band, count(*) as quiet, count(*) - round_even(any_value(keep) * count(*), 0)::bigint as turned
+from bands where band is not null and churn = 0 group by band""")
+def noise_sizes(spark, sf):
+    """Quiet customers per recency range, and how many of them the noise turned."""
+    recency = F.col("recency")
+    band = (F.when(recency >= 90, "90+").when(recency >= 75, "75-89").when(recency >= 60, "60-74"))
+    per_customer = (label_noise(spark, sf).groupBy("customer_id", band.alias("band"))
+                    .agg(F.max("before").alias("before"), F.max("churn").alias("churn")))
+    return (per_customer.where("band is not null and before = 0").groupBy("band")
+            .agg(F.count("*").alias("quiet"), F.sum("churn").alias("turned")))
+
+
 @query("label_noise")
 def label_noise(spark, sf):
     """Three rounds over falling recency; the rows show every line with its label before and after."""

@@ -186,8 +186,34 @@ def backtest(spark, sf):
     return out.withColumn("predicted", F.round("predicted", 0))
 
 
-@query("calibration")
+MOST = 20
+EVERYONE = with_(LINES, TOTALS, SUMMARY.replace("orders as frequency", "orders - 1 as frequency")
+                 .replace("where orders > 1 and", "where"))
+RISING = f"exp(lgamma({R} + x) - lgamma({R}) - lgamma(x + 1.0) + {R} * ln({ALPHA} / ({ALPHA} + t)) + x * ln(t / ({ALPHA} + t)))"
+BETA = f"(lgamma({A}) + lgamma({B}) - lgamma({A} + {B}))"
+
+
+@query("calibration", EVERYONE.rstrip() + f""",
+ages as (select age as t, count(*) as n from summary group by age),
+counted as (select t, n, x, {RISING} as c from ages, range(0, {MOST}) r(x)),
+below as (select *, sum(c) over (partition by t order by x) - c as less from counted),
+probs as (select n, x, exp(lgamma({A}) + lgamma({B} + x) - lgamma({A} + {B} + x) - {BETA}) * c
+    + case when x > 0 then exp(lgamma({A} + 1) + lgamma({B} + x - 1) - lgamma({A} + {B} + x) - {BETA}) * (1 - less)
+           else 0 end as p from below),
+expected as (select x as purchases, sum(n * p) as expected from probs group by x),
+whole as (select * from expected
+          union all select {MOST}, (select count(*) from summary) - (select sum(expected) from expected)),
+actual as (select least(frequency, {MOST}) as purchases, count(*) as actual from summary group by 1)
+select w.purchases::bigint as purchases, coalesce(actual, 0) as actual, round(expected, 5) as expected
+from whole w left join actual using (purchases)""")
 def calibration(spark, sf):
+    """Customers by number of repeat purchases, actual and expected under given parameters."""
+    s = stage(lifetime.lifetime_summary(order_lines(spark, sf), repeat_only=True, more_than=0), "summary")
+    return lifetime.calibration(s, PURCHASE, MOST).withColumn("expected", F.round("expected", 5))
+
+
+@query("calibration_fitted")
+def calibration_fitted(spark, sf):
     s = stage(lifetime.lifetime_summary(order_lines(spark, sf), repeat_only=True, more_than=0), "summary")
     return lifetime.calibration(s, lifetime.bgnbd_fit(s))
 

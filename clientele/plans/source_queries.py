@@ -56,14 +56,17 @@ def xlsx_orders(spark, sf):
                           "order_id long, order_ts timestamp_ntz, status string, total double")
 
 
-@query("catalog_tables")
+CATALOG = ("orders", "lineitem", "customer", "nation", "part", "supplier", "region", "events")
+
+
+@query("catalog_tables", "\nunion all ".join(
+    f"""select '{n}' as "tableName", true as "isTemporary", count(*) as "rows" from {n}""" for n in CATALOG))
 def catalog_tables(spark, sf):
     """The tables of the session, with the rows each one holds."""
-    names = ["orders", "lineitem", "customer", "nation", "part", "supplier", "region", "events"]
     counts = None
-    for n in names:
+    for n in CATALOG:
         view = table(spark, sf, n)
         view.createOrReplaceTempView(n)
         one = view.agg(F.count("*").alias("rows")).select(F.lit(n).alias("tableName"), "rows")
         counts = one if counts is None else counts.unionByName(one)
-    return list_tables(spark).select("tableName", "isTemporary").join(counts, "tableName")
+    return list_tables(spark).where("isTemporary").select("tableName", "isTemporary").join(counts, "tableName")
