@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from clientele.plans.registry import all_queries  # noqa: E402
-from clientele.session import build_session, ship_package  # noqa: E402
+from clientele.session import build_session  # noqa: E402
 
 HEADLINE = (
     "rfm_segment", "segment_profile", "rfm_lines", "descriptive_cltv", "tenure", "churn_label",
@@ -33,7 +33,6 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(f"local[{cpus}]", int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
-    ship_package(spark)
     registered = all_queries()
     names = [n for n in sys.argv[1:] or HEADLINE]
     took: dict[str, float] = {}

@@ -68,14 +68,18 @@ def as_of_column(totals: DataFrame, as_of: datetime | None) -> Column:
     return totals.agg(shift_days(F.max("last_ts"), 1).alias("as_of")).scalar()
 
 
-def rfm_metrics(lines: DataFrame, as_of: datetime | None = None,
-                positive_only: bool = False) -> DataFrame:
-    """Recency in days, number of distinct orders, and spend per customer."""
+def rfm_metrics(lines: DataFrame, as_of: datetime | None = None, positive_only: bool = False,
+                count_lines: bool = False) -> DataFrame:
+    """Recency in days, number of distinct orders, and spend per customer.
+
+    ``count_lines`` adds ``n_lines``, which ``attach`` uses to find very large customers.
+    """
     totals = staged_totals(lines)
     out = totals.select(
         "customer_id",
         day_diff(as_of_column(totals, as_of), F.col("last_ts")).alias("recency"),
-        F.col("orders").alias("frequency"), F.col("spend").alias("monetary"))
+        F.col("orders").alias("frequency"), F.col("spend").alias("monetary"),
+        *(["n_lines"] if count_lines else []))
     return out.where("monetary > 0") if positive_only else out
 
 
@@ -121,10 +125,10 @@ def segment_patterns() -> dict[str, str]:
 
 
 def rfm(lines: DataFrame, as_of: datetime | None = None, positive_only: bool = False,
-        duplicates: str = "raise") -> DataFrame:
+        duplicates: str = "raise", count_lines: bool = False) -> DataFrame:
     """Metrics, scores and segment per customer."""
-    return rfm_scores(rfm_metrics(lines, as_of, positive_only), duplicates).withColumn(
-        "segment", rfm_segment())
+    metrics = rfm_metrics(lines, as_of, positive_only, count_lines)
+    return rfm_scores(metrics, duplicates).withColumn("segment", rfm_segment())
 
 
 def segment_profile(scored: DataFrame, metrics=("recency", "frequency", "monetary"),

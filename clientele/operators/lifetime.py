@@ -56,11 +56,12 @@ class SpendModel:
 
 
 def lifetime_summary(lines: DataFrame, as_of: datetime | None = None, weekly: bool = True,
-                     repeat_only: bool = False, more_than: int = 1) -> DataFrame:
+                     repeat_only: bool = False, more_than: int = 1,
+                     count_lines: bool = False) -> DataFrame:
     """Recency (last − first order), age (as of − first order), orders and mean spend per order.
 
     Customers with more than ``more_than`` orders and positive spend are kept. ``repeat_only``
-    counts the orders after the first, as in the published model.
+    counts the orders after the first, as in the published model. ``count_lines`` adds ``n_lines``.
     """
     totals = staged_totals(lines)
     unit = F.lit(float(DAYS_PER_WEEK if weekly else 1))
@@ -70,7 +71,7 @@ def lifetime_summary(lines: DataFrame, as_of: datetime | None = None, weekly: bo
             .select("customer_id", orders.alias("frequency"),
                     (day_diff("last_ts", "first_ts") / unit).alias("recency"),
                     (day_diff(as_of_column(totals, as_of), "first_ts") / unit).alias("age"),
-                    "monetary"))
+                    "monetary", *(["n_lines"] if count_lines else [])))
 
 
 # --- likelihoods ------------------------------------------------------------------------------

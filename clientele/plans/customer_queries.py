@@ -75,9 +75,10 @@ select l.customer_id, order_id, line_number, value::double as value, recency, fr
 from lines l left join segments s using (customer_id)""")
 def rfm_lines(spark, sf):
     lines = order_lines(spark, sf)
-    scored = customers.rfm(lines).select("customer_id", "recency", "frequency", "rfm_score", "segment")
+    scored = customers.rfm(lines, count_lines=True).select(
+        "customer_id", "recency", "frequency", "rfm_score", "segment", "n_lines")
     return attach(lines.select("customer_id", "order_id", "line_number", "value"), scored,
-                  "customer_id").withColumn("value", F.col("value").cast("double"))
+                  "customer_id", rows="n_lines").withColumn("value", F.col("value").cast("double"))
 
 
 @query("descriptive_cltv", with_(LINES, TOTALS, CLTV) + """

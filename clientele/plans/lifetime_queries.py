@@ -150,7 +150,8 @@ segmented as (select scaled.*, ['D','C','B','A'][1 + len(list_filter(edges, lamb
 
 def _valued(spark, sf):
     # A value in closed form stands in for the fitted one, so the segments have an SQL check.
-    return stage(_summary(spark, sf).withColumn(
+    summary = lifetime.lifetime_summary(order_lines(spark, sf), count_lines=True)
+    return stage(summary.withColumn(
         "clv", lifetime.expected_profit(SPEND) * F.col("frequency")), "valued")
 
 
@@ -170,9 +171,9 @@ select l.customer_id, l.order_id, l.line_number, round(scaled_clv, 6) as scaled_
 from lines l left join segmented s using (customer_id)""")
 def clv_lines(spark, sf):
     feats = lifetime.clv_segments(_valued(spark, sf)).select(
-        "customer_id", F.round("scaled_clv", 6).alias("scaled_clv"), "clv_segment")
+        "customer_id", F.round("scaled_clv", 6).alias("scaled_clv"), "clv_segment", "n_lines")
     lines = order_lines(spark, sf).select("customer_id", "order_id", "line_number")
-    return attach(lines, feats, "customer_id")
+    return attach(lines, feats, "customer_id", rows="n_lines")
 
 
 @query("backtest", CLV_CTE + """,

@@ -183,7 +183,7 @@ from lines l left join metrics m using (customer_id)""")
 def features_to_lines(spark, sf):
     lines = order_lines(spark, sf)
     joined = joins.attach(lines.select("customer_id", "order_id", "line_number", "value"),
-                          customers.rfm_metrics(lines), "customer_id")
+                          customers.rfm_metrics(lines, count_lines=True), "customer_id", rows="n_lines")
     return joined.withColumns({"value": F.col("value").cast("double"),
                                "monetary": F.round("monetary", 2)})
 

@@ -10,6 +10,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Split skewed joins even where the next step then needs an exchange of its own: the join of lines
+# and orders feeds an aggregation by order, and one order may hold very many lines.
+SKEW_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
 def build_session(master: str | None = None, partitions: int | None = None,
                   app: str = "clientele") -> SparkSession:
     """A session with the settings the operators rely on.
@@ -19,9 +28,7 @@ def build_session(master: str | None = None, partitions: int | None = None,
     """
     b = (SparkSession.builder.appName(app)
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-         .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
         b = (b.master(master)
@@ -31,7 +38,15 @@ def build_session(master: str | None = None, partitions: int | None = None,
              .config("spark.driver.memory", "12g"))
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
-    return b.getOrCreate()
+    return prepare(b.getOrCreate())
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Make any session ready: skew handling on, package known to the Python workers."""
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark: SparkSession) -> None:

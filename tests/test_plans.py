@@ -25,3 +25,27 @@ def test_bounds_and_columns_reach_the_scan(spark):
 
 def test_scores_need_no_global_window(spark):
     assert "Window" not in plan(spark, "rfm_scores")
+
+
+def test_totals_need_one_shuffle_after_the_join(spark):
+    """Orders and lines meet by order; the sums per order then need no exchange of their own."""
+    from clientele.operators.customers import customer_totals
+    from clientele.sources.tables import order_lines
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = customer_totals(order_lines(spark, SF))
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in text
+    assert text.count("Exchange hashpartitioning(order_id") == 2
+    assert text.count("Exchange hashpartitioning(customer_id") == 1
+    assert text.count("Exchange") == 3
+
+
+def test_scan_reads_only_needed_columns(spark):
+    from clientele.operators.customers import customer_totals
+    from clientele.sources.tables import order_lines
+    text = customer_totals(order_lines(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "l_tax" not in text and "l_discount" not in text and "l_shipdate" not in text
