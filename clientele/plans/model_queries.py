@@ -231,34 +231,28 @@ def band_summary(spark, sf):
 
 IMPORTANCE = """
 rows_ as (select p_brand as model, 0.5::double + (length(p_brand) % 7) / 20.0::double as auc, p_type as feature,
-                 avg(p_retailprice) / 1000 as importance from part
-          where p_brand in (select distinct p_brand from part order by 1 limit 3) group by 1, 2, 3),
-weighted as (select feature, model, 100 * auc * importance as w from rows_),
-names as (select row_number() over (order by model) as i, model from (select distinct model from rows_)),
-wide as (select feature, avg(w) filter (i = 1) as a, avg(w) filter (i = 2) as b, avg(w) filter (i = 3) as c
-         from weighted join names using (model) group by feature),
-scaled as (select feature, (a - min(a) over ()) / (max(a) over () - min(a) over ()) as a,
-             (b - min(b) over ()) / (max(b) over () - min(b) over ()) as b,
-             (c - min(c) over ()) / (max(c) over () - min(c) over ()) as c from wide),
-importance as (select feature, a, b, c, (a + b + c) / 3 * 100 as avg_importance from scaled)"""
+                 avg(p_retailprice) / 1000 as importance from part group by 1, 2, 3),
+bounds as (select model, min(100 * auc * importance) as lo, max(100 * auc * importance) as hi from rows_ group by model),
+scaled as (select feature, case when hi = lo then 0 else (100 * auc * importance - lo) / (hi - lo) end as w
+           from rows_ join bounds using (model)),
+importance as (select feature, case when count(*) = (select count(*) from bounds)
+                 then sum(w) / count(*) * 100 end as avg_importance from scaled group by feature)"""
 
 
 def _importance(spark, sf):
-    p = table(spark, sf, "part")
-    names = [r[0] for r in p.select("p_brand").distinct().orderBy("p_brand").limit(3).collect()]
-    rows = p.where(F.col("p_brand").isin(names)).groupBy(
+    """Brands stand in for models and part types for features; a type some brand lacks has no mean."""
+    rows = table(spark, sf, "part").groupBy(
         F.col("p_brand").alias("model"),
         (F.lit(0.5) + F.length("p_brand") % 7 / 20.0).alias("auc"), F.col("p_type").alias("feature")
     ).agg((F.avg("p_retailprice") / 1000).alias("importance"))
-    return models.hybrid_importance(rows, names).withColumnsRenamed(dict(zip(names, "abc")))
+    names = [r[0] for r in rows.select("model").distinct().orderBy("model").collect()]
+    return models.hybrid_importance(rows, names)
 
 
 @query("hybrid_importance", with_(IMPORTANCE) + """
-select feature, round(a, 6) as a, round(b, 6) as b, round(c, 6) as c, round(avg_importance, 4) as avg_importance
-from importance""")
+select feature, round(avg_importance, 4) as avg_importance from importance""")
 def hybrid_importance(spark, sf):
-    return _importance(spark, sf).select("feature", *[F.round(c, 6).alias(c) for c in "abc"],
-                                         F.round("avg_importance", 4).alias("avg_importance"))
+    return _importance(spark, sf).select("feature", F.round("avg_importance", 4).alias("avg_importance"))
 
 
 @query("select_features", with_(IMPORTANCE) + """
