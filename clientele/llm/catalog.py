@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientele.llm import queries_lines, queries_suffix  # noqa: F401  (register)
+from clientele.llm import queries_lines, queries_quality, queries_suffix  # noqa: F401  (register)
 from clientele.llm.registry import RUNS, SQL, Run
 
 
