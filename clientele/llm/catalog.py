@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from clientele.llm import queries_lines, queries_quality, queries_suffix  # noqa: F401  (register)
+from clientele.llm import (  # noqa: F401  (register)
+    queries_lines, queries_quality, queries_simhash, queries_suffix)
 from clientele.llm.registry import RUNS, SQL, Run
 
 
