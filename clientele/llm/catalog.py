@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from clientele.llm import (  # noqa: F401  (register)
-    queries_lines, queries_mix, queries_quality, queries_simhash, queries_suffix)
+    queries_lines, queries_mix, queries_quality, queries_simhash, queries_suffix, queries_tokens)
 from clientele.llm.registry import RUNS, SQL, Run
 
 
