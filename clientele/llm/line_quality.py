@@ -16,10 +16,12 @@ from clientele.llm.common import ASCII_SPACES, fresh, split_words
 MIN_WORDS = 50
 MAX_LOST = 0.5
 BOILERPLATE_WORDS = 30  # a boilerplate line is a short one
+OPEN_WORDS = 20  # a line this long with a sentence end inside may be cut off at its own end
 _SPACE = "[\\x20\\x09-\\x0D]"
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _SYMBOL = "[#*$%&|<>]"  # fixed value: the symbols counted
 _CLOSED = "[.!?…:;。！？؟۔।][\"'”’»)\\]]*$"
+_INNER_END = "[.!?…。！？؟۔।][\"'”’»)\\]]*[\\x20\\x09-\\x0D]"
 _SEPARATOR = "(?:^|\\s)(?:[|•·›»→>/]+)(?=\\s|$)"
 #: Phrases of page furniture; a short line that holds one fails.
 BOILERPLATE = (
@@ -47,7 +49,8 @@ def judge_lines(text: Column) -> Column:
         s["line"].alias("line"), s["n"].alias("n"), s["n_symbols"].alias("n_symbols"),
         F.when(s["n"] == 0, F.lit(False)).otherwise(
             (s["n_symbols"] * 10 >= s["n"] * 3)
-            | ~F.substring(F.rtrim(s["line"], F.lit(ASCII_SPACES)), -6, 6).rlike(_CLOSED)
+            | (~F.substring(F.rtrim(s["line"], F.lit(ASCII_SPACES)), -6, 6).rlike(_CLOSED)
+               & ((s["n"] < OPEN_WORDS) | ~s["line"].rlike(_INNER_END)))
             | (F.regexp_count(s["line"], F.lit(_SEPARATOR)) * 4 >= s["n"])
             | ((s["n"] > 2) & s["line"].rlike("\\p{Lu}") & ~s["line"].rlike("\\p{Ll}"))
             | F.when(s["n"] <= BOILERPLATE_WORDS, F.regexp_like(s["line"], furniture)).otherwise(F.lit(False))
