@@ -5,8 +5,9 @@ floor(r) certain copies; what is left is a fixed-size sample of the source. A do
 odds grow a little with its length; it is ranked by random odds divided by inclusion odds, and the
 sample is the start of that order up to the words that are left. The cut is found by counting words
 in 2^10 slices of the order, then in 2^10 slices of the slice that holds it, so no source is ever
-sorted in one task. The gap that remains, less than one document, goes to the document whose
-size is nearest to it if that makes it smaller.
+sorted in one task. The gap that remains, less than one document, goes to a few of the other
+documents: three times the largest that fits, then the one nearest to what is left if that makes it
+smaller.
 
 The decision is a row per source: documents are compared with their source's cut where they are.
 """
@@ -20,6 +21,7 @@ from clientele.llm.common import fresh, ordered_totals, stage
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 SEED = 1729
+_FILLS = 3
 _SLICES = 10  # bits of each of the two slicings
 
 
@@ -129,17 +131,31 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     got = marked.groupBy("s").agg(F.sum(F.when(_before_cut(F.col("place"), F.col("mark")), F.col("size"))
                                         .otherwise(F.lit(0))).alias("got"))
     got = got.withColumnRenamed("s", "gs")
-    open_ = (marked.where(~_before_cut(F.col("place"), F.col("mark")))
-             .join(got, F.col("s").eqNullSafe(F.col("gs"))).withColumn("gap", F.col("need") - F.col("got")))
-    off = F.abs(F.col("gap") - F.col("size"))
-    fill = (open_.where(off < F.col("gap")).groupBy("s")
-            .agg(F.min(F.struct(off.alias("off"), F.col("place"), F.col("mark")))["mark"].alias("fill_mark"))
-            .withColumnRenamed("s", "fill_source"))
+    open_ = stage(marked.where(~_before_cut(F.col("place"), F.col("mark"))).select("s", "size", "place", "mark"), "open")
+    state = stage(marked.groupBy("s").agg(F.max("need").alias("need")).join(got, F.col("s").eqNullSafe(F.col("gs")))
+                  .select(F.col("gs").alias("fill_source"), (F.col("need") - F.col("got")).alias("gap"),
+                          F.array().cast("array<bigint>").alias("tried"),
+                          F.array().cast("array<bigint>").alias("fill")), "gaps")
+    for last_round in [False] * _FILLS + [True]:
+        near = open_.join(state, F.col("s").eqNullSafe(F.col("fill_source"))).where(
+            ~F.array_contains("tried", F.col("mark")))
+        off = F.abs(F.col("gap") - F.col("size"))
+        near = near.where(off < F.col("gap") if last_round else F.col("size") <= F.col("gap"))
+        one = near.groupBy("s").agg(F.min(F.struct(off.alias("off"), "place", "mark"))["mark"].alias("one"))
+        # Rows that repeat id and text come together: what counts is their sum.
+        whole = (open_.join(one.withColumnRenamed("s", "one_source"),
+                            F.col("s").eqNullSafe(F.col("one_source")) & (F.col("mark") == F.col("one")))
+                 .groupBy("one_source", "one").agg(F.sum("size").alias("words")))
+        fits = F.coalesce(F.abs(F.col("gap") - F.col("words")) < F.col("gap"), F.lit(False))
+        state = stage(state.join(whole, F.col("fill_source").eqNullSafe(F.col("one_source")), "left").select(
+            "fill_source", F.when(fits, F.col("gap") - F.col("words")).otherwise(F.col("gap")).alias("gap"),
+            F.when(F.col("one").isNull(), F.col("tried")).otherwise(F.array_append("tried", F.col("one"))).alias("tried"),
+            F.when(fits, F.array_append("fill", F.col("one"))).otherwise(F.col("fill")).alias("fill")), "gaps")
     return stage(
         aims.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-        .join(fill, F.col("source").eqNullSafe(F.col("fill_source")), "left")
+        .join(state, F.col("source").eqNullSafe(F.col("fill_source")), "left")
         .select(F.col("source").alias("p_source"), "total", "target", "copies", "part", "middle", "spread", "need",
-                "cut_place", "cut_mark", "fill_mark"), "plan")
+                "cut_place", "cut_mark", "fill"), "plan")
 
 
 def _before_cut(place: Column, mark: Column) -> Column:
@@ -164,7 +180,7 @@ def allocate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     joined = packed.join(planned, F.col("d_source").eqNullSafe(F.col("p_source")))
     place = _place(F.col("uniform"), F.col("size"))
     sampled = (F.col("size") > 0) & (F.col("need") > 0) & (F.col("part") > 0) & (
-        _before_cut(place, F.col("mark")) | F.coalesce(F.col("mark") == F.col("fill_mark"), F.lit(False)))
+        _before_cut(place, F.col("mark")) | F.coalesce(F.array_contains("fill", F.col("mark")), F.lit(False)))
     copies = F.when(F.col("size") > 0, F.col("copies") + sampled.cast("long")).otherwise(F.lit(0).cast("long"))
     out = joined.withColumn("n", copies).select(
         f"{row}.*", F.col("size").alias(names["size"]), F.col("total").alias(names["source_size"]),
