@@ -20,8 +20,8 @@ OPEN_WORDS = 20  # a line this long with a sentence end inside may be cut off at
 _SPACE = "[\\x20\\x09-\\x0D]"
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _SYMBOL = "[#*$%&|<>]"  # fixed value: the symbols counted
-_CLOSED = "[.!?…:;。！？؟۔।][\"'”’»)\\]]*$"
-_INNER_END = "[.!?…。！？؟۔।][\"'”’»)\\]]*[\\x20\\x09-\\x0D]"
+_CLOSED = "[.!?…:;。！？؟۔।][\"'”’“‘»«)\\]]*$"
+_INNER_END = "[.!?…。！？؟۔।][\"'”’“‘»«)\\]]*[\\x20\\x09-\\x0D]"
 _SEPARATOR = "(?:^|\\s)(?:[|•·›»→>/]+)(?=\\s|$)"
 #: Phrases of page furniture; a short line that holds one fails.
 BOILERPLATE = (
@@ -119,7 +119,9 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
 
     ``chars_col``, where there is such a column, becomes the length of the new text.
     """
-    prefix = fresh("_quality", docs.columns) + "_"
+    prefix = "_quality_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
     out = judge(docs, text_col, max_lost, prefix).where(F.col(prefix + "kept"))
     cleaned = F.when(F.col(prefix + "n_lines_removed") > 0, F.col(prefix + "clean_text")).otherwise(F.col(text_col))
     new = {text_col: cleaned}

@@ -24,8 +24,8 @@ counted as (
 judged as (
   select doc_id, l, i, n, s, n > 0 and (
     s * 10 >= n * 3
-    or (not regexp_matches(right(r, 6), '[.!?…:;。！？؟۔।]["''”’»)\]]*$')
-        and (n < 20 or not regexp_matches(l, '[.!?…。！？؟۔।]["''”’»)\]]*[\x20\x09-\x0D]')))
+    or (not regexp_matches(right(r, 6), '[.!?…:;。！？؟۔।]["''”’“‘»«)\]]*$')
+        and (n < 20 or not regexp_matches(l, '[.!?…。！？؟۔।]["''”’“‘»«)\]]*[\x20\x09-\x0D]')))
     or len(regexp_extract_all(' ' || replace(l, ' ', '  ') || ' ', '\s[|•·›»→>/]+\s')) * 4 >= n
     or (n > 2 and regexp_matches(l, '\p{Lu}') and not regexp_matches(l, '\p{Ll}'))
     or (n <= 30 and regexp_matches(l, '(?i)\b(?:BOILERPLATE)\b'))) as fails

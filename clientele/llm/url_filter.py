@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clientele.llm.common import ascii_lower, fresh, stage
 
 FIT_ROWS = 20_000  # the most labelled rows the trees are fitted on
-UNSIGNED_WEIGHT = 0.5
-TREES, DEPTH = 12, 4
+UNSIGNED_WEIGHT = 0.25
+PRIOR = 20.0  # labelled rows a suffix is taken to have had, half of them blocked
+TREES, DEPTH = 12, 3
 SEED = 5
 #: Host words that mark a URL as blocked for the training labels.
 BAD_WORDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "free", "loan", "loans", "pills", "poker", "porn",
@@ -102,7 +103,7 @@ def _statistics(rows: DataFrame, key: str, block: str, seen: str) -> DataFrame:
     """Per suffix, over all rows: the smoothed share of blocked ones among the labelled, and their log count."""
     got = rows.where("label is not null").groupBy(key).agg(
         F.count("*").alias("n"), F.sum("label").alias("bad"))
-    return got.select(F.col(key).alias(f"{key}_of"), ((F.col("bad") + 1) / (F.col("n") + 2)).alias(block),
+    return got.select(F.col(key).alias(f"{key}_of"), ((F.col("bad") + PRIOR / 2) / (F.col("n") + PRIOR)).alias(block),
                       F.log1p("n").alias(seen))
 
 
@@ -119,7 +120,7 @@ def featured(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = R
     label = (F.when(F.col("rule.verdict") == "block", 1.0).when(F.col("rule.verdict") == "allow", 0.0)
              .when(bad, 1.0))
     rows = rows.withColumns({"label": label, "suffix": suffix_of(F.col("host"), 1),
-                             "domain": suffix_of(F.col("host"), 3)})
+                             "domain": suffix_of(F.col("host"), 2)})
     rows = stage(rows.withColumns(lexical(F.col("url"), F.col("host"), F.col("path"))), "urls")
     for key in ("suffix", "domain"):
         stats = _statistics(rows, key, f"{key}_block", f"{key}_seen")

@@ -198,7 +198,8 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
             if len(held) > _HOSTS_HELD:
                 yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
                 held = {}
-        yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
+        if held:
+            yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
 
     def merge(key, pdf):
         merged = None
@@ -219,7 +220,8 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
                 root = _load(json.loads(text))
                 path = article_path(root)
                 out.append((host, list(path), json.dumps(constants(root, path)), root["n"], expression(root)))
-            yield pd.DataFrame(out, columns=["host", "path", "fixed", "n_pages", "expression"])
+            if out:
+                yield pd.DataFrame(out, columns=["host", "path", "fixed", "n_pages", "expression"])
 
     return joined.mapInPandas(judge, "host string, path array<string>, fixed string, n_pages long, expression string")
 

@@ -34,7 +34,7 @@ def test_words_give_the_ids_of_the_whole_text(spark, direct, monkeypatch):
 def test_round_trip(spark, direct):
     texts = [*ODD, None]
     rows = [(10 * i % 37, t) for i, t in enumerate(texts)] + [(None, "no id"), (3, "same id"), (3, "same id"), (3, "a b")]
-    docs = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, start int, n int").repartition(4)
+    docs = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, start int, n string").repartition(4)
     folder = shared_folder(spark, "test-tokens")
     write(docs, folder, tokenizer_path(), segment_ids=500)
     got = [tuple(r) for r in read(spark, folder).orderBy("start").collect()]
@@ -48,7 +48,7 @@ def test_round_trip(spark, direct):
         assert s == start and (after is None or after[0] is None or d <= after[0])
         start += n
     segments = spark.read.parquet(f"{folder}/segments").collect()
-    assert len(segments) > 5 and len({s["dict_hash"] for s in segments}) == 1
+    assert len(segments) > 2 and len({s["dict_hash"] for s in segments}) == 1
     found = {r["doc_id"]: r["ids"] for r in lookup(spark, folder, [rows[6][0], 999]).collect()}
     assert found == {rows[6][0]: encoded[6][1]}
 
