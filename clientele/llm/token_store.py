@@ -18,6 +18,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from clientele.llm.common import shared_folder, stage
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 DICT_BYTES = 64 << 10
-#: Documents the dictionary is trained on, and the code points of each; no other step samples.
+#: Documents the dictionary is trained on, about, and the code points of each; no other step samples.
 DICT_DOCS, DICT_CHARS = 1500, 8000
 LEVEL = 3
 NO_DOC = -(1 << 63)
@@ -51,6 +52,9 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        letters = "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha())
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelled = str.maketrans({c: split(c)[0][0] for c in letters})  # how the model spells them
         self.bytes_per_id = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.forget()
 
@@ -65,9 +69,7 @@ class WordEncoder:
     def _part(self, part: str) -> tuple[int, ...]:
         found = self.stems.get(part)
         if found is None:
-            tokenizer = self.tokenizer
-            pieces = tokenizer.pre_tokenizer.pre_tokenize_str(part) if not part.isascii() else [(part, None)]
-            found = tuple(t.id for piece, _ in pieces for t in tokenizer.model.tokenize(piece))
+            found = tuple(t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelled)))
             if len(self.stems) < _CACHED_STEMS:
                 self.stems[part] = found
         return found
@@ -80,28 +82,33 @@ class WordEncoder:
         return self._part(letters.lower()) + (self._part(rest) if rest else ())
 
     def _learn(self, words: list[bytes]) -> None:
+        known, sizes, made = self.known, [], []
         for w in words:
-            if w in self.known:
-                continue
-            ids = self._encode(w.decode())
-            n = len(self.known)
-            if n == len(self.start):
-                self.start = np.concatenate([self.start, np.zeros(n, np.int64)])
-                self.length = np.concatenate([self.length, np.zeros(n, np.int64)])
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.start[n], self.length[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[w] = n
+            if w not in known:
+                known[w] = len(known)
+                ids = self._encode(w.decode())
+                sizes.append(len(ids))
+                made += ids
+        n, used = len(known), self.used + len(made)
+        while n > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        while used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used:used] = made
+        self.length[n - len(sizes):n] = sizes
+        self.start[n - len(sizes):n] = self.used + np.cumsum([0, *sizes])[:-1]
+        self.used = used
 
     def _chunk(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        words = [w for t in texts for w in t]
+        words = list(chain.from_iterable(texts))
         get = self.known.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        if (at < 0).any():
-            self._learn([words[i] for i in np.flatnonzero(at < 0).tolist()])
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unknown = [words[i] for i in new.tolist()]
+            self._learn(unknown)
+            at[new] = np.fromiter(map(get, unknown), np.int64, len(unknown))
         lengths = self.length[at]
         upto = np.concatenate(([0], np.cumsum(lengths)))
         take = np.repeat(self.start[at] - upto[:-1], lengths) + np.arange(upto[-1])
@@ -135,13 +142,16 @@ def encoder(path: str) -> WordEncoder:
 
 def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                      end_id: int = END_ID) -> bytes:
-    """A dictionary from the serialized ids of a bounded sample: the rows with the smallest hashes.
+    """A dictionary from the serialized ids of a sample: about DICT_DOCS rows, chosen by the hash of their ids.
 
-    Too little data for a dictionary gives an empty one: frames then stand alone.
+    Rows that share an id count once. Too little data for a dictionary gives an empty one: frames
+    then stand alone.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sample = docs.select(F.xxhash64(F.col(id_col), text).alias("h"), F.substring(text, 1, DICT_CHARS).alias("t"))
-    rows = sample.orderBy("h", "t").limit(DICT_DOCS)
+    n = docs.count()
+    mark = F.xxhash64(F.col(id_col))
+    rows = (docs.where(F.pmod(mark, F.lit(max(1, n // DICT_DOCS))) == 0)
+            .select(mark.alias("h"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, DICT_CHARS).alias("t"))
+            .dropDuplicates(["h"]))
 
     def run(batches):
         enc = encoder(path)
@@ -149,7 +159,7 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             made = [_serialize(ids, enc.bytes_per_id, end_id) for ids in enc.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["ids"])
 
-    arrays = [bytes(r[0]) for r in rows.mapInArrow(run, "ids binary").collect()]
+    arrays = [bytes(r[0]) for r in rows.mapInArrow(run, "ids binary").collect()]  # bounded, see above
     total = sum(map(len, arrays))
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(256, total // 8)), arrays).as_bytes()
