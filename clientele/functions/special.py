@@ -1,7 +1,7 @@
 """Special functions: ln Γ as a column, and scalar tails for test statistics.
 
 ln Γ is evaluated inside the JVM because the likelihoods call it for every customer;
-the tails are needed once per test row and stay plain Python.
+the tails are needed once per test row and are ordinary functions.
 """
 
 from __future__ import annotations
@@ -37,17 +37,28 @@ def log_add_exp(a: Column, b: Column) -> Column:
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
 
-def hyp2f1(a, b, c, z, tol: float = 1e-13, max_terms: int = 20000):
-    """Gauss 2F1 by its power series on arrays, for 0 <= z < 1."""
-    a, b, c, z = (np.asarray(v, dtype=float) for v in (a, b, c, z))
-    total = np.ones(np.broadcast(a, b, c, z).shape)
-    term = total.copy()
+def hyp2f1(a, b, c, z, tol: float = 1e-13, max_terms: int = 5_000_000):
+    """Gauss 2F1 by its power series on arrays, for 0 <= z < 1; an error if that does not end.
+
+    Only the elements that still change are carried on.
+    """
+    a, b, c, z = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, c, z)))
+    shape = z.shape
+    a, b, c, z = (np.ravel(v) for v in (a, b, c, z))
+    out, open_ = np.ones(z.shape), np.arange(z.size)
+    total, term = np.ones(z.shape), np.ones(z.shape)
     for n in range(max_terms):
+        if not open_.size:
+            return out.reshape(shape)
         term = term * (a + n) * (b + n) / ((c + n) * (n + 1.0)) * z
         total = total + term
-        if term.size == 0 or np.all(np.abs(term) <= tol * np.abs(total)):
-            return total
-    return total
+        # What follows is about a geometric series with ratio z: it must be small as a whole.
+        done = np.abs(term) <= tol * np.abs(total) * (1.0 - z)
+        if n % 16 == 0 and done.any():
+            out[open_[done]] = total[done]
+            go = ~done
+            open_, total, term, a, b, c, z = (v[go] for v in (open_, total, term, a, b, c, z))
+    raise ArithmeticError(f"2F1 did not converge in {max_terms} terms")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -56,7 +67,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 500):
+    for m in range(1, 100_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
@@ -65,29 +76,46 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError("the continued fraction did not converge")
+
+
+def _ln_gamma_ratio(a: float, b: float) -> float:
+    """ln Γ(a + b) − ln Γ(a), by Stirling's series where the two would cancel."""
+    if a < 1e5 or b > a:
+        return math.lgamma(a + b) - math.lgamma(a)
+    tail = lambda z: sum(c / z ** (2 * k + 1) for k, c in enumerate(STIRLING))
+    return (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b + tail(a + b) - tail(a)
 
 
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
+def beta_inc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta function I_x(a, b); ``y`` is 1 − x where it is known more exactly."""
+    y = 1.0 - x if y is None else y
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x))
+    large, small = max(a, b), min(a, b)
+    ln_x = math.log(x) if x < 0.5 else math.log1p(-y)
+    ln_y = math.log(y) if y < 0.5 else math.log1p(-x)
+    front = math.exp(_ln_gamma_ratio(large, small) - math.lgamma(small) + a * ln_x + b * ln_y)
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, y) / b
 
 
 def p_two_sided_t(t: float | None, df: float) -> float | None:
-    return None if t is None or df <= 0 else beta_inc(df / 2.0, 0.5, df / (df + t * t))
+    if t is None or df <= 0:
+        return None
+    whole = df + t * t
+    return beta_inc(df / 2.0, 0.5, df / whole, t * t / whole)
 
 
 def p_upper_f(f: float | None, d1: float, d2: float) -> float | None:
-    return None if f is None or d2 <= 0 else beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    if f is None or d2 <= 0:
+        return None
+    whole = d2 + d1 * f
+    return beta_inc(d2 / 2.0, d1 / 2.0, d2 / whole, d1 * f / whole)
 
 
 def p_two_sided_z(z: float | None) -> float | None:

@@ -16,26 +16,31 @@ MAX_LEVELS = 200
 BROADCAST_ROWS = 100_000
 # Labels of the place segments, lowest sales first.
 CITY_LABELS = ("E", "D", "C", "B", "A")
-# Columns the churn label was made from; a model that may use them only repeats the rules.
+# The columns the churn label was made from; a model that may use them only repeats the rules.
 LEAKING = ("recency", "frequency", "monetary", "recency_score", "frequency_score",
            "monetary_score", "total_transaction", "total_unit", "total_price", "avg_order_value",
            "purchase_frequency", "profit_margin", "customer_value", "cltv", "rfm_score",
            "segment")
 
 
-def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct non-null values per column; an error for a column with very many."""
+def levels(df: DataFrame, columns: Sequence[str], most: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted distinct non-null values per column; an error for a column with more than ``most``.
+
+    The sketch only keeps columns with very many values from being collected.
+    """
     row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    wide = [c for c in columns if row[c] > 2 * MAX_LEVELS]
+    narrow = [c for c in columns if row[c] <= 2 * most]
+    got = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in narrow]).first() if narrow else {}
+    wide = [c for c in columns if c not in narrow or len(got[c]) > most]
     if wide:
-        raise ValueError(f"too many levels for dummy columns: {wide}")
-    got = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).first()
+        raise ValueError(f"more than {most} levels for dummy columns: {wide}")
     return {c: list(got[c]) for c in columns}
 
 
-def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> DataFrame:
+def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True,
+            most: int = MAX_LEVELS) -> DataFrame:
     """0/1 column ``<column>_<level>`` per level in place of the columns; NULL gives all zeros."""
-    found = levels(df, columns)
+    found = levels(df, columns, most)
     added = {f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("long"), F.lit(0).cast("long"))
              for c in columns for v in found[c][1 if drop_first else 0:]}
     return df.withColumns(added).drop(*columns)

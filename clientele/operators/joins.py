@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # A key with more than this share of the rows is spread over several tasks. At most
 # 1 / HOT_SHARE keys can be that frequent, so their list is bounded.
 HOT_SHARE = 0.005
+# Rows of one key that a task joins.
+TASK_ROWS = 1_000_000
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> dict[object, int]:
@@ -36,32 +38,38 @@ def heavy_keys_by_count(features: DataFrame, key: str, rows: str,
     return {r[0]: r[1] for r in frequent.select(key, rows).collect()}
 
 
+def salts_of(hot: dict[object, int], task_rows: int = TASK_ROWS) -> dict[object, int]:
+    """How many tasks the rows of each frequent key are spread over, for those that need more than one."""
+    return {k: math.ceil(n / task_rows) for k, n in hot.items() if n > task_rows}
+
+
 def attach(lines: DataFrame, features: DataFrame, key: str, how: str = "left",
-           share: float = HOT_SHARE, rows: str | None = None) -> DataFrame:
+           share: float = HOT_SHARE, rows: str | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Join features (one row per key) to lines; a key that is very frequent is salted.
 
-    The rows of a frequent key are spread over several salts and its one feature row is copied to
-    each of them, so the join is one ordinary equi-join whose largest task is bounded. Any salt
-    gives the right partner, because all of them exist on the feature side. ``rows`` names a
-    feature column with the key's number of lines (used up here); without it a sketch over the
-    lines finds the frequent keys.
+    The rows of a frequent key are spread over as many salts as give ``task_rows`` to each, and its
+    one feature row is copied to each of them, so the join is one ordinary equi-join. Any salt gives
+    the right partner, because all of them exist on the feature side. ``rows`` names a feature
+    column with the key's number of lines (used up here); without it a sketch over the lines finds
+    the frequent keys.
     """
     if rows:
         hot = heavy_keys_by_count(features, key, rows, share)
         features = features.drop(rows)
     else:
         hot = heavy_keys(lines, key, share)
-    if not hot:
+    salts = salts_of(hot, task_rows)
+    if not salts:
         return lines.join(features, key, how)
-    salts = min(1000, max(2, math.ceil(2 * max(hot.values()) / min(hot.values()))))
-    is_hot = F.col(key).isin(list(hot))
+    known = F.create_map(*[F.lit(x) for pair in salts.items() for x in pair])  # at most 2 / share keys
+    is_hot = F.col(key).isin(list(salts))
     # Content and input partition decide the salt: equal rows of different partitions spread too,
     # and a recomputed task sends every row to the same place as before.
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in lines.columns])
-                    + F.spark_partition_id(), F.lit(salts))
+                    + F.spark_partition_id(), F.element_at(known, F.col(key)))
     left = lines.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)).cast("long"))
     right = features.withColumn("_salt", F.explode(F.when(
-        is_hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+        is_hot, F.sequence(F.lit(0).cast("long"), F.element_at(known, F.col(key)).cast("long") - 1)
     ).otherwise(F.array(F.lit(0).cast("long")))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 

@@ -33,6 +33,7 @@ def class_metrics(df: DataFrame, label: str = "label", prob: str = "prob",
     """Accuracy, F1, precision and recall of the positive class, and AUC, per fold."""
     rows = df.withColumn("_fold", F.col(fold) if fold else F.lit(0)).select(
         F.col("_fold").alias("fold"), F.col(label).cast("int").alias("y"), F.col(prob).alias("p"))
+    rows = stage(rows, "scored")  # read for the rates and for the area; scoring is the costly part
     rates = rows.groupBy("fold").agg(*_rates(F.col("y"), threshold_flag("p", cut)))
     return rates.join(auc(rows, "y", "p", "fold", folds), "fold")
 

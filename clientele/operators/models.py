@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -121,11 +120,6 @@ def fit_kernel_svm(train: DataFrame, components: int = 200, gamma: float | None
     return Fitted(score)
 
 
-STUMP = re.compile(r"If \(feature (\d+) <= (\S+)\)\s+Predict: (\S+)\s+Else .*\s+Predict: (\S+)")
-
-LEAF = re.compile(r"Predict: (\S+)")
-
-
 def fit_adaboost(train: DataFrame, rounds: int = 50) -> Fitted:
     """AdaBoost (SAMME) over depth-1 trees.
 
@@ -147,12 +141,13 @@ def fit_adaboost(train: DataFrame, rounds: int = 50) -> Fitted:
             miss = lambda *s: (vote(*s) != F.col("label")).cast("double")
             weighted = data.withColumn("_w", F.exp(total(miss)))
             model = DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=SEED).fit(weighted)
-            found = STUMP.search(model.toDebugString)
-            if found:
-                stump = (int(found[1]), float(found[2]), float(found[3]), float(found[4]))
+            root = model._java_obj.rootNode()
+            if model.numNodes > 1:
+                split = root.split()
+                stump = (split.featureIndex(), split.threshold(), root.leftChild().prediction(),
+                         root.rightChild().prediction())
             else:  # both sides vote alike: a constant, which still shifts the weights
-                leaf = float(LEAF.search(model.toDebugString)[1])
-                stump = (0, math.inf, leaf, leaf)
+                stump = (0, math.inf, root.prediction(), root.prediction())
             wrong, whole = weighted.agg(F.sum(F.col("_w") * miss(*stump)), F.sum("_w")).first()
             error = min(max(wrong / whole, 1e-10), 1.0 - 1e-10)
             if error >= 0.5:

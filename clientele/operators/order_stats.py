@@ -123,13 +123,14 @@ def _narrow(data, x, spans, found, task_rows):
         for p in ps:
             at = (p - s.before) / s.count
             probs += [max(0.0, at - slack), min(1.0, at + slack)]
-        exprs.append(F.percentile_approx(
-            F.when(_inside(x[n], s), x[n]), probs, accuracy).alias(f"e{i}"))
+        value = F.when(_inside(x[n], s), x[n])
+        exprs += [F.percentile_approx(value, probs, accuracy).alias(f"e{i}"),
+                  F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
     edges_row = data.agg(*exprs).first()
 
     exprs, cuts = [], []
     for i, (n, s, ps) in enumerate(large):
-        edges = sorted(set(edges_row[f"e{i}"]))
+        edges = sorted(_edges(edges_row[f"e{i}"], edges_row[f"lo{i}"], edges_row[f"hi{i}"]))
         cuts.append(edges)
         inside = _inside(x[n], s)
         for j, e in enumerate(edges):
@@ -157,6 +158,17 @@ def _narrow(data, x, spans, found, task_rows):
     return out
 
 
+def _edges(sketch, lo, hi) -> set:
+    """Where to cut a span: at the sketch's values, which are values of the column.
+
+    The sketch computes in doubles, so a LONG beyond 2^53 comes back rounded, perhaps outside the
+    span. Such a span is also cut at both ends and in its middle: it halves in every round.
+    """
+    if isinstance(lo, int) and max(abs(lo), abs(hi)) >= 1 << 53:
+        return {e for e in map(int, sketch) if lo <= e <= hi} | {lo, hi, (lo + hi) // 2}
+    return set(sketch)
+
+
 def _finish(data, x, integral, spans, found):
     """Rank the distinct values of the remaining small spans and pick the positions."""
     keyed = list(spans.items())

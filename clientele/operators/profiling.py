@@ -13,8 +13,6 @@ from clientele.functions.scalars import safe_ratio
 from clientele.operators.order_stats import exact_quantiles
 
 QUANTILES = (0.0, 0.05, 0.5, 0.95, 0.99, 1.0)
-# Above this many rows distinct counts for column roles use the approximate counter.
-EXACT_DISTINCT_ROWS = 50_000_000
 
 
 def is_numeric(f: T.StructField) -> bool:
@@ -108,26 +106,26 @@ def missing_values(df: DataFrame) -> DataFrame:
             .orderBy(F.desc("n_miss"), "column"))
 
 
-def distinct_counts(df: DataFrame, exact_rows: int = EXACT_DISTINCT_ROWS) -> dict[str, int]:
-    """Distinct non-null values per column; beyond ``exact_rows`` rows by the approximate counter.
+def distinct_counts(df: DataFrame, exact_to: int = 60) -> dict[str, int]:
+    """Distinct non-null values per column, exact for columns with at most about ``exact_to``.
 
-    Roles only compare the counts with small limits. The exact form copies each row once per
-    column into one shuffle, so large tables use the sketch, which merges map-side.
+    One pass sketches all columns; then only those near or below ``exact_to`` are counted exactly,
+    where few values make a small shuffle. Roles compare the counts with limits below that.
     """
     names = df.columns
-    n = df.count()
-    if n > exact_rows:
-        row = df.agg(*[F.approx_count_distinct(f"`{c}`", 0.01).alias(f"c{i}")
-                       for i, c in enumerate(names)]).first()
-    else:
-        row = df.agg(*[F.countDistinct(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).first()
-    return {c: row[f"c{i}"] for i, c in enumerate(names)}
+    row = df.agg(*[F.approx_count_distinct(f"`{c}`", 0.02).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    counts = {c: row[f"c{i}"] for i, c in enumerate(names)}
+    few = [c for c in names if counts[c] <= exact_to]
+    if few:
+        exact = df.agg(*[F.size(F.collect_set(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(few)]).first()
+        counts |= {c: exact[f"c{i}"] for i, c in enumerate(few)}
+    return counts
 
 
 def column_roles(df: DataFrame, category_below: int = 10,
                  cardinal_above: int = 20) -> dict[str, list[str]]:
     """Sort the columns by type and distinct count into categorical, numeric and cardinal."""
-    counts = distinct_counts(df)
+    counts = distinct_counts(df, 3 * max(category_below, cardinal_above))
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     few = [c for c in df.columns if c not in text and counts[c] < category_below]
     cardinal = [c for c in df.columns if c in text and counts[c] > cardinal_above]

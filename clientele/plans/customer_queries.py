@@ -109,8 +109,15 @@ def churn_label(spark, sf):
         "customer_id", "order_id", "line_number", "recency", "tenure", "rfm_score", "segment", "churn")
 
 
-@query("churn_label_from_data", ALL.rstrip() + """,
-joined as (select l.customer_id, order_id, line_number, s.*exclude(customer_id), c.cltv
+def _once(sql: str, *names: str) -> str:
+    """The statement with some of its parts computed once."""
+    for n in names:
+        sql = sql.replace(f"{n} as (", f"{n} as materialized (")
+    return sql
+
+
+@query("churn_label_from_data", _once(ALL, "lines", "totals", "metrics", "scores", "segments", "cltv").rstrip() + """,
+joined as materialized (select l.customer_id, order_id, line_number, s.*exclude(customer_id), c.cltv
            from lines l join segments s using (customer_id) join cltv c using (customer_id)),
 lim as (select avg(cltv) cm, avg(tenure) tm, quantile_cont(cltv, .25) cq,
                quantile_cont(tenure::double, .25) tq from joined)

@@ -20,6 +20,8 @@ SMALL = {
     "CatBoost": {"rounds": 5, "max_depth": 4},
 }
 FOLDS = (0, 1)
+# Fixed value: the share of the majority class that undersampling drops.
+DROPPED_SHARE = 0.7832800563471853
 
 
 def _small(*names):
@@ -48,7 +50,7 @@ def _folded(data):
 
 @query("kmeans_segments")
 def kmeans_segments(spark, sf):
-    return clusters.cluster_profile(clusters.cluster_customers(_rfm(spark, sf), k=4, starts=3))
+    return clusters.cluster_profile(clusters.cluster_customers(_rfm(spark, sf), k=4, starts=10))
 
 
 @query("elbow")
@@ -84,10 +86,23 @@ def model_compare_all_columns(spark, sf):
     return models.compare_models(_folded(data), _small("CART", "RF", "LightGBM"), FOLDS)
 
 
+@query("model_class_sizes", with_(LINES, TOTALS, METRICS, SCORES, SEGMENTS, CLTV, CHURN, """
+n as (select c.churn as label, count(*) as before from lines l join churned c using (customer_id) group by 1)""") + """
+select label, before, case when label = 1 then before
+  else round_even((1 - 0.7832800563471853) * before, 0)::bigint end as after from n""")
+def model_class_sizes(spark, sf):
+    """Rows per class of the model's frame before and after undersampling."""
+    data, _ = _model_rows(spark, sf, noise=())
+    few = sampling.undersample(data, "label", frac=1 - DROPPED_SHARE, key=[c for c in data.columns if c != "features"])
+    count = lambda df, name: df.groupBy(F.col("label").cast("long").alias("label")).agg(
+        F.count("*").alias(name))
+    return count(data, "before").join(count(few, "after"), "label")
+
+
 @query("model_compare_undersampled")
 def model_compare_undersampled(spark, sf):
     data, _ = _model_rows(spark, sf)
-    few = sampling.undersample(data, "label", frac=0.7832800563471853, key=[
+    few = sampling.undersample(data, "label", frac=1 - DROPPED_SHARE, key=[
         c for c in data.columns if c != "features"])
     return models.compare_models(_folded(few), _small("CART", "RF", "LightGBM"), FOLDS)
 

@@ -112,6 +112,14 @@ def corr_ranked(spark, sf):
     return profiling.ranked_correlations(pairs)
 
 
+@query("corr_strong", f"""
+select a, b, round(r, 6) as r from ({_corr_sql(LINE_NUMBERS)}) where r >= 0.0 and r <> 1""")
+def corr_strong(spark, sf):
+    """The masked matrix: pairs at or above a limit, without perfect ones."""
+    pairs = profiling.correlations(table(spark, sf, "lineitem"), LINE_NUMBERS)
+    return profiling.strong_pairs(pairs, 0.0).select("a", "b", F.round("r", 6).alias("r"))
+
+
 @query("high_corr", f"""
 select distinct b as "column" from ({_corr_sql(LINE_NUMBERS)}) where abs(r) > 0.5""")
 def high_corr(spark, sf):

@@ -69,4 +69,8 @@ def catalog_tables(spark, sf):
         view.createOrReplaceTempView(n)
         one = view.agg(F.count("*").alias("rows")).select(F.lit(n).alias("tableName"), "rows")
         counts = one if counts is None else counts.unionByName(one)
-    return list_tables(spark).where("isTemporary").select("tableName", "isTemporary").join(counts, "tableName")
+    found = list_tables(spark).where("isTemporary").select("tableName", "isTemporary")  # listed now
+    for n in CATALOG:
+        spark.catalog.dropTempView(n)
+    return found.join(counts, "tableName")
+

@@ -42,15 +42,17 @@ def build_session(master: str | None = None, partitions: int | None = None,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make any session ready: skew handling on, package known to the Python workers."""
+    """Make any session ready: skew handling on, package known to the worker processes."""
+    given = spark.sparkContext.getConf()
     for key, value in SKEW_SETTINGS.items():
-        spark.conf.set(key, value)
+        if not given.contains(key):  # what the caller chose stays
+            spark.conf.set(key, value)
     ship_package(spark)
     return spark
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, wherever the session was started from."""
+    """Give the worker processes this package, wherever the session was started from."""
     sc = spark.sparkContext
     name = f"{Path(__file__).parent.name}.zip"
     if any(Path(p).name == name for p in sc.listFiles):

@@ -43,7 +43,7 @@ def read_jdbc(spark: SparkSession, options: dict[str, str], **kw) -> DataFrame:
 def write_jdbc(df: DataFrame, options: dict[str, str], table: str, replace: bool = True,
                connections: int = 16, batch: int = 10_000) -> None:
     """Write a table, at most ``connections`` tasks at a time."""
-    (df.coalesce(connections).write.format("jdbc")
+    (df.repartition(connections).write.format("jdbc")
      .options(**options, dbtable=table, batchsize=str(batch))
      .mode("overwrite" if replace else "append").save())
 

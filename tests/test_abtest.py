@@ -68,3 +68,8 @@ def test_proportions():
     p = 75 / 220
     assert z == pytest.approx((.3 - .375) / math.sqrt(p * (1 - p) * (1 / 100 + 1 / 120)))
     assert A.proportions_z(5, 2, 5, 2) == (None, None)
+
+
+def test_tails_with_very_many_degrees_of_freedom():
+    for df in (1e8, 1e10, 1e12, 1e15):
+        assert special.p_two_sided_t(1.0, df) == pytest.approx(special.p_two_sided_z(1.0), rel=1e-6)

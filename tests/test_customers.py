@@ -83,7 +83,7 @@ def test_attach_spreads_a_hot_key(spark):
         F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("k"), F.lit(0).alias("same"))
     feats = many.groupBy("k").agg(F.count("*").alias("n")).withColumn("f", F.col("k") * 2)
     assert 1 in joins.heavy_keys(many, "k") and len(joins.heavy_keys(many, "k")) < 200
-    for got in (joins.attach(many, feats.drop("n"), "k"), joins.attach(many, feats, "k", rows="n")):
+    for got in (joins.attach(many, feats.drop("n"), "k", task_rows=100), joins.attach(many, feats, "k", rows="n", task_rows=100)):
         assert "_salt" in got._jdf.queryExecution().optimizedPlan().toString()
         assert got.count() == 6000 and got.where("f = 2 * k").count() == 6000
 
@@ -130,3 +130,12 @@ def test_profile_with_nan_and_null(spark):
     miss = {r["column"]: (r.n_miss, r.ratio) for r in profiling.missing_values(df).collect()}
     assert miss == {"x": (2, 50.0), "s": (1, 25.0)}
     assert profiling.check_df(df).count() == 2
+
+
+def test_frequent_keys_are_spread_by_their_rows(spark):
+    lines = spark.range(20_000).selectExpr("if(id % 10 < 9, 1, id) as k", "id")
+    feats = lines.select("k").distinct().selectExpr("k", "k * 2 as f")
+    joined = joins.attach(lines, feats, "k", task_rows=1000)
+    assert joined.count() == 20_000 and joined.where("f <> k * 2").count() == 0
+    salts = joins.salts_of(joins.heavy_keys(lines, "k"), 1000)
+    assert 18 <= salts[1] <= 20 and len(salts) == 1

@@ -86,3 +86,9 @@ def test_clv_discounting(spark):
     profit = s.select(L.expected_profit(g)).first()[0]
     assert none == pytest.approx(e * profit)
     assert L.with_clv(s, m, g, months=3).first().clv < none
+
+
+def test_hyp2f1_near_one():
+    assert hyp2f1(1, 1, 2, 0.9999) == pytest.approx(-np.log1p(-0.9999) / 0.9999, rel=1e-9)
+    with pytest.raises(ArithmeticError):
+        hyp2f1(1, 1, 2, np.array([0.5, 0.9999]), max_terms=200)

@@ -82,3 +82,13 @@ def test_empty_and_single(spark):
     assert o.qcut(empty, "x", 4, "b").count() == 0
     one = spark.createDataFrame([(3.0,)], "x double")
     assert o.exact_quantiles(one, {"x": ("x", [0, .5, 1])}) == {"x": [3.0, 3.0, 3.0]}
+
+
+def test_long_values_beyond_double_precision(spark):
+    big = (1 << 60) + 1
+    values = [big] * 600 + [big + i for i in range(1, 300)] + [-(1 << 62) - 3] * 200
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+    n, got = o.select_positions(df, {"v": "v"}, lambda _, n: [1, 200, 201, 800, 801, 900, n], task_rows=30)
+    ranked = sorted(values)
+    assert n["v"] == len(values)
+    assert {p: s.value for p, s in got["v"].items()} == {p: ranked[p - 1] for p in (1, 200, 201, 800, 801, 900, len(values))}
