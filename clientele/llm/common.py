@@ -1,19 +1,16 @@
-"""What several operators share: worker set-up, appended columns, ordered running totals."""
+"""What several operators share: worker set-up, column helpers, ordered running totals."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from pathlib import Path
+from collections.abc import Iterable, Sequence
 
-import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clientele.session import ship_package, shared_folder, stage
 
-__all__ = ["read_table", "ready", "stage", "shared_folder", "fresh", "with_arrow", "ordered_totals",
-           "ASCII_SPACES", "ascii_lower", "split_words", "StorageLevel", "Path"]
+__all__ = ["read_table", "ready", "stage", "shared_folder", "fresh", "ordered_totals",
+           "ASCII_SPACES", "ascii_lower", "split_words"]
 
 #: The white space of the word and line rules, and the letters they lower-case.
 ASCII_SPACES = " \t\n\x0b\x0c\r"
@@ -21,7 +18,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Make the package known to the Python workers."""
+    """Make the package known to the worker processes."""
     ship_package(spark)
     return spark
 
@@ -48,33 +45,13 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def with_arrow(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.StructField],
-               make: Callable[[], Callable[[list[list]], list[pa.Array]]]) -> DataFrame:
-    """``df`` with columns that a Python function computes from whole columns of a batch.
-
-    ``make`` runs once per task and gives the function; that gets the values of ``inputs`` and
-    returns an Arrow array per field. The rows and all other columns pass through unchanged.
-    """
-    schema = T.StructType([*df.schema.fields, *fields])
-    positions = [df.columns.index(c) for c in inputs]
-    names = [f.name for f in schema.fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = make()
-        for batch in batches:
-            made = compute([batch.column(p).to_pylist() for p in positions])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names)
-
-    return df.mapInArrow(run, schema)
-
-
 def ordered_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Column],
                    name: str = "ordered") -> DataFrame:
     """``df`` with running totals, before each row, over one global order.
 
-    ``sums`` maps new columns to what they add up (long or double). The rows are cut into ordered ranges and written
-    once; only one row per range is summed in order, so no task sees more than a range. The order
-    should be total: equal rows may be cut apart, which changes nothing but which of them is first.
+    ``sums`` maps new columns to what they add up (long or double). The rows are cut into ordered
+    ranges and written once; only one row per range is summed in order, so no task sees more than a
+    range. The order should be total: equal rows may come in any order.
     """
     pid = fresh("_range", df.columns)
     keys = [fresh(f"_order{i}", df.columns) for i in range(len(order))]

@@ -140,8 +140,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = stage(hash_lines(docs, id_col, text_col, min_chars), "lines")
     runs = LineRuns(spark, fanout)
     low, high = lines.agg(F.min("doc"), F.max("doc")).first()
-    width = ((high - low) // batches + 1) if low is not None else 1
-    part = F.coalesce(F.floor((F.col("doc") - F.lit(low)) / F.lit(width)), F.lit(0))
+    low, high = (0, 0) if low is None else (low, high)
+    # In decimals: ids may lie far apart.
+    part = F.expr(f"coalesce((cast(doc as decimal(20, 0)) - {low}) div {(high - low) // batches + 1}, 0)")
     for i in range(batches):
         batch = lines.where("is_first").where(part == i)
         runs.add(batch.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_doc")))

@@ -67,13 +67,10 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies
               .withColumn("ratio", F.col("cap") / F.col("weight")))
     run = ordered_totals(ranked, [F.col("ratio"), F.col("rank")], {
         "cap_before": F.col("cap"), "weight_before": F.col("weight")}, "caps")
-    everything = run.agg(F.sum("total").cast("double").alias("all_words"), F.sum("weight").alias("all_weight"))
-    run = run.crossJoin(F.broadcast(everything)).withColumn(  # one row
-        "level", (F.col("all_words") - F.col("cap_before")) / (F.col("all_weight") - F.col("weight_before")))
-    first = run.where("ratio > level").agg(F.min(F.struct("ratio", "rank", "level"))["level"].alias("fill"))
-    run = run.crossJoin(F.broadcast(first))  # one row
-    target = F.when(F.col("fill").isNull(), F.col("cap")).otherwise(
-        F.least(F.col("cap"), F.col("fill") * F.col("weight")))
+    words, weight = run.agg(F.sum("total").cast("double"), F.sum("weight")).first()
+    run = run.withColumn("level", (F.lit(words) - F.col("cap_before")) / (F.lit(weight) - F.col("weight_before")))
+    fill = run.where("ratio > level").agg(F.min(F.struct("ratio", "rank", "level"))["level"]).first()[0]
+    target = F.col("cap") if fill is None else F.least(F.col("cap"), F.lit(fill) * F.col("weight"))
     return run.select("source", "total", "weight", "low", "high", "moment", target.alias("target"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.llm.common import ascii_lower, fresh, stage
 
-FIT_ROWS = 20_000  # the most labelled rows the trees are fitted on
+FIT_ROWS = 20_000  # the trees are fitted on about so many labelled rows, fewer than twice as many
 UNSIGNED_WEIGHT = 0.25
 PRIOR = 20.0  # labelled rows a suffix is taken to have had, half of them blocked
 TREES, DEPTH = 12, 3
@@ -130,11 +130,11 @@ def featured(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = R
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SEED):
-    """Boosted trees on at most ``fit_rows`` rows, those with the smallest hashes; None with one class only."""
+    """Boosted trees on about ``fit_rows`` rows, chosen by the hash of their url; None with one class only."""
     marked = rows.withColumns({"weight": F.when(F.col("label").isNull(), UNSIGNED_WEIGHT).otherwise(1.0),
                                "label": F.coalesce("label", F.lit(0.0))})
-    sample = stage(marked.orderBy(F.xxhash64(F.lit(seed), F.col("url")), "url").limit(fit_rows)
-                   .select("label", "weight", *FEATURES), "fit")
+    chosen = F.pmod(F.xxhash64(F.lit(seed), F.col("url")), F.lit(max(1, rows.count() // fit_rows))) == 0
+    sample = stage(marked.where(chosen).select("label", "weight", *FEATURES), "fit")
     if sample.select("label").distinct().count() < 2:
         return None
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(sample).select("label", "weight", "x")
