@@ -122,7 +122,10 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
     prefix = "_quality_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
-    out = judge(docs, text_col, max_lost, prefix).where(F.col(prefix + "kept"))
+    out = judge(docs, text_col, max_lost, prefix).withColumn(prefix + "row", F.monotonically_increasing_id())
+    # A row number is not pushed down, and so the condition that names it: else the optimizer moves the
+    # filter below the steps of judge() and puts all of them into it, again and again.
+    out = out.where(F.col(prefix + "kept") & (F.col(prefix + "row") >= 0))
     cleaned = F.when(F.col(prefix + "n_lines_removed") > 0, F.col(prefix + "clean_text")).otherwise(F.col(text_col))
     new = {text_col: cleaned}
     if chars_col in docs.columns:
