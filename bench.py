@@ -23,7 +23,7 @@ HEADLINE = (
     "lifetime_summary", "bgnbd_fit", "gg_fit", "clv", "backtest", "check_df", "describe",
     "outlier_limits", "remove_outliers", "rank_first", "qcut_labels", "city_join", "corr_pairs",
     "value_counts", "sample_exact", "class_metrics", "mann_whitney", "group_sum_topk",
-    "csv_roundtrip",
+    "csv_roundtrip", "kmeans_segments", "knn_vote", "shapiro",
 )
 
 

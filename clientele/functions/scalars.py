@@ -85,10 +85,6 @@ def null_safe_not(mask: Column) -> Column:
     return ~F.coalesce(mask, F.lit(False))
 
 
-def without_nan(c: str | Column) -> Column:
-    """NaN to NULL, for use at the ingest of floating-point columns."""
-    return F.when(~F.isnan(col(c)), col(c))
-
 
 def threshold_flag(prob: str | Column, cut: float = 0.5) -> Column:
     """1 above the cut, else 0 (a missing probability is not above it)."""
@@ -108,7 +104,3 @@ def probability_band(prob: str | Column, bands=PROBABILITY_BANDS) -> Column:
 
 def interpolate(lo: float, hi: float, frac: float) -> float:
     return lo if frac == 0 or lo == hi else lo + (hi - lo) * frac
-
-
-def round_half_even(c: str | Column, digits: int) -> Column:
-    return F.bround(col(c), digits)

@@ -15,6 +15,41 @@ HALF_LOG_TWO_PI = 0.5 * math.log(2.0 * math.pi)
 SHIFT = 8
 # First Stirling-series terms, B(2k) / (2k (2k-1)).
 STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680)
+# The rational approximations of algorithm AS 241 (Wichura 1988) for the inverse of the
+# normal distribution, numerator and denominator by rising powers: centre, tails, far tails.
+NORMAL_CENTRE = (
+    (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125,
+     45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+    (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077,
+     21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610))
+NORMAL_TAIL = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504,
+     1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550,
+     0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9))
+NORMAL_FAR = (
+    (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230,
+     0.0265321895265761230930, 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525,
+     7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15))
+
+
+def _rational(parts: tuple, x: Column) -> Column:
+    def poly(c):
+        out = F.lit(c[-1])
+        for k in reversed(c[:-1]):
+            out = out * x + F.lit(k)
+        return out
+    return poly(parts[0]) / poly(parts[1])
+
+
+def inverse_normal(u: Column) -> Column:
+    """The normal quantile of 0 < u < 1."""
+    q = u - F.lit(0.5)
+    t = F.sqrt(-F.ln(F.least(u, F.lit(1.0) - u)))
+    tail = F.when(t <= 5.0, _rational(NORMAL_TAIL, t - F.lit(1.6))).otherwise(_rational(NORMAL_FAR, t - F.lit(5.0)))
+    return F.when(F.abs(q) <= 0.425, q * _rational(NORMAL_CENTRE, F.lit(0.180625) - q * q)).otherwise(
+        F.signum(q) * tail)
 
 
 def ln_gamma(x: Column) -> Column:

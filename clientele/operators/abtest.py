@@ -11,22 +11,18 @@ import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clientele.functions.special import (
-    p_two_sided_t, p_two_sided_z, p_upper_f, p_upper_z)
+    inverse_normal, p_two_sided_t, p_two_sided_z, p_upper_f, p_upper_z)
 from clientele.operators.order_stats import exact_quantiles, running_totals, select_positions
 from clientele.session import stage
 
 NORMAL = NormalDist()
 # Sample size up to which the approximation behind the Shapiro-Wilk p-value was made.
 SHAPIRO_TESTED_N = 5000
-# Samples up to this size are sorted on the driver.
-SHAPIRO_LOCAL_ROWS = 20_000
-# Runs of equal values beyond this length use the integral of the normal scores in the middle.
-SCORE_RUN = 1000
+# Ranks of equal values that one row adds up.
+SCORE_RUN = 100_000
 # Polynomial coefficients (rising powers) of Royston's 1995 algorithm.
 ROYSTON_LAST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
 ROYSTON_SECOND = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
@@ -143,31 +139,15 @@ def mann_whitney_z(u: float, a: float, b: float, tie_term: float):
 
 # --- Shapiro-Wilk -----------------------------------------------------------------------------
 
-def _score(rank, n: int) -> np.ndarray:
-    u = (np.atleast_1d(np.asarray(rank, dtype=float)) - 0.375) / (n + 0.25)
-    return np.array([NORMAL.inv_cdf(x) for x in u])
+def _score(rank: Column, n: int) -> Column:
+    """The normal score of a rank in a sample of n."""
+    return inverse_normal((rank - F.lit(0.375)) / F.lit(n + 0.25))
 
 
-def _score_run(first: int, last: int, n: int) -> float:
-    """Sum of the normal scores of ranks first…last."""
-    if last - first < SCORE_RUN:
-        return float(_score(np.arange(first, last + 1), n).sum())
-    edge = 200
-    ends = np.r_[first:first + edge, last - edge + 1:last + 1]
-    lo, hi = _score([first + edge - 0.5, last - edge + 0.5], n)
-    # The integral of the inverse normal distribution function is minus the density.
-    middle = (n + 0.25) * (NORMAL.pdf(lo) - NORMAL.pdf(hi))
-    return float(_score(ends, n).sum() + middle)
-
-
-def _score_squares(n: int) -> float:
-    """Sum of all squared normal scores."""
-    edge = 100_000
-    if n <= 4 * edge:
-        return float((_score(np.arange(1, n + 1), n) ** 2).sum())
-    tail = 2.0 * float((_score(np.arange(1, edge + 1), n) ** 2).sum())
-    z = float(_score(edge + 0.5, n)[0])
-    return tail + (n + 0.25) * (1.0 - 2.0 * (NORMAL.cdf(z) - z * NORMAL.pdf(z)))
+def _score_squares(spark: SparkSession, n: int) -> float:
+    """Sum of all squared normal scores; the scores are symmetric, so half of them are added up."""
+    half = spark.range(1, n // 2 + 1).select(F.col("id").cast("double").alias("k"))
+    return 2.0 * (half.agg(F.sum(_score(F.col("k"), n) * _score(F.col("k"), n))).first()[0] or 0.0)
 
 
 def _poly(c: Sequence[float], x: float) -> float:
@@ -191,54 +171,41 @@ def shapiro_p(w: float, n: int) -> float:
     return p_upper_z((y - _poly(ROYSTON_MEAN, ln)) / math.exp(_poly(ROYSTON_SD, ln)))
 
 
-def shapiro(df: DataFrame, column: str,
-            local_rows: int = SHAPIRO_LOCAL_ROWS) -> tuple[int, float | None, float | None]:
-    """Sample size, W and p. W uses every row, however many; beyond 5000 rows p is extrapolated.
-
-    A sample of at most ``local_rows`` values is fetched; a larger one is ranked by Spark.
-    """
+def shapiro(df: DataFrame, column: str) -> tuple[int, float | None, float | None]:
+    """Sample size, W and p. W uses every row, however many; beyond 5000 rows p is extrapolated."""
     v = F.col(column).cast("double")
     values = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
-    few = values.limit(local_rows + 1).toPandas()["v"].to_numpy()
-    if len(few) <= local_rows:
-        n, x = len(few), np.sort(few)
-        if n < 3 or x[0] == x[-1]:
-            return n, None, None
-        ends = (x[0], x[1], x[-2], x[-1])
-        weighted = float((x * _score(np.arange(1, n + 1), n)).sum())
-        spread = float(((x - x.mean()) ** 2).sum())
-    else:
-        n_values, found = select_positions(values, {"v": "v"}, lambda _, n: [1, 2, n - 1, n])
-        n, stats = n_values["v"], found["v"]
-        ends = tuple(stats[p].value for p in (1, 2, n - 1, n))
-        weighted = _weighted_scores(values, n)
-        spread = values.agg(F.var_samp("v")).first()[0] * (n - 1)
+    n_values, found = select_positions(values, {"v": "v"}, lambda _, n: [1, 2, n - 1, n])
+    n, stats = n_values["v"], found["v"]
+    if n < 3 or stats[1].value == stats[n].value:
+        return n, None, None
+    ends = tuple(stats[p].value for p in (1, 2, n - 1, n))
+    weighted = _weighted_scores(values, n)
+    spread = values.agg(F.var_samp("v")).first()[0] * (n - 1)
     if not spread:
         return n, None, None
-    w = _shapiro_w(n, ends, weighted, spread)
+    w = _shapiro_w(n, ends, weighted, spread, _score_squares(df.sparkSession, n))
     return n, float(w), float(shapiro_p(w, n))
 
 
 def _weighted_scores(values: DataFrame, n: int) -> float:
-    """Sum of value times normal score over the table of distinct values."""
-    @F.pandas_udf("double")
-    def scores(first: pd.Series, count: pd.Series) -> pd.Series:
-        single = (count == 1).to_numpy()
-        out = np.empty(len(first))
-        out[single] = _score(first.to_numpy()[single], n)
-        for i in np.flatnonzero(~single):
-            out[i] = _score_run(int(first.iat[i]), int(first.iat[i] + count.iat[i] - 1), n)
-        return pd.Series(out)
+    """Sum of value times normal score over the table of distinct values.
 
+    Equal values share the scores of their ranks, which are added up in runs of bounded length.
+    """
     table = stage(values.groupBy("v").agg(F.count("*").alias("n")), "values")
-    return running_totals(table, "v", ["n"]).agg(
-        F.sum(F.col("v") * scores(F.col("below_n") + 1, F.col("n")))).first()[0]
+    ranked = running_totals(table, "v", ["n"]).select(
+        "v", (F.col("below_n") + 1).alias("first"), (F.col("below_n") + F.col("n")).alias("last"))
+    runs = ranked.withColumn("a", F.explode(F.sequence("first", "last", F.lit(SCORE_RUN).cast("long"))))
+    b = F.least(F.col("a") + (SCORE_RUN - 1), F.col("last"))
+    several = F.aggregate(F.sequence("a", b), F.lit(0.0), lambda s, k: s + _score(k.cast("double"), n))
+    score = F.when(F.col("a") == b, _score(F.col("a").cast("double"), n)).otherwise(several)
+    return runs.agg(F.sum(F.col("v") * score)).first()[0]
 
 
-def _shapiro_w(n: int, ends: tuple, weighted: float, spread: float) -> float:
+def _shapiro_w(n: int, ends: tuple, weighted: float, spread: float, total: float) -> float:
     """W from the two lowest and two highest values and the sum of value times normal score."""
-    total = _score_squares(n)
-    m_last, m_second = (float(x) for x in _score([n, n - 1], n))
+    m_last, m_second = (NORMAL.inv_cdf((k - 0.375) / (n + 0.25)) for k in (n, n - 1))
     u = 1.0 / math.sqrt(n)
     outer, inner = ends[3] - ends[0], ends[2] - ends[1]
     if n == 3:

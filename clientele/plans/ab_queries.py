@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clientele.functions.scalars import safe_ratio
 from clientele.operators import abtest
-from clientele.plans.oracle import CAMPAIGN, with_
+from clientele.plans.oracle import CAMPAIGN, with_, sql_inverse_normal
 from clientele.plans.registry import query
 from clientele.session import stage
 from clientele.sources.tables import campaign, table
@@ -51,6 +51,32 @@ def shapiro(spark, sf):
         rows, "metric string, type string, n long, statistic double, p double, p_in_tested_range boolean")
 
 
+_U = "((k - 0.375) / (n + 0.25))"
+
+
+@query("shapiro_w", with_(EVENTS, f"""
+ranked as (select type, v, row_number() over (partition by type order by v) as k,
+                  (count(*) over (partition by type))::double as n from samples),
+scored as (select *, {sql_inverse_normal(_U)} as m from ranked),
+sums as (select type, n, sum(m * m) as total, sum(v * m) as weighted, var_samp(v) * (n - 1) as spread,
+                max(m) as m1, max(m) filter (k = n - 1) as m2, max(v) - min(v) as outer_,
+                max(v) filter (k = n - 1) - max(v) filter (k = 2) as inner_, 1 / sqrt(n) as u
+         from scored group by type, n),
+ends as (select *,
+  m1 / sqrt(total) + 0.221157 * u - 0.147981 * u ** 2 - 2.071190 * u ** 3 + 4.434685 * u ** 4 - 2.706056 * u ** 5 as a1,
+  m2 / sqrt(total) + 0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4 - 3.582633 * u ** 5 as a2
+  from sums)""") + """
+select type, n::bigint as n, round(pow((weighted - m1 * outer_ - m2 * inner_)
+    / sqrt((total - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) + a1 * outer_ + a2 * inner_, 2)
+    / spread, 6) as statistic
+from ends""")
+def shapiro_w(spark, sf):
+    """The W statistic of both groups' event values."""
+    rows = [(g, *abtest.shapiro(_events(spark, sf).where(F.col("type") == g), "value")[:2]) for g in GROUPS]
+    return spark.createDataFrame(rows, "type string, n long, statistic double").withColumn(
+        "statistic", F.round("statistic", 6))
+
+
 @query("levene", with_(EVENTS, """
 med as (select type, quantile_cont(v, .5) as med from samples group by type),
 z as (select type, abs(v - med) as z from samples join med using (type)),

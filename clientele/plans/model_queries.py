@@ -141,6 +141,14 @@ def voting_metrics(spark, sf):
     return metrics.class_metrics(scored, "label", "prob", "side", (0, 1))
 
 
+@query("voting_fold_means")
+def voting_fold_means(spark, sf):
+    """Mean metrics of the voting ensemble over folds, each scored by the ensemble that did not see it."""
+    data, _ = _model_rows(spark, sf)
+    voter = models.voting(_small("XGBoost", "LightGBM", "RF"))
+    return metrics.mean_metrics(models.compare_models(_folded(data), [voter], FOLDS), ["model"])
+
+
 KNN = with_(LINES, TOTALS, METRICS, SCORES, SEGMENTS, CLTV, CHURN, SCALED, """
 pairs as (select a.customer_id, b.customer_id as other,
             sqrt(pow(a.r - b.r, 2) + pow(a.f - b.f, 2) + pow(a.m - b.m, 2)) as d

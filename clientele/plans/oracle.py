@@ -1,5 +1,7 @@
 """SQL fragments (DuckDB dialect) that the oracle statements share."""
 
+from clientele.functions.special import NORMAL_CENTRE, NORMAL_FAR, NORMAL_TAIL
+
 LINES = """
 lines as (
   select o_custkey as customer_id, o_orderkey as order_id, o_orderdate as order_ts,
@@ -96,3 +98,19 @@ campaign as (
 
 def with_(*parts: str) -> str:
     return "with " + ",".join(p.strip() for p in parts) + "\n"
+
+
+def sql_inverse_normal(u: str) -> str:
+    """The normal quantile of an SQL expression between 0 and 1."""
+    def rational(parts, x):
+        def poly(c):
+            out = f"{c[-1]!r}::double"
+            for k in reversed(c[:-1]):
+                out = f"({out} * {x} + {k!r}::double)"
+            return out
+        return f"({poly(parts[0])} / {poly(parts[1])})"
+    t = f"sqrt(-ln(least({u}, 1 - {u})))"
+    centre = rational(NORMAL_CENTRE, f"(0.180625 - ({u} - 0.5) * ({u} - 0.5))")
+    return (f"(case when abs({u} - 0.5) <= 0.425 then ({u} - 0.5) * {centre} else sign({u} - 0.5) * "
+            f"(case when {t} <= 5 then {rational(NORMAL_TAIL, f'({t} - 1.6)')} "
+            f"else {rational(NORMAL_FAR, f'({t} - 5)')} end) end)")

@@ -3,6 +3,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clientele.functions import special
 from clientele.operators import abtest as A
@@ -21,12 +22,6 @@ def test_beta_inc_closed_forms():
     assert special.beta_inc(2.5, 2.5, .5) == pytest.approx(.5)
 
 
-def test_long_score_runs_use_the_integral():
-    n = 10**6
-    exact = float(A._score(np.arange(5000, 9001), n).sum())
-    assert A._score_run(5000, 9000, n) == pytest.approx(exact, rel=1e-9)
-
-
 def test_shapiro_known_sample(spark):
     # Normal quantiles are as normal as a sample can be; their exponentials are not.
     z = [NormalDist().inv_cdf((i + .5) / 200) for i in range(200)]
@@ -37,12 +32,25 @@ def test_shapiro_known_sample(spark):
     assert w2 < .8 and p2 < 1e-6
 
 
-def test_shapiro_direct_and_distributed_agree(spark):
+def test_shapiro_with_ties_equals_the_formula(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    x = rng.exponential(size=400).round(1)
+    x = np.sort(rng.exponential(size=400).round(1))
+    m = np.array([NormalDist().inv_cdf((i - .375) / 400.25) for i in range(1, 401)])
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
-    small, large = A.shapiro(df, "v"), A.shapiro(df, "v", local_rows=10)
-    assert small[0] == large[0] and small[1] == pytest.approx(large[1], abs=1e-9)
+    want = A._shapiro_w(400, (x[0], x[1], x[-2], x[-1]), float((x * m).sum()), float(((x - x.mean())**2).sum()),
+                        float((m * m).sum()))
+    for run in (A.SCORE_RUN, 7):
+        monkeypatch.setattr(A, "SCORE_RUN", run)
+        n, w, _ = A.shapiro(df, "v")
+        assert n == 400 and w == pytest.approx(want, abs=1e-9)
+    assert A.shapiro(df.where("v < 0"), "v") == (0, None, None)
+
+
+def test_inverse_normal(spark):
+    u = [1e-300, 1e-20, 1e-9, .01, .074, .075, .3, .5, .7, .925, .926, .99, 1 - 1e-9]
+    got = [r[0] for r in spark.createDataFrame([(float(x),) for x in u], "u double").coalesce(1).select(
+        special.inverse_normal(F.col("u"))).collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(x) for x in u], rel=1e-12, abs=1e-15)
 
 
 def test_tests_on_small_groups(spark):
