@@ -74,11 +74,11 @@ select l.customer_id, order_id, line_number, value::double as value, recency, fr
        rfm_score, segment
 from lines l left join segments s using (customer_id)""")
 def rfm_lines(spark, sf):
-    lines = order_lines(spark, sf)
-    scored = customers.rfm(lines, count_lines=True).select(
-        "customer_id", "recency", "frequency", "rfm_score", "segment", "n_lines")
-    return attach(lines.select("customer_id", "order_id", "line_number", "value"), scored,
-                  "customer_id", rows="n_lines").withColumn("value", F.col("value").cast("double"))
+    scored = customers.rfm(order_lines(spark, sf)).select(
+        "customer_id", "recency", "frequency", "rfm_score", "segment")
+    return order_lines(spark, sf, features=scored).select(
+        "customer_id", "order_id", "line_number", F.col("value").cast("double").alias("value"),
+        "recency", "frequency", "rfm_score", "segment")
 
 
 @query("descriptive_cltv", with_(LINES, TOTALS, CLTV) + """
@@ -105,7 +105,8 @@ def tenure(spark, sf):
 select l.customer_id, order_id, line_number, recency, tenure, rfm_score, segment, churn
 from lines l left join churned using (customer_id)""")
 def churn_label(spark, sf):
-    return customers.churn_lines(order_lines(spark, sf)).select(
+    feats = customers.customer_features(order_lines(spark, sf)).withColumn("churn", customers.churn_label())
+    return order_lines(spark, sf, features=feats).select(
         "customer_id", "order_id", "line_number", "recency", "tenure", "rfm_score", "segment", "churn")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clientele.operators import lifetime, profiling
-from clientele.operators.joins import attach
 from clientele.operators.lifetime import PurchaseModel, SpendModel
 from clientele.plans.oracle import LINES, TOTALS, with_
 from clientele.plans.registry import query
@@ -171,9 +170,9 @@ select l.customer_id, l.order_id, l.line_number, round(scaled_clv, 6) as scaled_
 from lines l left join segmented s using (customer_id)""")
 def clv_lines(spark, sf):
     feats = lifetime.clv_segments(_valued(spark, sf)).select(
-        "customer_id", F.round("scaled_clv", 6).alias("scaled_clv"), "clv_segment", "n_lines")
-    lines = order_lines(spark, sf).select("customer_id", "order_id", "line_number")
-    return attach(lines, feats, "customer_id", rows="n_lines")
+        "customer_id", F.round("scaled_clv", 6).alias("scaled_clv"), "clv_segment")
+    return order_lines(spark, sf, features=feats).select(
+        "customer_id", "order_id", "line_number", "scaled_clv", "clv_segment")
 
 
 @query("backtest", CLV_CTE + """,

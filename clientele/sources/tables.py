@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clientele.functions.scalars import money
+from clientele.operators.joins import attach
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str, city: bool = False,
-                product: bool = False) -> DataFrame:
+                product: bool = False, features: DataFrame | None = None) -> DataFrame:
     """One row per product on an order.
 
-    ``city`` adds the customer's place and market segment, ``product`` the part's name and brand.
+    ``city`` adds the customer's place and market segment, ``product`` the part's name and brand,
+    ``features`` the columns of a table with a row per customer. What belongs to customers is joined to the
+    orders, which then meet the lines by order: the lines move once, and not by customer.
     """
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
@@ -33,16 +36,17 @@ def order_lines(spark: SparkSession, sf_dir: str, city: bool = False,
         money("l_extendedprice").alias("value"), F.col("l_tax").alias("tax_ratio"),
         F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("return_flag"),
         F.col("l_linestatus").alias("line_status"), F.col("l_shipdate").alias("ship_ts"))
-    lines = li.join(o, "order_id").withColumn("invoice", F.concat(
-        F.when(F.col("return_flag") == "R", "C").otherwise(""), F.col("order_id").cast("string")))
     if city:
         c = table(spark, sf_dir, "customer").select(
             F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("n_nationkey"),
             F.col("c_mktsegment").alias("market_segment"))
         n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("city"))
         # Nations are a fixed list of 25, whatever the size of the rest.
-        lines = lines.join(c.join(F.broadcast(n), "n_nationkey").drop("n_nationkey"),
-                           "customer_id")
+        o = o.join(c.join(F.broadcast(n), "n_nationkey").drop("n_nationkey"), "customer_id")
+    if features is not None:
+        o = attach(o, features, "customer_id")
+    lines = li.join(o, "order_id").withColumn("invoice", F.concat(
+        F.when(F.col("return_flag") == "R", "C").otherwise(""), F.col("order_id").cast("string")))
     if product:
         p = table(spark, sf_dir, "part").select(
             F.col("p_partkey").alias("product_id"), F.col("p_name").alias("description"),

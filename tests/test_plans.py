@@ -49,3 +49,18 @@ def test_scan_reads_only_needed_columns(spark):
     from clientele.sources.tables import order_lines
     text = customer_totals(order_lines(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in text and "l_discount" not in text and "l_shipdate" not in text
+
+
+def test_customer_columns_meet_the_lines_through_the_orders(spark):
+    """The lines are dealt out by order only, never by customer."""
+    from clientele.sources.tables import order_lines
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        feats = spark.range(100).selectExpr("id as customer_id", "id * 2 as f")
+        df = order_lines(spark, SF, city=True, features=feats).select("line_number", "city", "f")
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert text.count("Exchange hashpartitioning(order_id") == 2
+    assert "line_number" not in "".join(x for x in text.split("\n") if "hashpartitioning(customer_id" in x)
