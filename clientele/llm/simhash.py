@@ -42,11 +42,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc, row, fp) of every row; ``row`` is xxhash64 of the text, a null one counting as empty."""
     def run(batches):
         for batch in batches:
-            known: dict[str, int] = {}
-            for text in batch.column(2).to_pylist():
-                if text not in known:
-                    known[text] = fingerprint(text, width)
-            made = np.array([known[t] for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            texts = batch.column(2).to_pylist()
+            known = {text: fingerprint(text, width) for text in set(texts)}
+            made = np.array([known[t] for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.int64())],
                                              ["doc", "row", "fp"])
 
