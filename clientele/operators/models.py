@@ -23,6 +23,8 @@ from clientele.session import stage
 Scorer = Callable[[DataFrame], DataFrame]  # adds the column "prob"
 SEED = 10
 IMPORTANCE_FLOOR = 1.0
+# Labelled rows that the nearest-neighbour model keeps, about.
+KNN_ROWS = 5_000
 
 
 @dataclass(frozen=True)
@@ -120,6 +122,35 @@ def fit_kernel_svm(train: DataFrame, components: int = 200, gamma: float | None
     return Fitted(score)
 
 
+def fit_knn(train: DataFrame, k: int = 5, fit_rows: int = KNN_ROWS) -> Fitted:
+    """Share of the label among the ``k`` nearest of about ``fit_rows`` training rows, chosen by hash.
+
+    The chosen rows (fewer than twice ``fit_rows``) are the model; every row is scored against all of
+    them in blocks of bounded size. Ties in distance go to the earlier rows of the hash's order.
+    """
+    x = vector_to_array("features")
+    step = max(1, train.count() // fit_rows)
+    rows = train.select(x.alias("x"), "label").withColumn("h", F.xxhash64("x", "label"))
+    kept = rows.where(F.pmod(F.col("h"), F.lit(step)) == 0).orderBy("h").collect()
+    points = np.array([r["x"] for r in kept])
+    labels = np.array([float(r["label"]) for r in kept])
+    near = min(k, len(kept))
+    squares = (points * points).sum(axis=1) if len(kept) else None
+
+    @F.pandas_udf("double")
+    def share(rows: pd.Series) -> pd.Series:
+        out = np.full(len(rows), np.nan)
+        for at in range(0, len(rows), 256):
+            z = np.vstack(rows.iloc[at:at + 256].to_numpy())
+            gap = squares - 2.0 * z @ points.T  # the row's own square shifts all alike
+            out[at:at + 256] = labels[np.argsort(gap, axis=1, kind="stable")[:, :near]].mean(axis=1)
+        return pd.Series(out)
+
+    if not near:
+        return Fitted(lambda df: df.withColumn("prob", F.lit(None).cast("double")))
+    return Fitted(lambda df: df.withColumn("prob", share(vector_to_array("features"))))
+
+
 def fit_adaboost(train: DataFrame, rounds: int = 50) -> Fitted:
     """AdaBoost (SAMME) over depth-1 trees.
 
@@ -168,6 +199,7 @@ def fit_adaboost(train: DataFrame, rounds: int = 50) -> Fitted:
 LOGISTIC = Learner("LR", fit_logistic)
 KERNEL_SVM = Learner("SVC", fit_kernel_svm)
 CART = Learner("CART", fit_cart)
+KNN = Learner("KNN", fit_knn)
 FOREST = Learner("RF", fit_forest)
 ADABOOST = Learner("Adaboost", fit_adaboost)
 GBM = Learner("GBM", fit_boosted)
@@ -175,7 +207,7 @@ GBM = Learner("GBM", fit_boosted)
 XGB = Learner("XGBoost", fit_boosted, {"rate": 0.3, "max_depth": 6})
 LGBM = Learner("LightGBM", fit_boosted, {"rate": 0.1, "max_depth": 5})
 CATBOOST = Learner("CatBoost", fit_boosted, {"rate": 0.03, "max_depth": 6, "rounds": 200})
-LEARNERS = (LOGISTIC, KERNEL_SVM, CART, FOREST, ADABOOST, GBM, XGB, LGBM, CATBOOST)
+LEARNERS = (LOGISTIC, KNN, KERNEL_SVM, CART, FOREST, ADABOOST, GBM, XGB, LGBM, CATBOOST)
 
 # The parameter grids to search.
 GRIDS = {

@@ -14,7 +14,7 @@ from clientele.sources.tables import order_lines, table
 
 # Small sizes for the registered runs; the full sizes are the learners' defaults and GRIDS.
 SMALL = {
-    "LR": {"max_iter": 20}, "SVC": {"components": 32, "max_iter": 5}, "CART": {"max_depth": 8},
+    "LR": {"max_iter": 20}, "KNN": {}, "SVC": {"components": 32, "max_iter": 5}, "CART": {"max_depth": 8},
     "RF": {"trees": 10, "max_depth": 8}, "Adaboost": {"rounds": 5}, "GBM": {"rounds": 5},
     "XGBoost": {"rounds": 5, "max_depth": 5}, "LightGBM": {"rounds": 5, "max_depth": 4},
     "CatBoost": {"rounds": 5, "max_depth": 4},

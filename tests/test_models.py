@@ -19,7 +19,7 @@ def data(spark):
 
 
 @pytest.mark.parametrize("name,floor,params", [
-    ("LR", .8, {}), ("SVC", .85, {"components": 60, "max_iter": 20}), ("CART", .8, {"max_depth": 5}),
+    ("LR", .8, {}), ("KNN", .9, {}), ("KNN", .88, {"fit_rows": 100}), ("SVC", .85, {"components": 60, "max_iter": 20}), ("CART", .8, {"max_depth": 5}),
     ("RF", .9, {"trees": 10, "max_depth": 6}), ("Adaboost", .85, {"rounds": 10}),
     ("GBM", .9, {"rounds": 5}), ("XGBoost", .88, {"rounds": 5})])
 def test_learners_beat_a_floor(data, name, floor, params):
