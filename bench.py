@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from clientele.plans.registry import all_queries  # noqa: E402
-from clientele.session import build_session  # noqa: E402
+from clientele.session import build_session, scratch  # noqa: E402
 
 HEADLINE = (
     "rfm_segment", "segment_profile", "rfm_lines", "descriptive_cltv", "tenure", "churn_label",
@@ -41,8 +41,9 @@ def main() -> None:
         for _ in range(runs + 1):
             spark.catalog.clearCache()
             start = time.perf_counter()
-            registered[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - start)
+            with scratch(spark):
+                registered[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                times.append(time.perf_counter() - start)
         took[name] = round(statistics.median(times[1:] or times), 3)
         print(f"{name} {took[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_median_seconds", "value": round(sum(took.values()), 3),

@@ -5,11 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The shared folders made so far, for ``scratch``.
+_FOLDERS: list[str] = []
+
 # Split skewed joins even where the next step then needs an exchange of its own: the join of lines
 # and orders feeds an aggregation by order, and one order may hold very many lines.
 SKEW_SETTINGS = {
@@ -88,7 +93,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder, which every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the shared folders made inside the block when it ends.
+
+    What is computed inside must be written or collected there: a DataFrame that still reads a stage
+    fails afterwards. Flows that return a DataFrame leave this to their caller.
+    """
+    first = len(_FOLDERS)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _FOLDERS[first:]:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+        del _FOLDERS[first:]
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -73,3 +73,15 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert shared_folder(spark, "x").startswith(ensure_checkpoint_dir(spark).rstrip("/"))
     df = stage(spark.createDataFrame([], "a long, b string"))
     assert df.count() == 0 and df.columns == ["a", "b"]
+
+
+def test_scratch_deletes_its_stages(spark):
+    from clientele.session import scratch, stage
+    kept = stage(spark.range(5), "kept")
+    with scratch(spark):
+        gone = stage(spark.range(7), "gone")
+        assert gone.count() == 7
+        folder = gone.inputFiles()[0].rsplit("/", 1)[0]
+    assert kept.count() == 5
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
