@@ -34,8 +34,9 @@ DICT_BYTES = 64 << 10
 DICT_DOCS, DICT_CHARS = 1500, 8000
 LEVEL = 3
 NO_DOC = -(1 << 63)
-_CACHED_WORDS = 1_500_000
-_CACHED_STEMS = 800_000
+# A worker process keeps so many words and word stems, about 200 MB.
+_CACHED_WORDS = 700_000
+_CACHED_STEMS = 300_000
 _CHUNK_WORDS = 200_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&#*|()\"/-]*)")
 
