@@ -63,7 +63,7 @@ def test_query_and_plan(spark):
     said = f"user\n{HOSTILE[0]}\nassistant\n{HOSTILE[0]}\n"
     assert row["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
     assert row["loss_sha256"] == hashlib.sha256(HOSTILE[0].encode()).hexdigest()
-    assert not re.search("Python|Arrow", out._jdf.queryExecution().executedPlan().toString())
+    assert not re.search("BatchEval|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
 def test_empty_table(spark):
