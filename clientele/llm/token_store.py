@@ -34,9 +34,9 @@ DICT_BYTES = 64 << 10
 DICT_DOCS, DICT_CHARS = 1500, 8000
 LEVEL = 3
 NO_DOC = -(1 << 63)
-# A worker process keeps so many words and word stems, about 200 MB.
-_CACHED_WORDS = 700_000
-_CACHED_STEMS = 300_000
+# A task keeps so many words and word stems, about 130 MB.
+_CACHED_WORDS = 400_000
+_CACHED_STEMS = 200_000
 _CHUNK_WORDS = 200_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&#*|()\"/-]*)")
 
@@ -135,7 +135,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process, so later tasks find the words of earlier ones."""
+    """One tokenizer for each worker process; a task forgets its words when it ends."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -159,6 +159,7 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             made = [_serialize(ids, enc.bytes_per_id, end_id) for ids in enc.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["ids"])
+        enc.forget()
 
     arrays = [bytes(r[0]) for r in rows.mapInArrow(run, "ids binary").collect()]  # bounded, see above
     total = sum(map(len, arrays))
@@ -199,6 +200,7 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()),
                  pa.array(frames, pa.binary()), pa.array([enc.bytes_per_id] * len(sizes), pa.int32())],
                 ["doc", "n", "crc", "frame", "width"])
+        enc.forget()
 
     frames = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
     frames = stage(frames.mapInArrow(compress, "doc long, n long, crc long, frame binary, width int"), "frames")
