@@ -74,7 +74,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     Columns are as in ``docs``. Rows that repeat id and text count once; null ids come last.
     """
-    found = classes(fingerprints(docs, id_col, text_col), radius)
+    return keep_lowest(docs, classes(fingerprints(docs, id_col, text_col), radius), id_col, text_col)
+
+
+def keep_lowest(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of each class of ``found`` (doc, row, fp, component_id), as ``keep_one`` says."""
     # Rows without any id are told apart by the fingerprint, so each class still has a name.
     lead = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("row").alias("row"))
     first = (found.withColumn("name", F.when(F.col("component_id").isNull(), F.col("fp")))
