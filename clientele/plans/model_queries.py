@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from clientele.operators import clusters, customers, metrics, models, neighbours, sampling
 from clientele.operators.features import minmax_scale
@@ -10,22 +12,18 @@ from clientele.plans import churn_model
 from clientele.plans.feature_queries import NOISE_ROUNDS
 from clientele.plans.oracle import CHURN, CLTV, LINES, METRICS, SCORES, SEGMENTS, TOTALS, with_
 from clientele.plans.registry import query
+from clientele.session import stage
 from clientele.sources.tables import order_lines, table
 
-# Small sizes for the registered runs; the full sizes are the learners' defaults and GRIDS.
-SMALL = {
-    "LR": {"max_iter": 20}, "KNN": {}, "SVC": {"components": 32, "max_iter": 5}, "CART": {"max_depth": 8},
-    "RF": {"trees": 10, "max_depth": 8}, "Adaboost": {"rounds": 5}, "GBM": {"rounds": 5},
-    "XGBoost": {"rounds": 5, "max_depth": 5}, "LightGBM": {"rounds": 5, "max_depth": 4},
-    "CatBoost": {"rounds": 5, "max_depth": 4},
-}
-FOLDS = (0, 1)
+# Learners run with their defaults and GRIDS, on all rows.
+FOLDS = (0, 1, 2, 3, 4)
+TREES = tuple(models.GRIDS)
 # Fixed value: the share of the majority class that undersampling drops.
 DROPPED_SHARE = 0.7832800563471853
 
 
-def _small(*names):
-    return [m.with_params(**SMALL[m.name]) for m in models.LEARNERS if not names or m.name in names]
+def _learners(*names):
+    return [m for m in models.LEARNERS if not names or m.name in names]
 
 
 def _rfm(spark, sf):
@@ -55,7 +53,7 @@ def kmeans_segments(spark, sf):
 
 @query("elbow")
 def elbow(spark, sf):
-    return clusters.elbow(_rfm(spark, sf), most=10, starts=1)
+    return clusters.elbow(_rfm(spark, sf), most=10, starts=10)
 
 
 SCALED = """
@@ -76,14 +74,14 @@ def wcss_one_cluster(spark, sf):
 @query("model_compare")
 def model_compare(spark, sf):
     data, _ = _model_rows(spark, sf)
-    return models.compare_models(_folded(data), _small(), FOLDS)
+    return models.compare_models(_folded(data), _learners(), FOLDS)
 
 
 @query("model_compare_all_columns")
 def model_compare_all_columns(spark, sf):
     """With the columns the label was made from: the trees recover the rules."""
     data, _ = _model_rows(spark, sf, noise=(), drop=())
-    return models.compare_models(_folded(data), _small("CART", "RF", "LightGBM"), FOLDS)
+    return models.compare_models(_folded(data), _learners(), FOLDS)
 
 
 @query("model_class_sizes", with_(LINES, TOTALS, METRICS, SCORES, SEGMENTS, CLTV, CHURN, """
@@ -104,21 +102,22 @@ def model_compare_undersampled(spark, sf):
     data, _ = _model_rows(spark, sf)
     few = sampling.undersample(data, "label", frac=1 - DROPPED_SHARE, key=[
         c for c in data.columns if c != "features"])
-    return models.compare_models(_folded(few), _small("CART", "RF", "LightGBM"), FOLDS)
+    return models.compare_models(_folded(few), _learners(), FOLDS)
 
 
 @query("grid_search")
 def grid_search(spark, sf):
     data, _ = _model_rows(spark, sf)
-    cart = next(m for m in models.LEARNERS if m.name == "CART")
-    _, table_ = models.grid_search(_folded(data), cart, {"max_depth": [4, 8], "min_rows": [5, 15]}, FOLDS)
-    return table_
+    folded = stage(_folded(data), "folds")
+    tables = [models.grid_search(folded, m, models.GRIDS[m.name], FOLDS)[1]
+              for m in _learners(*TREES)]
+    return reduce(DataFrame.unionByName, tables)
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     data, names = _model_rows(spark, sf)
-    learners = _small("CART", "RF", "XGBoost")
+    learners = _learners(*TREES)
     rows = models.importance_rows(_folded(data), learners, names, FOLDS)
     return models.hybrid_importance(rows, [m.name for m in learners])
 
@@ -127,7 +126,7 @@ def feature_importance(spark, sf):
 def voting_bands(spark, sf):
     """Soft voting of three models, all rows scored, revenue and customers per band."""
     data, _ = _model_rows(spark, sf)
-    voter = models.voting(_small("XGBoost", "LightGBM", "RF"))
+    voter = models.voting(_learners("XGBoost", "LightGBM", "RF"))
     return metrics.band_summary(churn_model.train_and_score(data, voter))
 
 
@@ -135,7 +134,7 @@ def voting_bands(spark, sf):
 def voting_metrics(spark, sf):
     """Metrics of the voting ensemble on the training and the hold-out side."""
     data, _ = _model_rows(spark, sf)
-    voter = models.voting(_small("XGBoost", "LightGBM", "RF"))
+    voter = models.voting(_learners("XGBoost", "LightGBM", "RF"))
     scored = churn_model.train_and_score(data, voter, group="customer_id").withColumn(
         "side", F.col("is_test").cast("int"))
     return metrics.class_metrics(scored, "label", "prob", "side", (0, 1))
@@ -145,7 +144,7 @@ def voting_metrics(spark, sf):
 def voting_fold_means(spark, sf):
     """Mean metrics of the voting ensemble over folds, each scored by the ensemble that did not see it."""
     data, _ = _model_rows(spark, sf)
-    voter = models.voting(_small("XGBoost", "LightGBM", "RF"))
+    voter = models.voting(_learners("XGBoost", "LightGBM", "RF"))
     return metrics.mean_metrics(models.compare_models(_folded(data), [voter], FOLDS), ["model"])
 
 
