@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from clientele.llm import (  # noqa: F401  (register)
-    queries_chat, queries_collocations, queries_divergence, queries_licences, queries_lines, queries_mix, queries_pages, queries_quality,
-    queries_simhash, queries_suffix, queries_tokens, queries_urls)
+    queries_chat, queries_collocations, queries_divergence, queries_licences, queries_lines, queries_mix,
+    queries_pages, queries_quality, queries_repeats, queries_simhash, queries_suffix, queries_tokens, queries_urls)
 from clientele.llm.registry import RUNS, SQL, Run
 
 

@@ -18,7 +18,7 @@ def test_same_rows_as_sql(spark, name):
 def test_all_operators_are_registered():
     import __spark_entry__ as e
     names = [n for n in e.queries() if n.startswith("op")]
-    assert sorted({int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()}) == list(range(1, 14))
     assert "pipeline" in e.queries()
     assert set(e.oracle_sql()) <= set(e.queries())
     assert duckdb.__version__
