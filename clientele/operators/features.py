@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame, functions as F
 
 from clientele.operators.joins import attach
@@ -91,3 +91,12 @@ def assemble(df: DataFrame, features: Sequence[str], label: str,
     out = VectorAssembler(inputCols=list(features), outputCol="features",
                           handleInvalid="error").transform(df)
     return out.select(*keep, F.col(label).cast("double").alias("label"), "features")
+
+
+def slice_features(df: DataFrame, names: Sequence[str], column: str = "features") -> DataFrame:
+    """``df`` with the named features of an assembled vector only, in the order given.
+
+    The names come from the vector's metadata, so nothing is encoded or scaled again.
+    """
+    cut = VectorSlicer(inputCol=column, outputCol="_sliced", names=list(names)).transform(df)
+    return cut.drop(column).withColumnRenamed("_sliced", column).select(*df.columns)

@@ -17,6 +17,9 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clientele.operators import fit_search
+from clientele.operators.features import slice_features
+from clientele.operators.fit_search import FIT_ROWS, Run
 from clientele.operators.metrics import class_metrics, soft_vote
 from clientele.session import stage
 
@@ -136,9 +139,11 @@ def fit_knn(train: DataFrame, k: int = 5, fit_rows: int = KNN_ROWS) -> Fitted:
     labels = np.array([float(r["label"]) for r in kept])
     near = min(k, len(kept))
     squares = (points * points).sum(axis=1) if len(kept) else None
+    model = train.sparkSession.sparkContext.broadcast((points, labels, squares))
 
     @F.pandas_udf("double")
     def share(rows: pd.Series) -> pd.Series:
+        points, labels, squares = model.value
         out = np.full(len(rows), np.nan)
         for at in range(0, len(rows), 256):
             z = np.vstack(rows.iloc[at:at + 256].to_numpy())
@@ -220,10 +225,15 @@ GRIDS = {
 
 
 def cross_validate(df: DataFrame, learner: Learner, folds: Sequence[int], fold: str = "fold",
-                   parallelism: int = 2) -> DataFrame:
-    """Metrics per fold; each row is scored by the model that did not see its fold."""
+                   parallelism: int = 5, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Metrics per fold; each row is scored by the model that did not see its fold.
+
+    Fits see about ``fit_rows`` labelled rows, the same for every learner; all rows are scored.
+    """
+    known = stage(fit_search.fit_rows_of(df, fit_rows).coalesce(1), "fit rows")
+
     def one(f: int) -> DataFrame:
-        fitted = learner(df.where(F.col(fold) != f))
+        fitted = learner(known.where(F.col(fold) != f))
         return fitted.score(df.where(F.col(fold) == f)).select(fold, "label", "prob")
 
     pool = ThreadPool(min(parallelism, len(folds)))
@@ -235,44 +245,99 @@ def cross_validate(df: DataFrame, learner: Learner, folds: Sequence[int], fold:
     return class_metrics(scored, "label", "prob", fold, folds)
 
 
+def _runs(learners: Sequence[Learner]) -> list[Run]:
+    return [Run(m.name, tuple(m.params.items())) for m in learners]
+
+
 def compare_models(df: DataFrame, learners: Sequence[Learner], folds: Sequence[int],
-                   parallelism: int = 2) -> DataFrame:
-    """(model, fold, metrics) for every learner; ``df`` has features, label and fold."""
+                   fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(model, fold, metrics) for every learner; ``df`` has features, label and fold.
+
+    The fits of all tree learners and folds run side by side (``fit_search``), the others one by one.
+    """
     df = stage(df, "folds")
-    tables = [cross_validate(df, m, folds, parallelism=parallelism).withColumn("model", F.lit(m.name))
-              for m in learners]
+    trees = [m for m in learners if m.name in fit_search.PRESETS]
+    tables = [cross_validate(df, m, folds, fit_rows=fit_rows).withColumn("model", F.lit(m.name))
+              for m in learners if m not in trees]
+    if trees:
+        scored = fit_search.scored_runs(df, _runs(trees), folds, fit_search.fit_set(df, fit_rows))
+        names = F.array(*[F.lit(m.name) for m in trees])
+        tables.append(fit_search.run_metrics(scored, len(trees), folds)
+                      .withColumn("model", names[F.col("run")]).drop("run"))
     return reduce(DataFrame.unionByName, tables)
 
 
+def tune(df: DataFrame, searches: dict[str, dict[str, list]], folds: Sequence[int], metric: str = "auc",
+         fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(model, params, n_rows, mean metrics, is_default, best) of tree learners, before and after tuning.
+
+    Every combination of each grid and the learner with its defaults is cross-validated; all fits run
+    side by side, and values of the axis of steps share one fit. ``best`` marks the combination with
+    the highest ``metric``, the first one among equals.
+    """
+    df = stage(df, "folds")
+    runs: list[Run] = []
+    for model, axes in searches.items():
+        runs += [Run(model), *fit_search.grid(model, axes)]
+    scored = fit_search.scored_runs(df, runs, folds, fit_search.fit_set(df, fit_rows))
+    rates = fit_search.run_metrics(scored, len(runs), folds)
+    means = rates.groupBy("run").agg(*[F.avg(m).alias(m) for m in ("auc", "accuracy", "f1", "precision", "recall")])
+    sizes = scored.groupBy("run").agg(F.count("*").alias("n_rows"))
+    rows = {r["run"]: r for r in means.join(sizes, "run").collect()}  # a row per combination
+    tried = {m: [i for i, r in enumerate(runs) if r.model == m and r.params] for m in searches}
+    best = {max(own, key=lambda i: (rows[i][metric] is not None, rows[i][metric] or 0.0, -i)) for own in tried.values() if own}
+    names = ("auc", "accuracy", "f1", "precision", "recall")
+    return df.sparkSession.createDataFrame(
+        [(r.model, r.text(), rows[i]["n_rows"], *[rows[i][m] for m in names], not r.params, i in best)
+         for i, r in enumerate(runs)],
+        "model string, params string, n_rows long, " + ", ".join(f"{m} double" for m in names)
+        + ", is_default boolean, best boolean")
+
+
 def grid_search(df: DataFrame, learner: Learner, grid: dict[str, list], folds: Sequence[int],
-                metric: str = "auc", parallelism: int = 2) -> tuple[Learner, DataFrame]:
+                metric: str = "auc", fit_rows: int = FIT_ROWS) -> tuple[Learner, DataFrame]:
     """The learner with the best mean metric, and the score of every combination."""
-    df = stage(df, "folds")
-    rows = []
-    for values in itertools.product(*grid.values()):
-        params = dict(zip(grid, values))
-        scores = cross_validate(df, learner.with_params(**params), folds, parallelism=parallelism)
-        rows.append((learner.name, str(params), scores.agg(F.avg(metric)).first()[0], params))
-    best = max(rows, key=lambda r: (r[2] is not None, r[2]))
+    combinations = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    tried = [learner.with_params(**c) for c in combinations]
+    if learner.name in fit_search.PRESETS:
+        df = stage(df, "folds")
+        scored = fit_search.scored_runs(df, _runs(tried), folds, fit_search.fit_set(df, fit_rows))
+        found = fit_search.run_metrics(scored, len(tried), folds).groupBy("run").agg(F.avg(metric).alias("s")).collect()
+        scores = [r["s"] for r in sorted(found, key=lambda r: r["run"])]
+    else:
+        df = stage(df, "folds")
+        scores = [cross_validate(df, m, folds, fit_rows=fit_rows).agg(F.avg(metric)).first()[0] for m in tried]
+    best = max(range(len(tried)), key=lambda i: (scores[i] is not None, scores[i], -i))
     table = df.sparkSession.createDataFrame(
-        [(n, p, s, p == best[1]) for n, p, s, _ in rows],
+        [(learner.name, str(c), scores[i], i == best) for i, c in enumerate(combinations)],
         "model string, params string, score double, best boolean")
-    return learner.with_params(**best[3]), table
+    return tried[best], table
 
 
 def importance_rows(df: DataFrame, learners: Sequence[Learner], names: Sequence[str],
-                    folds: Sequence[int], parallelism: int = 2) -> DataFrame:
-    """(model, auc, feature, importance) of tree learners fitted on all rows."""
+                    folds: Sequence[int], fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(model, auc, feature, importance) of tree learners; ``auc`` is the mean over folds."""
     df = stage(df, "folds")
-    rows = []
-    for m in learners:
-        score = cross_validate(df, m, folds, parallelism=parallelism).agg(F.avg("auc")).first()[0]
-        weights = m(df).importances
-        rows += [(m.name, score, n, float(w)) for n, w in zip(names, weights)]
+    data, runs = fit_search.fit_set(df, fit_rows), _runs(learners)
+    scores = fit_search.run_metrics(fit_search.scored_runs(df, runs, folds, data), len(runs), folds)
+    auc = {r["run"]: r["auc"] for r in scores.groupBy("run").agg(F.avg("auc").alias("auc")).collect()}
+    rows = [(m.name, auc[i], n, float(w)) for i, (m, own) in enumerate(zip(
+        learners, fit_search.importances(df, runs, len(names), data))) for n, w in zip(names, own)]
     return df.sparkSession.createDataFrame(
         rows, "model string, auc double, feature string, importance double")
 
 
+def compare_selected(df: DataFrame, learners: Sequence[Learner], selected: Sequence[str],
+                     folds: Sequence[int], fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``compare_models`` on all features and on the ``selected`` ones; (features, n_features, …)."""
+    df = stage(df, "folds")
+    few = slice_features(df, selected)
+    sizes = [len(d.first()["features"]) for d in (df, few)]
+    return reduce(DataFrame.unionByName, [
+        compare_models(d, learners, folds, fit_rows).withColumns({"features": F.lit(kind), "n_features": F.lit(n)})
+        for kind, d, n in zip(("all", "selected"), (df, few), sizes)])
+
+
 def hybrid_importance(rows: DataFrame, models: Sequence[str]) -> DataFrame:
     """Importance weighted by AUC, scaled to 0…1 per model, averaged over the models in percent."""
     weighted = rows.withColumn("weighted", 100.0 * F.col("auc") * F.col("importance"))

@@ -15,7 +15,7 @@ from clientele.plans.registry import query
 from clientele.session import stage
 from clientele.sources.tables import order_lines, table
 
-# Learners run with their defaults and GRIDS, on all rows.
+# Learners run with their defaults and GRIDS; fits see FIT_ROWS labelled rows, all rows are scored.
 FOLDS = (0, 1, 2, 3, 4)
 TREES = tuple(models.GRIDS)
 # Fixed value: the share of the majority class that undersampling drops.
@@ -105,21 +105,85 @@ def model_compare_undersampled(spark, sf):
     return models.compare_models(_folded(few), _learners(), FOLDS)
 
 
+FRAME_ROWS = with_(LINES, TOTALS, METRICS, SCORES, SEGMENTS, CLTV, CHURN, """
+frame as (select count(*) as n from lines l join churned c using (customer_id))""")
+
+
+def _in_range(*names):
+    return reduce(lambda a, b: a & b, [F.col(m).between(0.0, 1.0) for m in names])
+
+
+@query("model_compare_facts", FRAME_ROWS + """
+select model, 5::bigint as n_folds, n as n_rows, true as in_range, true as better_than_chance
+from frame, (values ('LR'), ('KNN'), ('SVC'), ('CART'), ('RF'), ('Adaboost'), ('GBM'), ('XGBoost'), ('LightGBM'),
+             ('CatBoost')) m(model)""")
+def model_compare_facts(spark, sf):
+    """What must hold of the comparison with all columns: models, folds, rows, ranges, and that it learns."""
+    data, _ = _model_rows(spark, sf, noise=(), drop=())
+    folded = stage(_folded(data), "folds")
+    per_fold = stage(models.compare_models(folded, _learners(), FOLDS), "compared")
+    sizes = folded.groupBy("fold").count()
+    facts = per_fold.join(sizes, "fold").groupBy("model").agg(
+        F.count("*").alias("n_folds"), F.sum("count").alias("n_rows"),
+        F.bool_and(_in_range("auc", "accuracy", "f1", "precision", "recall")).alias("in_range"),
+        (F.avg("auc") > 0.5).alias("better_than_chance"))
+    return facts
+
+
 @query("grid_search")
 def grid_search(spark, sf):
+    """Every combination of GRIDS, and the defaults before tuning."""
+    data, _ = _model_rows(spark, sf)
+    return models.tune(_folded(data), models.GRIDS, FOLDS)
+
+
+@query("tuning_facts", FRAME_ROWS + """
+select model, n_tried, n as n_rows, 1::bigint as n_best, 1::bigint as n_default, true as best_is_highest,
+       true as in_range
+from frame, (values ('CART', 6::bigint), ('XGBoost', 12), ('LightGBM', 8), ('RF', 8), ('CatBoost', 8)) g(model, n_tried)""")
+def tuning_facts(spark, sf):
+    """What must hold of the grid search, before and after."""
+    data, _ = _model_rows(spark, sf)
+    tried = models.tune(_folded(data), models.GRIDS, FOLDS)
+    top = F.max(F.when(~F.col("is_default"), F.col("auc")))
+    return tried.groupBy("model").agg(
+        F.count_if(~F.col("is_default")).alias("n_tried"), F.min("n_rows").alias("n_rows"),
+        F.count_if("best").alias("n_best"), F.count_if("is_default").alias("n_default"),
+        (F.max(F.when(F.col("best"), F.col("auc"))) == top).alias("best_is_highest"),
+        F.bool_and(_in_range("auc", "accuracy", "f1", "precision", "recall")).alias("in_range"))
+
+
+@query("tuning_gain")
+def tuning_gain(spark, sf):
+    """Mean metrics of each learner with its defaults and with the best parameters of its grid."""
     data, _ = _model_rows(spark, sf)
+    tried = stage(models.tune(_folded(data), models.GRIDS, FOLDS), "tried")
+    side = {"before": F.col("is_default"), "after": F.col("best")}
+    return tried.groupBy("model").agg(
+        F.max(F.when(side["after"], F.col("params"))).alias("params"),
+        *[F.max(F.when(own, F.col(m))).alias(f"{m}_{name}") for m in ("auc", "accuracy", "f1") for name, own in side.items()])
+
+
+def _importances(spark, sf):
+    data, names = _model_rows(spark, sf)
     folded = stage(_folded(data), "folds")
-    tables = [models.grid_search(folded, m, models.GRIDS[m.name], FOLDS)[1]
-              for m in _learners(*TREES)]
-    return reduce(DataFrame.unionByName, tables)
+    learners = _learners(*TREES)
+    rows = models.importance_rows(folded, learners, names, FOLDS)
+    return folded, names, models.hybrid_importance(rows, [m.name for m in learners])
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    data, names = _model_rows(spark, sf)
-    learners = _learners(*TREES)
-    rows = models.importance_rows(_folded(data), learners, names, FOLDS)
-    return models.hybrid_importance(rows, [m.name for m in learners])
+    return _importances(spark, sf)[2]
+
+
+@query("selected_features_compare")
+def selected_features_compare(spark, sf):
+    """Mean metrics on all features and on those whose average importance reaches the floor."""
+    folded, _, table = _importances(spark, sf)
+    chosen = models.select_features(table)
+    out = models.compare_selected(folded, _learners("XGBoost", "LightGBM", "RF"), chosen, FOLDS)
+    return metrics.mean_metrics(out, ["features", "n_features", "model"])
 
 
 @query("voting_bands")

@@ -23,7 +23,8 @@ def calls(spark, monkeypatch):
     monkeypatch.setattr(models, "compare_models", lambda df, learners, folds: made.append((own(learners), folds)) or df)
     monkeypatch.setattr(models, "importance_rows", lambda df, learners, names, folds: made.append((own(learners), folds)) or df)
     monkeypatch.setattr(models, "hybrid_importance", lambda rows, names: rows)
-    monkeypatch.setattr(models, "grid_search", lambda df, m, grid, folds: made.append((m.name, grid, folds)) or (m, df))
+    monkeypatch.setattr(models, "tune", lambda df, grids, folds: made.append((grids, folds)) or df)
+    monkeypatch.setattr(model_queries, "stage", lambda df, name: df)
     monkeypatch.setattr(churn_model, "train_and_score", lambda data, *a, **k: nothing.selectExpr("model", "0 is_test"))
     monkeypatch.setattr(model_queries.metrics, "band_summary", lambda df: df)
     monkeypatch.setattr(model_queries.metrics, "class_metrics", lambda df, *a: df)
@@ -40,9 +41,7 @@ def test_comparisons(calls, name):
 
 def test_importance_and_grids(calls):
     assert calls("feature_importance") == [(TREES, (0, 1, 2, 3, 4))]
-    made = calls("grid_search")[1:]
-    assert sorted((n, g) for n, g, _ in made) == sorted(models.GRIDS.items())
-    assert {f for _, _, f in made} == {(0, 1, 2, 3, 4)}
+    assert calls("grid_search")[1:] == [(models.GRIDS, (0, 1, 2, 3, 4))]
 
 
 @pytest.mark.parametrize("name", ["voting_bands", "voting_metrics", "voting_fold_means"])
