@@ -4,7 +4,8 @@ Each task counts the word sequences of its documents in shards, sorts them and b
 automaton for every prefix range (a range of the hash of language and first two words) that they
 touch. The task that owns a range unions the shards' automata, sums the weights and drops what stays
 below the smallest count. The parts of a phrase are looked up by composition: the owner of a range
-sends every other range an automaton of the parts it needs, and gets back the one with their counts.
+sends the parts it needs to the ranges that own them, each once; there they become an automaton that
+is composed with the counts, and the counts go back to who asked.
 
 Counting goes in three passes, as a part is never rarer than the whole: words, then pairs of
 frequent words, then sequences of three and four whose pairs are all frequent. Between passes a bit
@@ -28,7 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clientele.llm.common import stage
-from clientele.llm.count_automata import CountAutomaton, compose, distinct_rows, from_rows, union
+from clientele.llm.count_automata import (
+    CountAutomaton, compose, distinct_rows, from_ranked, from_rows, union)
 
 MIN_COUNT = 30
 MAX_WORDS = 4
@@ -72,15 +74,16 @@ class Gate:
 
     def __init__(self, bits: np.ndarray | None):
         self.bits = bits
+        self.shift = 0 if bits is None else 65 - (8 * len(bits)).bit_length()
 
     def passes(self, h: np.ndarray) -> np.ndarray:
         if self.bits is None:
             return np.ones(len(h), bool)
-        slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        slot = (h >> np.uint64(self.shift)).astype(np.int64)
         return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
     def passes_one(self, h: int) -> bool:
-        slot = h >> (64 - FILTER_BITS)
+        slot = h >> self.shift
         return self.bits is None or bool(self.bits[slot >> 3] >> (slot & 7) & 1)
 
 
@@ -121,9 +124,13 @@ class _Shard:
 
     def automata(self, widths: tuple[int, ...], pairs: Gate, n_ranges: int) -> Iterator[tuple[int, int, bytes]]:
         """(range, width, packed automaton) of all sequences of the given widths."""
-        ids = np.concatenate([*self.parts, np.zeros(1, np.int64)])
-        hashes = np.array(self.known.hashes, np.uint64)
+        ids = np.concatenate([*self.parts, np.zeros(MAX_WORDS, np.int64)])
         base = len(self.known.words)
+        order = [0, *sorted(range(1, base), key=self.known.words.__getitem__)]
+        rank = np.empty(base, np.int64)
+        rank[order] = np.arange(base)
+        ids, words = rank[ids], [self.known.words[i] for i in order]
+        hashes = np.array(self.known.hashes, np.uint64)[order]
         full = ids > 0
         near = None
         for n in widths:
@@ -143,11 +150,11 @@ class _Shard:
             columns = [c[first] for c in columns]
             lead = hashes[columns[0]] if n == 1 else pair_hash(hashes[columns[0]], hashes[columns[1]])
             owner = _ranges(lead, n_ranges)
-            order = np.argsort(owner, kind="stable")
-            bounds = np.searchsorted(owner[order], np.arange(n_ranges + 1))
+            dealt = np.argsort(owner, kind="stable")
+            bounds = np.searchsorted(owner[dealt], np.arange(n_ranges + 1))
             for r in np.flatnonzero(np.diff(bounds)).tolist():
-                own = order[bounds[r]:bounds[r + 1]]
-                yield r, n, from_rows(self.known.words, [c[own] for c in columns], count[own]).pack()
+                own = dealt[bounds[r]:bounds[r + 1]]
+                yield r, n, from_ranked(words, [c[own] for c in columns], count[own]).pack()
 
 
 def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -155,8 +162,8 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
 
 
-def _count(rows: DataFrame, widths: tuple[int, ...], words, pairs, n_ranges: int, name: str) -> DataFrame:
-    """A staged table of packed shard automata; rows of width 0 hold the number of words as text."""
+def _count(rows: DataFrame, widths: tuple[int, ...], words, pairs, n_ranges: int) -> DataFrame:
+    """Packed shard automata; rows of width 0 hold the number of words as text."""
     def run(batches):
         gates = [Gate(None if b is None else np.frombuffer(b.value, np.uint8)) for b in (words, pairs)]
         shards: dict[str, _Shard] = {}
@@ -188,7 +195,7 @@ def _count(rows: DataFrame, widths: tuple[int, ...], words, pairs, n_ranges: int
         for lang in list(shards):
             yield flush(lang)
 
-    return stage(rows.mapInArrow(run, _BLOB), name)
+    return rows.mapInArrow(run, _BLOB)
 
 
 def _union(shards: DataFrame, n_ranges: int, least: int, name: str) -> DataFrame:
@@ -258,7 +265,7 @@ def _filter(automata: DataFrame) -> object:
 
 
 def _parts(automata: DataFrame, n_ranges: int) -> DataFrame:
-    """(rng, back, lang, n, blob): what the owners of ``back`` ask the owners of ``rng``."""
+    """(rng, back, lang, n, part): what the owners of ``back`` ask the owners of ``rng``, each part once."""
     def run(batches):
         for batch in batches:
             for back, lang, _, blob in zip(*(c.to_pylist() for c in batch.columns)):
@@ -267,47 +274,46 @@ def _parts(automata: DataFrame, n_ranges: int) -> DataFrame:
                 width = len(columns)
                 h = np.array([word_hash(lang, w) for w in found.symbols], np.uint64)
                 for n in range(1, width):
-                    pick = [columns[:n], columns[width - n:]]
-                    part = [np.concatenate(c) for c in zip(*pick)]
+                    part = [np.concatenate(c) for c in zip(columns[:n], columns[width - n:])]
                     first, _, _ = distinct_rows(part, max(1, len(found.symbols)))
                     part = [c[first] for c in part]
                     lead = h[part[0]] if n == 1 else pair_hash(h[part[0]], h[part[1]])
-                    owner = _ranges(lead, n_ranges)
-                    out = []
-                    for r in np.unique(owner).tolist():
-                        own = owner == r
-                        asked = from_rows(found.symbols, [c[own] for c in part], np.ones(own.sum(), np.int64))
-                        out.append((r, back, lang, n, asked.pack()))
+                    text = [b" ".join(w) for w in zip(*[[found.symbols[i] for i in c.tolist()] for c in part])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([o[k] for o in out], kind) for k, kind in enumerate(
-                            (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary()))],
-                        ["rng", "back", "lang", "n", "blob"])
+                        [pa.array(_ranges(lead, n_ranges), pa.int32()), pa.array([back] * len(text), pa.int32()),
+                         pa.array([lang] * len(text), pa.string()), pa.array([n] * len(text), pa.int32()),
+                         pa.array(text, pa.binary())], ["rng", "back", "lang", "n", "part"])
 
-    return automata.where("n > 1").mapInArrow(run, "rng int, back int, lang string, n int, blob binary")
+    return automata.where("n > 1").mapInArrow(run, "rng int, back int, lang string, n int, part binary")
 
 
 def _answers(automata: DataFrame, asked: DataFrame) -> DataFrame:
-    """(rng, lang, n, blob): the parts that ``rng`` asked for, with their counts."""
+    """(rng, lang, part, f): the parts that ``rng`` asked for, with their counts."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"rng": [], "lang": [], "n": [], "blob": []})
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=["rng", "lang", "part", "f"], dtype=object)
         counts = CountAutomaton.unpack(left["blob"].iloc[0])
-        made = [compose(CountAutomaton.unpack(b), counts).pack() for b in right["blob"]]
-        return pd.DataFrame({"rng": right["back"], "lang": right["lang"], "n": right["n"], "blob": made})
+        code, parts = pd.factorize(right["part"])
+        words: dict[bytes, int] = {}
+        rows = [[words.setdefault(w, len(words)) for w in p.split(b" ")] for p in parts]
+        columns = [np.array(c, np.int64) for c in zip(*rows)]
+        found = compose(from_rows(list(words), columns, np.ones(len(rows), np.int64)), counts)
+        at, weight = found.rows()
+        named = zip(*[[found.symbols[i] for i in c.tolist()] for c in at])
+        known = dict(zip(map(b" ".join, named), weight.tolist()))
+        f = np.array([known[p] for p in parts], np.int64)
+        return pd.DataFrame({"rng": right["back"].tolist(), "lang": right["lang"].tolist(),
+                             "part": right["part"].tolist(), "f": f[code].tolist()})
 
     keys = ["rng", "lang", "n"]
-    return automata.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, _BLOB)
+    return automata.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
+        run, "rng int, lang string, part binary, f long")
 
 
 def _cuts(automata: DataFrame, answers: DataFrame) -> DataFrame:
     """(lang, words, a, l, r, score) of every phrase of two words or more, at its lowest cut."""
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known: dict[bytes, int] = {}
-        for blob in right["blob"]:
-            part = CountAutomaton.unpack(blob)
-            columns, weight = part.rows()
-            named = zip(*[[part.symbols[i] for i in c.tolist()] for c in columns])
-            known.update(zip(map(b" ".join, named), weight.tolist()))
+        known = dict(zip(right["part"], right["f"].tolist()))
         out = []
         for blob in left["blob"]:
             found = CountAutomaton.unpack(blob)
@@ -348,14 +354,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     spark: SparkSession = docs.sparkSession
     n_ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = _rows(docs, text_col, lang_col)
-    first = _count(rows, (1,), None, None, n_ranges, "words")
+    first = stage(_count(rows, (1,), None, None, n_ranges), "words")
     totals = (first.where("n = 0").groupBy("lang")
               .agg(F.sum(F.col("blob").cast("string").cast("long")).alias("n")))
     ones = _union(first, n_ranges, min_count, "words")
     words = _filter(ones)
-    twos = _union(_count(rows, (2,), words, None, n_ranges, "pairs"), n_ranges, min_count, "pairs")
+    twos = _union(_count(rows, (2,), words, None, n_ranges), n_ranges, min_count, "pairs")
     pairs = _filter(twos)
-    more = _union(_count(rows, tuple(range(3, MAX_WORDS + 1)), words, pairs, n_ranges, "phrases"),
+    more = _union(_count(rows, tuple(range(3, MAX_WORDS + 1)), words, pairs, n_ranges),
                   n_ranges, min_count, "phrases")
     automata = ones.union(twos).union(more)
     answers = _answers(automata, _parts(automata, n_ranges))

@@ -106,8 +106,9 @@ class CountAutomaton:
     def pack(self) -> bytes:
         head = np.array([len(self.label), len(self.symbols), *map(len, self.start), *map(len, self.label)], "<i8")
         sizes = np.array([len(s) for s in self.symbols], "<i8")
-        parts = [np.diff(s) for s in self.start] + self.label + self.weight + self.target
-        raw = b"".join([head.tobytes(), sizes.tobytes(), *[p.astype("<i8").tobytes() for p in parts], *self.symbols])
+        parts = [np.diff(s) for s in self.start] + self.label + self.target
+        raw = b"".join([head.tobytes(), sizes.tobytes(), *[w.astype("<i8").tobytes() for w in self.weight],
+                        *[p.astype("<i4").tobytes() for p in parts], *self.symbols])
         return zstandard.ZstdCompressor(level=1).compress(raw)
 
     @classmethod
@@ -117,29 +118,39 @@ class CountAutomaton:
         lengths = np.frombuffer(raw, "<i8", 2 * depth, 16).tolist()
         at = 16 + 16 * depth
 
-        def take(k: int) -> np.ndarray:
+        def take(k: int, kind: str = "<i4") -> np.ndarray:
             nonlocal at
-            at += 8 * k
-            return np.frombuffer(raw, "<i8", k, at - 8 * k)
-
-        sizes = take(n)
-        start = [np.append(0, np.cumsum(take(k - 1))).astype(np.int64) for k in lengths[:depth]]
-        label, weight, target = ([take(k) for k in lengths[depth:]] for _ in range(3))
+            found = np.frombuffer(raw, kind, k, at)
+            at += found.nbytes
+            return found.astype(np.int64)
+
+        sizes = take(n, "<i8")
+        weight = [take(k, "<i8") for k in lengths[depth:]]
+        start = [np.append(0, np.cumsum(take(k - 1))) for k in lengths[:depth]]
+        label, target = ([take(k) for k in lengths[depth:]] for _ in range(2))
         ends = at + np.cumsum(sizes)
         symbols = [raw[e - s:e] for e, s in zip(ends.tolist(), sizes.tolist())]
         return cls(symbols, start, label, weight, target)
 
 
+def from_ranked(ordered: list[bytes], columns: list[np.ndarray], weights: np.ndarray) -> CountAutomaton:
+    """From different rows in ascending order of places in ``ordered``, of which only the used words are kept."""
+    used = np.zeros(len(ordered), bool)
+    for c in columns:
+        used[c] = True
+    kept = np.flatnonzero(used)
+    label = np.cumsum(used) - 1
+    return CountAutomaton.from_sorted([ordered[i] for i in kept.tolist()], [label[c] for c in columns], weights)
+
+
 def from_rows(words: list[bytes], columns: list[np.ndarray], weights: np.ndarray) -> CountAutomaton:
     """From different rows in any order; ``words`` may be in any order and hold unused words."""
-    used = np.unique(np.concatenate([*columns, np.zeros(0, np.int64)])).astype(np.int64)
-    symbols = sorted(words[i] for i in used.tolist())
-    place = {w: k for k, w in enumerate(symbols)}
-    rank = np.zeros(len(words) + 1, np.int64)
-    rank[used] = [place[words[i]] for i in used.tolist()]
+    order = sorted(range(len(words)), key=words.__getitem__)
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
     ranked = [rank[c] for c in columns]
-    order = np.lexsort(ranked[::-1])
-    return CountAutomaton.from_sorted(symbols, [c[order] for c in ranked], weights[order])
+    by = np.lexsort(ranked[::-1])
+    return from_ranked([words[i] for i in order], [c[by] for c in ranked], weights[by])
 
 
 def union(parts: list[CountAutomaton], least: int = 0) -> CountAutomaton:
@@ -167,28 +178,25 @@ def compose(asked: CountAutomaton, counts: CountAutomaton) -> CountAutomaton:
     """The sequences that both accept, with the weights of ``counts``; both are walked together."""
     place = {w: k for k, w in enumerate(counts.symbols)}
     to = np.array([place.get(w, -1) for w in asked.symbols], np.int64)
-    state = [np.zeros(min(len(a.label[0]), 1), np.int64) for a in (asked, counts)]
-    if not (len(state[0]) and len(state[1])) or len(asked.label) != len(counts.label):
-        state = [np.zeros(0, np.int64)] * 2
+    base = len(counts.symbols) + 1
+    states = [np.zeros(min(len(a.label[0]), 1), np.int64) for a in (asked, counts)]
+    if len(asked.label) != len(counts.label) or not all(map(len, states)):
+        none = np.zeros(0, np.int64)
+        return CountAutomaton.from_sorted(asked.symbols, [none] * len(asked.label), none)
     columns: list[np.ndarray] = []
-    weight = np.zeros(0, np.int64)
     for d in range(len(asked.label)):
-        start = asked.start[d]
-        width = start[state[0] + 1] - start[state[0]] if len(state[0]) else np.zeros(0, np.int64)
-        arcs = np.repeat(start[state[0]] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        width = asked.start[d][states[0] + 1] - asked.start[d][states[0]]
+        arcs = np.repeat(asked.start[d][states[0]] - np.cumsum(width) + width, width) + np.arange(width.sum())
         label = to[asked.label[d][arcs]]
-        other = np.repeat(state[1], width)
-        # Arcs of a state are ordered by label, states follow each other: one sorted key each.
-        base = len(counts.symbols) + 1
-        key = np.repeat(np.arange(len(counts.start[d]) - 1), np.diff(counts.start[d])) * base + counts.label[d] \
-            if d < len(counts.label) else np.zeros(0, np.int64)
-        want = other * base + label
-        at = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
-        hit = (label >= 0) & (key[at] == want) if len(key) else np.zeros(len(want), bool)
+        # States follow each other and their arcs go up by label: (state, label) is one sorted key.
+        key = np.repeat(np.arange(len(counts.start[d]) - 1), np.diff(counts.start[d])) * base + counts.label[d]
+        want = np.repeat(states[1], width) * base + label
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        hit = (label >= 0) & (key[at] == want)
         columns = [np.repeat(c, width)[hit] for c in columns] + [asked.label[d][arcs][hit]]
-        if len(key):
-            weight = counts.weight[d][at[hit]]
-            state = [asked.target[d][arcs][hit], counts.target[d][at[hit]]]
-        else:
-            weight, state = np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 2
+        weight = counts.weight[d][at[hit]]
+        states = [asked.target[d][arcs][hit], counts.target[d][at[hit]]]
+        if not len(weight):
+            none = np.zeros(0, np.int64)
+            return CountAutomaton.from_sorted(asked.symbols, [none] * len(asked.label), none)
     return CountAutomaton.from_sorted(asked.symbols, columns, weight)
