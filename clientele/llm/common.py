@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clientele.session import ship_package, shared_folder, stage
 
-__all__ = ["read_table", "ready", "stage", "shared_folder", "fresh", "ordered_totals",
+__all__ = ["read_table", "ready", "stage", "shared_folder", "fresh", "ordered_totals", "sized",
            "ASCII_SPACES", "ascii_lower", "split_words"]
 
+#: Rows of a few numbers that may be sent to every executor, some 16 MB; above it a join shuffles.
+BROADCAST_ROWS = 500_000
+
 #: The white space of the word and line rules, and the letters they lower-case.
 ASCII_SPACES = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -36,6 +39,11 @@ def fresh(prefix: str, taken: Iterable[str]) -> str:
     return name
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """A staged table of narrow rows, marked for broadcast if its counted rows are at most BROADCAST_ROWS."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 

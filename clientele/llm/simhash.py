@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from clientele.llm.common import fresh, stage
+from clientele.llm.common import fresh, sized, stage
 from clientele.llm.components import components
 from clientele.llm.vantage import RADIUS, near_links
 
@@ -78,14 +78,30 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 
 def keep_lowest(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The first row of each class of ``found`` (doc, row, fp, component_id), as ``keep_one`` says."""
+    """The first row of each class of ``found`` (doc, row, fp, component_id), as ``keep_one`` says.
+
+    Only ids and hashes decide: the texts meet the list of rows that go, and are not dealt out unless
+    that list is too long to send.
+    """
     # Rows without any id are told apart by the fingerprint, so each class still has a name.
     lead = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("row").alias("row"))
-    first = (found.withColumn("name", F.when(F.col("component_id").isNull(), F.col("fp")))
-             .groupBy("component_id", "name").agg(F.min(lead).alias("lead"))
-             .select(F.col("lead.doc").alias("k_doc"), F.col("lead.row").alias("k_row")))
-    doc, row = fresh("_doc", docs.columns), fresh("_row", docs.columns)
-    keyed = docs.withColumns({doc: F.col(id_col).cast("long"),
+    rows = stage(found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("name"), "doc", "row")
+                 .agg(F.count("*").alias("n")), "class rows")
+    first = rows.groupBy("component_id", "name").agg(F.min(lead).alias("lead")).select(
+        F.col("lead.none").alias("none"), F.col("lead.doc").alias("doc"), F.col("lead.row").alias("row"))
+    keys = [F.col("doc").isNull().alias("k_none"), F.coalesce("doc", F.lit(0).cast("long")).alias("k_doc"),
+            F.col("row").alias("k_row")]
+    leads = first.select(*keys)
+    named = rows.select(*keys, "n").groupBy("k_none", "k_doc", "k_row").agg(F.sum("n").alias("n"))
+    same = ["k_none", "k_doc", "k_row"]
+    go = stage(named.join(leads.withColumn("leads", F.lit(True)), same, "left")
+               .where(F.col("leads").isNull() | (F.col("n") > 1)).select(*same, F.col("leads").isNotNull().alias("twice")), "go")
+    none, doc, row = (fresh(k, docs.columns) for k in ("_none", "_doc", "_row"))
+    keyed = docs.withColumns({none: F.col(id_col).cast("long").isNull(),
+                              doc: F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")),
                               row: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    kept = keyed.join(first, keyed[doc].eqNullSafe(first["k_doc"]) & keyed[row].eqNullSafe(first["k_row"]), "left_semi")
-    return kept.dropDuplicates([doc, row]).drop(doc, row)
+    on = (F.col(none) == F.col("k_none")) & (F.col(doc) == F.col("k_doc")) & (F.col(row) == F.col("k_row"))
+    once = keyed.join(sized(go), on, "left_anti")
+    # Leads that are repeated rows: one of each stays.
+    twice = keyed.join(sized(stage(go.where("twice"), "twice")), on, "left_semi").dropDuplicates([none, doc, row])
+    return once.unionByName(twice).drop(none, doc, row)

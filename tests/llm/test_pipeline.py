@@ -11,7 +11,7 @@ from clientele.llm.common import stage
 from clientele.llm.line_quality import judge
 from clientele.llm.pareto_mix import allocate
 from clientele.llm.queries_tokens import tokenizer_path
-from test_simhash import slow_classes, slow_print
+from test_jaccard import slow_classes
 from test_suffix_match import brute
 
 SF = "/root/testdata/sf0.001"
@@ -54,7 +54,7 @@ def test_quality(steps):
 def test_near_dedup(steps):
     before, after = steps["near_dedup"]
     rows = before.orderBy("doc_id").collect()
-    low = slow_classes([slow_print(r["text"]) for r in rows])
+    low = slow_classes([r["text"] for r in rows])
     assert ids(after) == sorted({rows[k]["doc_id"] for k in low})
 
 
