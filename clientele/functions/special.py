@@ -67,6 +67,17 @@ def ln_gamma(x: Column) -> Column:
             + tail * inv - F.ln(product))
 
 
+def gamma_terms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ln Γ, its derivative) of an array of positive numbers, by the same shift and series."""
+    x = np.asarray(x, dtype=float)
+    z = x + SHIFT
+    steps = x[..., None] + np.arange(SHIFT)
+    powers = z[..., None] ** -(2 * np.arange(len(STIRLING)) + 1)
+    value = (z - 0.5) * np.log(z) - z + HALF_LOG_TWO_PI + powers @ np.array(STIRLING) - np.log(steps).sum(axis=-1)
+    slope = np.array([-(2 * k + 1) * c for k, c in enumerate(STIRLING)])
+    return value, np.log(z) - 0.5 / z + (powers @ slope) / z - (1.0 / steps).sum(axis=-1)
+
+
 def log_add_exp(a: Column, b: Column) -> Column:
     """ln(e^a + e^b) without overflow."""
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))

@@ -3,14 +3,14 @@
 Formulas: Fader, Hardie & Lee (2005), "Counting Your Customers" the Easy Way; Fader & Hardie
 (2013), The Gamma-Gamma Model of Monetary Value.
 
-The likelihood is a column expression and its sum a Spark aggregate. The driver holds only the
-three or four parameters: each step of the fit sends the points around the current parameters as
-one constant array and gets one sum per point back.
+Each evaluation of a fit sends the three or four parameters as constants and gets the sums of the
+likelihood and its gradient back from one Spark aggregate. Terms that depend on the number of orders
+alone are summed on the driver over how often each number occurs: n orders in all have at most
+sqrt(2 n) different numbers. The quasi-Newton search itself runs on the driver.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -21,10 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clientele.functions.scalars import DAYS_PER_WEEK, as_of_literal, day_diff, shift_days
-from clientele.functions.special import hyp2f1, ln_gamma, log_add_exp
+from clientele.functions.special import gamma_terms, hyp2f1, ln_gamma, log_add_exp
 from clientele.operators.customers import as_of_column, staged_totals
 from clientele.operators.features import minmax_scale
 from clientele.operators.order_stats import bin_of, label_of, quantile_edges
+from clientele.session import stage
 
 # Penalties of the two fits, monthly discount, segment labels (lowest value first).
 BGNBD_PENALTY = 0.001
@@ -94,95 +95,126 @@ def gg_loglik(x: Column, m: Column, p: Column, q: Column, gamma: Column) -> Colu
 
 # --- fitting ----------------------------------------------------------------------------------
 
-def _stencil(center: np.ndarray, h: float) -> list[np.ndarray]:
-    """Center, ± per axis, and the four corners per pair of axes."""
-    d = len(center)
-    eye = np.eye(d) * h
-    points = [center]
-    for i in range(d):
-        points += [center + eye[i], center - eye[i]]
-    for i in range(d):
-        for j in range(i + 1, d):
-            points += [center + eye[i] + eye[j], center + eye[i] - eye[j],
-                       center - eye[i] + eye[j], center - eye[i] - eye[j]]
-    return points
-
-
-def _derivatives(f: np.ndarray, d: int, h: float) -> tuple[float, np.ndarray, np.ndarray]:
-    plus, minus = f[1:2 * d + 1:2], f[2:2 * d + 1:2]
-    grad = (plus - minus) / (2 * h)
-    hess = np.diag((plus - 2 * f[0] + minus) / h**2)
-    corners = f[2 * d + 1:].reshape(-1, 4)
-    k = 0
-    for i in range(d):
-        for j in range(i + 1, d):
-            pp, pm, mp, mm = corners[k]
-            hess[i, j] = hess[j, i] = (pp - pm - mp + mm) / (4 * h * h)
-            k += 1
-    return f[0], grad, hess
-
-
-def minimise(evaluate: Callable[[list[np.ndarray]], np.ndarray], start: np.ndarray,
-             h: float = 1e-3, max_steps: int = 60, tol: float = 1e-7,
-             gain: float = 1e-8) -> tuple[np.ndarray, float]:
-    """Damped Newton search where one call evaluates a point with all its derivatives.
-
-    Ends at a gradient below ``tol`` or when two steps in a row gain less than ``gain``, relative.
+def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray,
+             max_steps: int = 200, tol: float = 1e-6, gain: float = 1e-8) -> tuple[np.ndarray, float]:
+    """Quasi-Newton search (BFGS): one call of ``evaluate`` gives a value and its gradient.
+
+    Steps shrink until the value falls enough (Armijo). Ends at a gradient below ``tol``, when two
+    steps in a row gain less than ``gain``, relative, or when no step lowers the value any more.
     """
     d = len(start)
-    at, damping, idle = start, 1e-3, 0
-    f0, g0, h0 = _derivatives(evaluate(_stencil(at, h)), d, h)
+    at, inverse = np.asarray(start, dtype=float), np.eye(d)
+    f0, g0 = evaluate(at)
+    fresh, idle = True, 0
     for _ in range(max_steps):
         if np.max(np.abs(g0)) < tol:
             break
-        lowest = np.linalg.eigvalsh(h0)[0]
-        shift = damping + max(0.0, 1e-6 - lowest)
-        step = np.clip(-np.linalg.solve(h0 + shift * np.eye(d), g0), -1.5, 1.5)
-        f1, g1, h1 = _derivatives(evaluate(_stencil(at + step, h)), d, h)
-        if np.isfinite(f1) and f1 < f0 + 1e-13 * abs(f0):
-            idle = idle + 1 if f0 - f1 < gain * abs(f0) else 0
-            at, f0, g0, h0 = at + step, f1, g1, h1
-            damping = max(damping / 10, 1e-12)
-            if idle == 2:
+        step = -inverse @ g0
+        if step @ g0 >= 0:  # not a descent: start the curvature anew
+            inverse, step, fresh = np.eye(d), -g0, True
+        step *= min(1.0, 1.0 / np.max(np.abs(step)))
+        for _ in range(30):
+            f1, g1 = evaluate(at + step)
+            if np.isfinite(f1) and f1 <= f0 + 1e-4 * (step @ g0):
                 break
+            step = step / 4
         else:
-            damping *= 10
-            if damping > 1e8:
+            if fresh:
                 break
+            inverse, fresh = np.eye(d), True
+            continue
+        change = g1 - g0
+        along = step @ change
+        if along > 1e-14:
+            if fresh:
+                inverse = np.eye(d) * (along / (change @ change))
+            turn = np.eye(d) - np.outer(step, change) / along
+            inverse = turn @ inverse @ turn.T + np.outer(step, step) / along
+            fresh = False
+        idle = idle + 1 if f0 - f1 < gain * abs(f0) else 0
+        at, f0, g0 = at + step, f1, g1
+        if idle == 2:
+            break
     return at, f0
 
 
-def _fit(data: DataFrame, weight: str, loglik: Callable[[Sequence[Column]], Column],
-         names: Sequence[str], start: Sequence[float], penalty: float) -> dict[str, float]:
-    """Minimise −mean log-likelihood + penalty · Σ θ² over the logarithms of the parameters."""
-    data = data.persist()
-    total = data.agg(F.sum(weight)).first()[0]
+Sums = Callable[[Sequence[Column]], list[Column]]
+Terms = Callable[[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray], tuple[float, np.ndarray]]
+
+
+def _fit(data: DataFrame, sums: Sums, terms: Terms, names: Sequence[str], start: Sequence[float],
+         penalty: float) -> dict[str, float]:
+    """Minimise −mean log-likelihood + penalty · Σ θ² over the logarithms of the parameters.
+
+    ``data`` has the columns of ``sums`` with ``x`` and the count ``n``. ``terms`` gets the parameters,
+    the different x, their counts, the number of rows and the sums, and gives the log-likelihood with
+    its gradient.
+    """
+    data = stage(data, "fit")
+    found = data.groupBy("x").agg(F.sum("n").alias("n")).orderBy("x").toPandas()
+    x, n = found["x"].to_numpy(float), found["n"].to_numpy(float)
+    total = float(n.sum())
     if not total:
         raise ValueError("no customers to fit")
 
-    summed = F.sum(F.col(weight) * loglik([F.col(f"t.{n}") for n in names])).alias("ll")
-    shape = "array<struct<i:int," + ",".join(f"{n}:double" for n in names) + ">>"
-
-    def evaluate(points: list[np.ndarray]) -> np.ndarray:
-        theta = np.exp(np.array(points))
-        # The points travel as one constant; the generated code stays the same for every step.
-        constant = json.dumps([{"i": i, **dict(zip(names, map(float, row)))}
-                               for i, row in enumerate(theta)])
-        spread = data.select("*", F.explode(F.from_json(F.lit(constant), shape)).alias("t"))
-        ll = np.full(len(points), np.nan)
-        for row in spread.groupBy("t.i").agg(summed).collect():
-            ll[row["i"]] = row["ll"]
-        return -ll / total + penalty * np.sum(theta**2, axis=1)
-
-    try:
-        best, value = minimise(evaluate, np.log(np.asarray(start, dtype=float)))
-    finally:
-        data.unpersist()
-    theta = np.exp(best)
+    def evaluate(point: np.ndarray) -> tuple[float, np.ndarray]:
+        theta = np.exp(np.clip(point, -30.0, 30.0))
+        row = data.agg(*[F.sum(F.col("n") * c) for c in sums([F.lit(float(v)) for v in theta])]).first()
+        if any(v is None or not math.isfinite(v) for v in row):
+            return math.inf, np.zeros(len(theta))
+        value, slope = terms(theta, x, n, total, np.array(row))
+        return (-value / total + penalty * float(np.sum(theta**2)),
+                theta * (-slope / total + 2.0 * penalty * theta))
+
+    best, value = minimise(evaluate, np.log(np.asarray(start, dtype=float)))
+    theta = np.exp(np.clip(best, -30.0, 30.0))
     loglik_sum = -(value - penalty * float(np.sum(theta**2))) * total
     return {**{n: float(v) for n, v in zip(names, theta)}, "log_likelihood": float(loglik_sum)}
 
 
+def _bgnbd_sums(theta: Sequence[Column]) -> list[Column]:
+    r, alpha, a, b = theta
+    x, one = F.col("x"), F.lit(1.0)
+    seen, met = F.ln(alpha + F.col("age")), F.ln(alpha + F.col("tx"))
+    active = -(r + x) * seen
+    left = b + F.greatest(x, one) - one
+    gone = F.ln(a) - F.ln(left) - (r + x) * met
+    alive = F.when(x > 0, one / (one + F.exp(F.least(gone - active, F.lit(700.0))))).otherwise(one)
+    dead = one - alive
+    return [F.when(x > 0, log_add_exp(active, gone)).otherwise(active), -alive * seen - dead * met,
+            -(r + x) * (alive / (alpha + F.col("age")) + dead / (alpha + F.col("tx"))), dead, -dead / left]
+
+
+def _bgnbd_terms(theta, x, n, total, sums):
+    r, alpha, a, b = theta
+    (rx, d_rx), (bx, d_bx), (abx, d_abx) = (gamma_terms(v + x) for v in (r, b, a + b))
+    (g_r, d_r), (g_b, d_b), (g_ab, d_ab) = (gamma_terms(v) for v in (r, b, a + b))
+    value = n @ (rx + bx - abx) + total * (g_ab - g_r - g_b + r * math.log(alpha)) + sums[0]
+    both = total * d_ab - n @ d_abx
+    return float(value), np.array([n @ d_rx - total * d_r + total * math.log(alpha) + sums[1],
+                                   total * r / alpha + sums[2], both + sums[3] / a,
+                                   both + n @ d_bx - total * d_b + sums[4]])
+
+
+def _gg_sums(theta: Sequence[Column]) -> list[Column]:
+    p, q, gamma = theta
+    x, m = F.col("x"), F.col("m")
+    whole = x * m + gamma
+    return [x * F.ln(m), F.ln(m), F.ln(whole), x * F.ln(whole), (p * x + q) / whole]
+
+
+def _gg_terms(theta, x, n, total, sums):
+    p, q, gamma = theta
+    (whole, d_whole), (px, d_px) = gamma_terms(p * x + q), gamma_terms(p * x)
+    g_q, d_q = gamma_terms(q)
+    xlnx = n @ (x * np.log(x))
+    value = (n @ (whole - px) - total * (g_q - q * math.log(gamma)) + p * sums[0] - sums[1] + p * xlnx
+             - p * sums[3] - q * sums[2])
+    return float(value), np.array([n @ (x * (d_whole - d_px)) + sums[0] + xlnx - sums[3],
+                                   n @ d_whole - total * (d_q - math.log(gamma)) - sums[2],
+                                   total * q / gamma - sums[4]])
+
+
 def bgnbd_fit(summary: DataFrame, penalty: float = BGNBD_PENALTY,
               start: Sequence[float] | None = None) -> PurchaseModel:
     """Fit on the distinct (orders, recency, age) with their counts: bounded by time, not customers.
@@ -196,18 +228,16 @@ def bgnbd_fit(summary: DataFrame, penalty: float = BGNBD_PENALTY,
         F.col("frequency").cast("double").alias("x"), F.col("recency").cast("double").alias("tx"),
         F.col("age").cast("double").alias("age")).groupBy("x", "tx", "age").agg(
         F.count("*").cast("double").alias("n"))
-    x, tx, age = F.col("x"), F.col("tx"), F.col("age")
-    return PurchaseModel(**_fit(distinct, "n", lambda t: bgnbd_loglik(x, tx, age, *t),
-                                ("r", "alpha", "a", "b"), start, penalty))
+    return PurchaseModel(**_fit(distinct, _bgnbd_sums, _bgnbd_terms, ("r", "alpha", "a", "b"), start, penalty))
 
 
 def gg_fit(summary: DataFrame, penalty: float = GG_PENALTY,
            start: Sequence[float] = (1.0, 1.0, 1.0)) -> SpendModel:
-    data = summary.where("frequency > 0 and monetary > 0").select(
-        F.col("frequency").cast("double").alias("x"), F.col("monetary").cast("double").alias("m"),
-        F.lit(1.0).alias("n"))
-    return SpendModel(**_fit(data, "n", lambda t: gg_loglik(F.col("x"), F.col("m"), *t),
-                             ("p", "q", "gamma"), start, penalty))
+    """Fit on the distinct (orders, mean spend) with their counts."""
+    data = summary.where("frequency > 0 and monetary > 0").groupBy(
+        F.col("frequency").cast("double").alias("x"), F.col("monetary").cast("double").alias("m")).agg(
+        F.count("*").cast("double").alias("n"))
+    return SpendModel(**_fit(data, _gg_sums, _gg_terms, ("p", "q", "gamma"), start, penalty))
 
 
 def model_frame(df: DataFrame, model: PurchaseModel | SpendModel) -> DataFrame:
@@ -294,7 +324,7 @@ def backtest(lines: DataFrame, valued: DataFrame, days: int = 90) -> DataFrame:
 def purchase_probabilities(model: PurchaseModel, t: float, most: int) -> np.ndarray:
     """P(X(t) = x) for x = 0…most."""
     r, alpha, a, b = model.r, model.alpha, model.a, model.b
-    lg = np.vectorize(math.lgamma, otypes=[float])
+    lg = lambda v: gamma_terms(v)[0]
     x = np.arange(most + 1)
     counting = np.exp(lg(r + x) - math.lgamma(r) - lg(x + 1.0) + r * math.log(alpha / (alpha + t))
                       + (x * math.log(t / (alpha + t)) if t > 0 else np.where(x > 0, -np.inf, 0.0)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from clientele.functions.scalars import safe_ratio
@@ -160,22 +161,55 @@ def target_means(df: DataFrame, target: str, columns: Sequence[str]) -> DataFram
     return df.where(known).groupBy(*columns).agg(F.avg(target).alias("target_mean"))
 
 
+def _moments(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(a, b, n, x, y, xx, yy, xy) of each task and pair of columns a <= b: sums over rows that have both.
+
+    Each batch is one matrix, and all sums of all pairs are four products of it with itself.
+    """
+    d = len(names)
+    upper = np.triu_indices(d)
+
+    def run(batches):
+        total = None
+        for pdf in batches:
+            values = pdf.to_numpy(dtype=float)
+            known = ~np.isnan(values)
+            x, m = np.where(known, values, 0.0), known.astype(float)
+            own = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            total = own if total is None else total + own
+        if total is not None:
+            sums = total[:, upper[0], upper[1]]
+            yield pd.DataFrame({"a": upper[0], "b": upper[1], **dict(zip(("n", "x", "y", "xx", "yy", "xy"), sums))})
+
+    return df.mapInPandas(run, "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None,
                  diagonal: bool = False) -> DataFrame:
-    """Pearson correlation of each pair (a before b), pairwise complete, in one aggregation."""
+    """Pearson correlation of each pair (a before b), pairwise complete.
+
+    One pass finds the means, which the values are shifted by so that the sums do not cancel; a second
+    one sums the products of all pairs in blocks. A pair with a constant side has no correlation.
+    """
     columns = list(columns or numeric_columns(df))
-    pairs = list(itertools.combinations_with_replacement(range(len(columns)), 2))
-    if not diagonal:
-        pairs = [(i, j) for i, j in pairs if i < j]
-    clean = {}
+    clean = []
     for c in columns:
         x = F.col(f"`{c}`").cast("double")
-        clean[c] = F.when(~F.isnan(x), x)
-    row = df.agg(*[F.corr(clean[columns[i]], clean[columns[j]]).alias(f"r{i}_{j}") for i, j in pairs])
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"),
-                 F.lit(i).alias("_a"), F.lit(j).alias("_b"), F.col(f"r{i}_{j}").alias("r"))
-        for i, j in pairs])).alias("x")).select("x.*")
+        clean.append(F.when(~F.isnan(x), x))
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(clean)]).first()
+    shifted = df.select(*[(c - F.lit(means[f"m{i}"] or 0.0)).alias(f"x{i}") for i, c in enumerate(clean)])
+    whole = _moments(shifted, columns).groupBy("a", "b").agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
+    if not diagonal:
+        whole = whole.where("a < b")
+    n = F.col("n")
+    spread = [F.greatest(F.col(k + k) - F.col(k) * F.col(k) / n, F.lit(0.0)) for k in ("x", "y")]
+    # What is left of a constant column after rounding is no spread.
+    flat = reduce(lambda a, b: a | b, [s <= F.lit(1e-13) * F.col(k + k) for s, k in zip(spread, ("x", "y"))])
+    r = (F.col("xy") - F.col("x") * F.col("y") / n) / (F.sqrt(spread[0]) * F.sqrt(spread[1]))
+    r = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+    names = F.array(*[F.lit(c) for c in columns])
+    return whole.select(names[F.col("a")].alias("a"), names[F.col("b")].alias("b"), F.col("a").alias("_a"),
+                        F.col("b").alias("_b"), F.when((n > 1) & ~flat, r).alias("r"))
 
 
 def strong_pairs(pairs: DataFrame, at_least: float = 0.75) -> DataFrame:

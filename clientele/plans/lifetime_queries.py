@@ -87,6 +87,32 @@ def gg_fit(spark, sf):
     return lifetime.model_frame(s, lifetime.gg_fit(s))
 
 
+@query("fit_facts", SUMMARISED + """
+select model, count(*) as n_customers, true as positive, true as nothing_near_is_better, true as likelihood_agrees
+from summary, (values ('bgnbd'), ('gg')) m(model) where model = 'bgnbd' or frequency > 0 and monetary > 0 group by model""")
+def fit_facts(spark, sf):
+    """What must hold of both fits: no point one percent away has a penalised likelihood that is higher by
+    more than a millionth."""
+    s = stage(_summary(spark, sf), "summary")
+    x, m, tx, age = (F.col(c).cast("double") for c in ("frequency", "monetary", "recency", "age"))
+    spent = s.where("frequency > 0 and monetary > 0")
+    cases = [("bgnbd", s, lifetime.bgnbd_fit(s), ("r", "alpha", "a", "b"), lifetime.BGNBD_PENALTY,
+              lambda t: lifetime.bgnbd_loglik(x, tx, age, *t)),
+             ("gg", spent, lifetime.gg_fit(s), ("p", "q", "gamma"), lifetime.GG_PENALTY, lambda t: lifetime.gg_loglik(x, m, *t))]
+    rows = []
+    for name, df, model, names, penalty, loglik in cases:
+        best = [getattr(model, n) for n in names]
+        points = [best] + [[v * (1 + 0.01 * side * (i == j)) for j, v in enumerate(best)]
+                           for i in range(len(best)) for side in (1, -1)]
+        got = df.agg(F.count("*"), *[F.sum(loglik([F.lit(v) for v in p])) for p in points]).first()
+        n, values = got[0], got[1:]
+        worth = [v / n - penalty * sum(t * t for t in p) for v, p in zip(values, points)]
+        rows.append((name, n, min(best) > 0, worth[0] >= max(worth[1:]) - 1e-6 * abs(worth[0]),
+                     abs(values[0] - model.log_likelihood) <= 1e-6 * abs(values[0])))
+    return spark.createDataFrame(rows, "model string, n_customers long, positive boolean, "
+                                       "nothing_near_is_better boolean, likelihood_agrees boolean")
+
+
 HORIZONS = {"week": 1.0, "month": 4.0, "quarter": 12.0, "half_year": 24.0, "year": 48.0}
 
 

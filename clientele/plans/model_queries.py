@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from clientele.operators import clusters, customers, metrics, models, neighbours, sampling
@@ -56,6 +57,35 @@ def elbow(spark, sf):
     return clusters.elbow(_rfm(spark, sf), most=10, starts=10)
 
 
+CLUSTER_FACTS = """
+select k::bigint as k, (select count(*) from metrics) as n_points, true as at_nearest, true as centres_are_means,
+       true as cost_is_the_sum, true as below_fewer from range(2, 11) t(k)"""
+
+
+@query("cluster_facts", with_(LINES, TOTALS, METRICS) + CLUSTER_FACTS)
+def cluster_facts(spark, sf):
+    """What must hold of the clusters for every k: nearest centres, centres that are means, costs that fall."""
+    data = clusters.scaled_features(_rfm(spark, sf))
+    fitted = clusters.fit_clusters(data, range(2, 11), starts=10)
+    x = [vector_to_array("features")[i] for i in range(3)]
+    facts, before = None, None
+    for k, m in fitted.items():
+        near = clusters.assign(data, m.centres, "own")
+        centres = F.array(*[F.array(*[F.lit(v) for v in c]) for c in m.centres.tolist()])
+        own = lambda c: sum(((v - c[i]) * (v - c[i]) for i, v in enumerate(x)), F.lit(0.0))
+        gap, least = own(centres[F.col("own")]), F.array_min(F.transform(centres, own))
+        means = near.withColumns({"gap": gap, "least": least}).groupBy("own").agg(
+            F.count("*").alias("n"), F.sum("gap").alias("cost"), F.bool_and(F.col("gap") <= F.col("least") + 1e-12).alias("ok"),
+            F.array(*[F.avg(v) for v in x]).alias("mean"))
+        moved = F.array_max(F.zip_with("mean", centres[F.col("own")], lambda a, b: F.abs(a - b)))
+        row = means.agg(F.sum("n").alias("n_points"), F.bool_and("ok").alias("at_nearest"),
+                        (F.max(moved) <= 2 * clusters.TOLERANCE).alias("centres_are_means"),
+                        (F.abs(F.sum("cost") - F.lit(m.cost)) <= F.lit(1e-6 * m.cost + 1e-9)).alias("cost_is_the_sum"))
+        row = row.select(F.lit(k).cast("long").alias("k"), "*", F.lit(before is None or m.cost <= before).alias("below_fewer"))
+        facts, before = row if facts is None else facts.unionByName(row), m.cost
+    return facts
+
+
 SCALED = """
 b as (select min(recency) as r0, max(recency) as r1, min(frequency) as f0, max(frequency) as f1,
              min(monetary) as m0, max(monetary) as m1 from metrics),

@@ -120,6 +120,20 @@ def corr_strong(spark, sf):
     return profiling.strong_pairs(pairs, 0.0).select("a", "b", F.round("r", 6).alias("r"))
 
 
+# Many columns with gaps: remainders of the line's keys, missing where another remainder is 0.
+WIDE = [(f"c{k}", f"case when (l_partkey + l_linenumber) % {k % 5 + 3} = 0 then null "
+                  f"else (l_orderkey * {k} + l_suppkey) % {2 * k + 3} end") for k in range(1, 41)]
+
+
+@query("corr_wide", "with w as (select " + ", ".join(f"{e} as {c}" for c, e in WIDE) + " from lineitem)\n" + _per_column(
+    [(a[0], b[0]) for i, a in enumerate(WIDE) for b in WIDE[i + 1:]],
+    lambda p: f"select '{p[0]}' as a, '{p[1]}' as b, round(corr({p[0]}, {p[1]}), 6) as r from w"))
+def corr_wide(spark, sf):
+    """All pairs of many columns, each over the rows that have both."""
+    wide = table(spark, sf, "lineitem").select(*[F.expr(e).alias(c) for c, e in WIDE])
+    return profiling.correlations(wide).select("a", "b", F.round("r", 6).alias("r"))
+
+
 @query("high_corr", f"""
 select distinct b as "column" from ({_corr_sql(LINE_NUMBERS)}) where abs(r) > 0.5""")
 def high_corr(spark, sf):

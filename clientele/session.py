@@ -7,13 +7,14 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-# The shared folders made so far, for ``scratch``.
-_FOLDERS: list[str] = []
+# The shared folders made inside each open ``scratch`` block, the innermost last; every thread has its own.
+_BLOCKS: ContextVar[tuple[list[str], ...]] = ContextVar("blocks", default=())
 
 # Split skewed joins even where the next step then needs an exchange of its own: the join of lines
 # and orders feeds an aggregation by order, and one order may hold very many lines.
@@ -91,37 +92,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint folder, which every executor can reach."""
+def shared_folder(spark: SparkSession, name: str, outlive: bool = False) -> str:
+    """A fresh folder below the checkpoint folder, which every executor can reach.
+
+    It belongs to the innermost ``scratch`` block, or with ``outlive`` to the one around that.
+    """
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _FOLDERS.append(folder)
+    blocks = _BLOCKS.get()[:-1] if outlive else _BLOCKS.get()
+    if blocks:
+        blocks[-1].append(folder)
     return folder
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the shared folders made inside the block when it ends.
+    """Delete the shared folders made inside the block, by this thread, when it ends.
 
     What is computed inside must be written or collected there: a DataFrame that still reads a stage
-    fails afterwards. Flows that return a DataFrame leave this to their caller.
+    fails afterwards. What goes on being read is staged with ``outlive``.
     """
-    first = len(_FOLDERS)
+    mine: list[str] = []
+    token = _BLOCKS.set((*_BLOCKS.get(), mine))
     try:
         yield
     finally:
+        _BLOCKS.reset(token)
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in _FOLDERS[first:]:
+        for folder in mine:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-        del _FOLDERS[first:]
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", outlive: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from that table.
 
     For results that later steps read several times: they are computed once, survive the loss of
     executors, and keep the plans that follow short.
     """
-    path = shared_folder(df.sparkSession, name)
+    path = shared_folder(df.sparkSession, name, outlive)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
