@@ -6,28 +6,26 @@ global ``row_number`` moves the table into one task. Neither works on a large ta
 * ``select_positions`` narrows an interval around each wanted position with approximate
   quantiles and exact counts until the interval is small enough for one task. The approximation
   only chooses where to cut; every count is exact, so the result is exact whatever its error.
-* ``range_split`` cuts a table into ordered pieces of bounded size for rank and running-total
-  work. A value that fills several pieces is cut further by a second column.
+* ``range_split`` cuts a table into ordered pieces for rank and running-total work, by the value and
+  then by a second column, so a frequent value fills several pieces.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from clientele.functions.scalars import col, interpolate
+from clientele.session import stage
 
 # Distinct values one task sorts in the last step of a selection. Small, because narrowing by
 # counting is cheaper than moving values.
 SELECT_ROWS = 50_000
 # Rows one ordered piece may have.
 TASK_ROWS = 2_000_000
-# Upper bound for the number of ordered pieces; the edges live on the driver.
-MAX_PIECES = 20_000
 
 
 @dataclass(frozen=True)
@@ -323,69 +321,27 @@ def rank_bin(value: str, key: str, cuts: Sequence[tuple[object, object]]) -> Col
     return F.when(v.isNotNull(), number)
 
 
-def _splits(edges: Iterable) -> list[float]:
-    inner = sorted({float(e) for e in edges if e is not None})
-    return [-math.inf, *(inner or [0.0]), math.inf]
-
-
-def _bucketize(df: DataFrame, source: str, out: str, splits: list[float]) -> DataFrame:
-    tmp = f"{out}_x"
-    done = Bucketizer(splits=splits, inputCol=tmp, outputCol=out).transform(
-        df.withColumn(tmp, F.col(source).cast("double")))
-    return done.drop(tmp).withColumn(out, F.col(out).cast("int"))
-
-
 def range_split(df: DataFrame, value: str, key: str | None = None,
                 task_rows: int = TASK_ROWS) -> DataFrame:
-    """Add ``_piece`` and ``_part``: ordered pieces of about equal size.
+    """Add ``_piece``: ordered pieces of about equal size, written once so that they stay as they are.
 
-    Pieces follow ``value``. A value that fills a piece of its own gets that piece alone, and is
-    divided into parts by ``key``. Without a key the values must be distinct. Rows with a NULL
-    value are dropped.
+    The pieces are ranges of (value, key), found and compared in the columns' own types: a value that
+    would fill several pieces is cut at quantiles of the key among its own rows. Rows that agree in
+    both share a piece. Rows with a NULL value are dropped.
     """
     df = df.where(F.col(value).isNotNull())
-    spark = df.sparkSession
-    n = df.count()
-    pieces = min(MAX_PIECES, max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                 math.ceil(n / task_rows)))
-    probs = [i / pieces for i in range(1, pieces)] or [0.5]
-    accuracy = max(10_000, 10 * pieces)
-    sketch = [F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("v")]
-    if key:
-        sketch.append(F.percentile_approx(F.col(key).cast("double"), probs, accuracy).alias("k"))
-    row = df.agg(*sketch).first()
-    edges = row["v"] or []
-    hot = sorted({a for a, b in zip(edges, edges[1:]) if a == b})
-    # A hot value sits alone between itself and the next representable number.
-    splits = _splits([*edges, *[math.nextafter(h, math.inf) for h in hot]])
-    out = _bucketize(df, value, "_piece", splits)
-    if not key or not hot:
-        return out.withColumn("_part", F.lit(0))
-    out = _bucketize(out, key, "_part", _splits(row["k"] or []))
-    single = F.array(*[F.lit(splits.index(h)) for h in hot])
-    return out.withColumn("_part", F.when(
-        F.array_contains(single, F.col("_piece")), F.col("_part")).otherwise(F.lit(0)))
+    pieces = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / task_rows))
+    ranged = df.repartitionByRange(pieces, *[F.col(c).asc_nulls_first() for c in (value, key) if c])
+    return stage(ranged.withColumn("_piece", F.spark_partition_id()), "ranged")
 
 
 def _running_offsets(split: DataFrame, weights: Sequence[Column],
                      names: Sequence[str]) -> DataFrame:
-    """Totals of all earlier (piece, part) groups, per group.
-
-    Pieces number at most MAX_PIECES, so one task can run over them; the parts of a piece run
-    inside that piece.
-    """
-    sums = split.groupBy("_piece", "_part").agg(*[F.sum(w).alias(n) for w, n in zip(weights, names)])
-    per_piece = sums.groupBy("_piece").agg(*[F.sum(n).alias(n) for n in names])
+    """Totals of all earlier pieces, per piece: a row each, so one task can run over them."""
+    sums = split.groupBy("_piece").agg(*[F.sum(w).alias(n) for w, n in zip(weights, names)])
     earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_piece.select("_piece", *[
-        F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_base_{n}") for n in names])
-    within = Window.partitionBy("_piece").orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1)
-    return (sums.withColumns({f"_in_{n}": F.coalesce(F.sum(n).over(within), F.lit(0))
-                              for n in names})
-            .join(base, "_piece")
-            .select("_piece", "_part", *[
-                (F.col(f"_in_{n}") + F.col(f"_base_{n}")).alias(f"_off_{n}") for n in names]))
+    return sums.select("_piece", *[
+        F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_off_{n}") for n in names])
 
 
 def rank_first(df: DataFrame, value: str, key: str, out: str,
@@ -393,11 +349,11 @@ def rank_first(df: DataFrame, value: str, key: str, out: str,
     """Ordinal rank 1…n by value, ties by key, over the whole table without a single task."""
     split = range_split(df, value, key, task_rows)
     offsets = _running_offsets(split, [F.lit(1)], ["n"])
-    inside = Window.partitionBy("_piece", "_part").orderBy(value, key)
+    inside = Window.partitionBy("_piece").orderBy(value, key)
     return (split.withColumn("_row", F.row_number().over(inside))
-            .join(offsets, ["_piece", "_part"])
+            .join(F.broadcast(offsets), "_piece")  # a row per piece
             .withColumn(out, (F.col("_off_n") + F.col("_row")).cast("long"))
-            .drop("_piece", "_part", "_row", "_off_n"))
+            .drop("_piece", "_row", "_off_n"))
 
 
 def running_totals(df: DataFrame, value: str, weights: Sequence[str],
@@ -412,8 +368,8 @@ def running_totals(df: DataFrame, value: str, weights: Sequence[str],
         Window.unboundedPreceding, -1)
     with_rows = split.withColumns({
         f"_here_{w}": F.coalesce(F.sum(w).over(earlier), F.lit(0)) for w in weights})
-    return (with_rows.join(offsets, ["_piece", "_part"])
+    return (with_rows.join(F.broadcast(offsets), "_piece")
             .withColumns({f"below_{w}": F.col(f"_here_{w}") + F.col(f"_off_{w}")
                           for w in weights})
-            .drop("_piece", "_part", *[f"_here_{w}" for w in weights],
+            .drop("_piece", *[f"_here_{w}" for w in weights],
                   *[f"_off_{w}" for w in weights]))

@@ -117,18 +117,25 @@ def _once(sql: str, *names: str) -> str:
     return sql
 
 
-@query("churn_label_from_data", _once(ALL, "lines", "totals", "metrics", "scores", "segments", "cltv").rstrip() + """,
-joined as materialized (select l.customer_id, order_id, line_number, s.*exclude(customer_id), c.cltv
-           from lines l join segments s using (customer_id) join cltv c using (customer_id)),
-lim as (select avg(cltv) cm, avg(tenure) tm, quantile_cont(cltv, .25) cq,
-               quantile_cont(tenure::double, .25) tq from joined)
-select customer_id, order_id, line_number,
+# Every customer counts as often as it has lines; a quantile between two positions is interpolated.
+@query("churn_label_from_data", _once(with_(LINES, TOTALS, METRICS, SCORES, SEGMENTS, CLTV), "lines", "totals").rstrip() + """,
+feats as materialized (select s.*, c.cltv, n from segments s join cltv c using (customer_id)
+  join (select customer_id, count(*) as n from lines group by 1) p using (customer_id)),
+vals as (select 'c' as which, cltv as v, n from feats union all select 't', tenure::double, n from feats),
+cum as (select which, v, sum(n) over (partition by which order by v rows unbounded preceding) as upto,
+               (sum(n) over (partition by which) - 1) * .25 as h from vals where v is not null),
+q as (select which, min(v) filter (upto > floor(h)) as lo, min(v) filter (upto > ceil(h)) as hi, any_value(h) as h
+      from cum group by which),
+lim as (select sum(cltv * n) / sum(n) filter (cltv is not null) as cm, sum(tenure * n) / sum(n) as tm,
+               (select lo + (hi - lo) * (h - floor(h)) from q where which = 'c') as cq,
+               (select lo + (hi - lo) * (h - floor(h)) from q where which = 't') as tq from feats),
+flags as materialized (select customer_id,
   (coalesce(recency_score = 1, false)
    or coalesce(recency_score = 2 and frequency_score <= 2 and monetary_score <= 2
                and cltv <= cm and tenure <= tm, false)
    or coalesce(recency between 90 and 112 and frequency_score = 1 and monetary_score = 1
-               and cltv <= cq and tenure <= tq, false))::bigint as churn
-from joined cross join lim""")
+               and cltv <= cq and tenure <= tq, false))::bigint as churn from feats cross join lim)
+select customer_id, order_id, line_number, churn from lines join flags using (customer_id)""")
 def churn_label_from_data(spark, sf):
     lines = order_lines(spark, sf)
     featured = attach(lines.select("customer_id", "order_id", "line_number"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clientele.plans.oracle import CAMPAIGN, LINES, with_
 from clientele.plans.registry import query
-from clientele.sources.database import list_tables
+from clientele.sources.database import list_databases, list_tables
 from clientele.session import shared_folder
 from clientele.sources.files import load_lines, write_csv
 from clientele.sources.tables import campaign, order_lines, table
@@ -59,6 +59,18 @@ def xlsx_orders(spark, sf):
 CATALOG = ("orders", "lineitem", "customer", "nation", "part", "supplier", "region", "events")
 
 
+@query("catalog_databases", "select 'default' as namespace, count(*) as n_tables from information_schema.tables "
+       "where table_name = 'region'")
+def catalog_databases(spark, sf):
+    """The databases of the session; the given tables become one view of the current one."""
+    table(spark, sf, "region").createOrReplaceTempView("region")
+    found = list_databases(spark).where("namespace = 'default'")
+    names = list_tables(spark).where("isTemporary and tableName = 'region'").agg(F.count("*").alias("n_tables")).scalar()
+    out = found.select("namespace", names.alias("n_tables")).toPandas()
+    spark.catalog.dropTempView("region")
+    return spark.createDataFrame(out, "namespace string, n_tables long")
+
+
 @query("catalog_tables", "\nunion all ".join(
     f"""select '{n}' as "tableName", true as "isTemporary", count(*) as "rows" from {n}""" for n in CATALOG))
 def catalog_tables(spark, sf):
