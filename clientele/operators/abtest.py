@@ -11,18 +11,16 @@ import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.functions.special import (
     inverse_normal, p_two_sided_t, p_two_sided_z, p_upper_f, p_upper_z)
-from clientele.operators.order_stats import exact_quantiles, running_totals, select_positions
+from clientele.operators.order_stats import exact_quantiles, rank_first, running_totals
 from clientele.session import stage
 
 NORMAL = NormalDist()
 # Sample size up to which the approximation behind the Shapiro-Wilk p-value was made.
 SHAPIRO_TESTED_N = 5000
-# Ranks of equal values that one row adds up.
-SCORE_RUN = 100_000
 # Polynomial coefficients (rising powers) of Royston's 1995 algorithm.
 ROYSTON_LAST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
 ROYSTON_SECOND = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
@@ -144,12 +142,6 @@ def _score(rank: Column, n: int) -> Column:
     return inverse_normal((rank - F.lit(0.375)) / F.lit(n + 0.25))
 
 
-def _score_squares(spark: SparkSession, n: int) -> float:
-    """Sum of all squared normal scores; the scores are symmetric, so half of them are added up."""
-    half = spark.range(1, n // 2 + 1).select(F.col("id").cast("double").alias("k"))
-    return 2.0 * (half.agg(F.sum(_score(F.col("k"), n) * _score(F.col("k"), n))).first()[0] or 0.0)
-
-
 def _poly(c: Sequence[float], x: float) -> float:
     return sum(k * x**i for i, k in enumerate(c))
 
@@ -172,37 +164,29 @@ def shapiro_p(w: float, n: int) -> float:
 
 
 def shapiro(df: DataFrame, column: str) -> tuple[int, float | None, float | None]:
-    """Sample size, W and p. W uses every row, however many; beyond 5000 rows p is extrapolated."""
+    """Sample size, W and p. W uses every row, however many; beyond 5000 rows p is extrapolated.
+
+    The rows are ranked in ordered pieces, and one pass over them gives both sums of the normal scores,
+    the ends and the spread. Equal values take the ranks of their group in any order, which leaves the
+    sums as they are.
+    """
     v = F.col(column).cast("double")
-    values = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
-    n_values, found = select_positions(values, {"v": "v"}, lambda _, n: [1, 2, n - 1, n])
-    n, stats = n_values["v"], found["v"]
-    if n < 3 or stats[1].value == stats[n].value:
+    values = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"), F.monotonically_increasing_id().alias("k"))
+    n = values.count()
+    if n < 3:
         return n, None, None
-    ends = tuple(stats[p].value for p in (1, 2, n - 1, n))
-    weighted = _weighted_scores(values, n)
-    spread = values.agg(F.var_samp("v")).first()[0] * (n - 1)
-    if not spread:
+    rank = F.col("r")
+    score = _score(rank.cast("double"), n)
+    places = (1, 2, n - 1, n)
+    weighted, squares, variance, *ends = rank_first(values, "v", "k", "r").agg(
+        F.sum(F.col("v") * score), F.sum(score * score), F.var_samp("v"),
+        *[F.max(F.when(rank == p, F.col("v"))) for p in places]).first()
+    if ends[0] == ends[3] or not variance:
         return n, None, None
-    w = _shapiro_w(n, ends, weighted, spread, _score_squares(df.sparkSession, n))
+    w = _shapiro_w(n, tuple(ends), weighted, variance * (n - 1), squares)
     return n, float(w), float(shapiro_p(w, n))
 
 
-def _weighted_scores(values: DataFrame, n: int) -> float:
-    """Sum of value times normal score over the table of distinct values.
-
-    Equal values share the scores of their ranks, which are added up in runs of bounded length.
-    """
-    table = stage(values.groupBy("v").agg(F.count("*").alias("n")), "values")
-    ranked = running_totals(table, "v", ["n"]).select(
-        "v", (F.col("below_n") + 1).alias("first"), (F.col("below_n") + F.col("n")).alias("last"))
-    runs = ranked.withColumn("a", F.explode(F.sequence("first", "last", F.lit(SCORE_RUN).cast("long"))))
-    b = F.least(F.col("a") + (SCORE_RUN - 1), F.col("last"))
-    several = F.aggregate(F.sequence("a", b), F.lit(0.0), lambda s, k: s + _score(k.cast("double"), n))
-    score = F.when(F.col("a") == b, _score(F.col("a").cast("double"), n)).otherwise(several)
-    return runs.agg(F.sum(F.col("v") * score)).first()[0]
-
-
 def _shapiro_w(n: int, ends: tuple, weighted: float, spread: float, total: float) -> float:
     """W from the two lowest and two highest values and the sum of value times normal score."""
     m_last, m_second = (NORMAL.inv_cdf((k - 0.375) / (n + 0.25)) for k in (n, n - 1))
