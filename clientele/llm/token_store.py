@@ -18,10 +18,11 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -30,15 +31,19 @@ from clientele.llm.common import shared_folder, stage
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 DICT_BYTES = 64 << 10
-#: Documents the dictionary is trained on, about, and the code points of each; no other step samples.
-DICT_DOCS, DICT_CHARS = 1500, 8000
+#: Documents the dictionary is trained on, about, and the bytes of the window of serialized ids taken from
+#: each, at a place that the document's hash names; no other step samples.
+DICT_DOCS, DICT_WINDOW = 1500, 6144
 LEVEL = 3
 NO_DOC = -(1 << 63)
-# A task keeps so many words and word stems, about 130 MB.
-_CACHED_WORDS = 400_000
-_CACHED_STEMS = 200_000
-_CHUNK_WORDS = 200_000
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&#*|()\"/-]*)")
+# A task keeps so many words and word stems, about 200 MB.
+_CACHED_WORDS = 700_000
+_CACHED_STEMS = 250_000
+_CHUNK_CHARS = 4_000_000
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_CLOSING = b".,;:!?%$&#*|()\"/-"
+# Texts that show whether a tokenizer goes by words.
+_PROBES = ("Zum Beispiel: A-b, c.d (e)!", "  two  spaces\tand\n\nlines \x0b\x0c\r", "Été ÀÇ naïve 12,5 % x_y ß Ω", "$1.00; \"q\"")
 
 
 class WordEncoder:
@@ -58,38 +63,62 @@ class WordEncoder:
         self.spelled = str.maketrans({c: split(c)[0][0] for c in letters})  # how the model spells them
         self.bytes_per_id = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.forget()
+        self._check()
+
+    def _check(self) -> None:
+        """Raise if words one by one do not give a text's ids."""
+        for text in _PROBES:
+            if list(next(self.encode([text]))) != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError("the tokenizer does not lower-case and split at white space: encode whole texts instead")
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.stems: dict[str, tuple[int, ...]] = {}
+        self.known: dict[bytes, int] = {b"": 0}  # what stands before white space that begins a text
+        self.stems: dict[bytes, list[int]] = {}
+        self.marks: dict[bytes, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        found = self.stems.get(part)
-        if found is None:
-            found = tuple(t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelled)))
-            if len(self.stems) < _CACHED_STEMS:
-                self.stems[part] = found
-        return found
-
-    def _encode(self, word: str) -> tuple[int, ...]:
-        plain = _PLAIN.fullmatch(word)
-        if plain is None:
-            return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        letters, rest = plain.groups()
-        return self._part(letters.lower()) + (self._part(rest) if rest else ())
+    def _part(self, part: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelled))]
+
+    def _stems_of(self, stems: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of stems of letters; other stems are left out. ASCII letters the model spells as they are."""
+        split, out = self.tokenizer.model.tokenize, {}
+        for s in stems:
+            if s.isalpha():
+                out[s] = [t.id for t in split(s.decode())]
+            elif _LETTERS.fullmatch(text := s.decode()):
+                out[s] = self._part(text.lower())
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
         known, sizes, made = self.known, [], []
-        for w in words:
-            if w not in known:
-                known[w] = len(known)
-                ids = self._encode(w.decode())
-                sizes.append(len(ids))
-                made += ids
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        bare = [w.rstrip(_CLOSING) for w in new]
+        stems = [b.lower() for b in bare]  # ASCII letters; the tokenizer does the others
+        found = self._stems_of([s for s in dict.fromkeys(stems) if s not in self.stems])
+        if len(self.stems) < _CACHED_STEMS:
+            self.stems.update(found)
+            found = self.stems
+        else:
+            found |= {s: self.stems[s] for s in stems if s in self.stems}
+        for w, b, stem in zip(new, bare, stems):
+            known[w] = len(known)
+            ids = found.get(stem)
+            if ids is None:
+                ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+            elif len(b) < len(w):
+                rest = w[len(b):]
+                marks = self.marks.get(rest)
+                if marks is None:
+                    marks = self._part(rest.decode())
+                    if len(self.marks) < _CACHED_STEMS:
+                        self.marks[rest] = marks
+                ids = ids + marks
+            sizes.append(len(ids))
+            made += ids
         n, used = len(known), self.used + len(made)
         while n > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
@@ -101,8 +130,10 @@ class WordEncoder:
         self.start[n - len(sizes):n] = self.used + np.cumsum([0, *sizes])[:-1]
         self.used = used
 
-    def _chunk(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        words = list(chain.from_iterable(texts))
+    def _chunk(self, texts: list[str | None]) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()  # each different word is looked up once
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
         get = self.known.get
         at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0)
@@ -110,20 +141,22 @@ class WordEncoder:
             unknown = [words[i] for i in new.tolist()]
             self._learn(unknown)
             at[new] = np.fromiter(map(get, unknown), np.int64, len(unknown))
+        at = at[coded.indices.to_numpy(zero_copy_only=False)]
         lengths = self.length[at]
         upto = np.concatenate(([0], np.cumsum(lengths)))
         take = np.repeat(self.start[at] - upto[:-1], lengths) + np.arange(upto[-1])
         ids = self.ids[take]
-        bounds = upto[np.cumsum([0, *map(len, texts)])]
+        offsets = lists.offsets.to_numpy()
+        bounds = upto[offsets - offsets[0]]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        held: list[list[bytes]] = []
+        held: list[str | None] = []
         n = 0
         for text in texts:
-            held.append(text.encode().split() if text else [])
-            n += len(held[-1])
-            if n >= _CHUNK_WORDS:
+            held.append(text)
+            n += len(text) if text else 0
+            if n >= _CHUNK_CHARS:
                 yield from self._chunk(held)
                 held, n = [], 0
                 if len(self.known) > _CACHED_WORDS:
@@ -151,13 +184,18 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     n = docs.count()
     mark = F.xxhash64(F.col(id_col))
     rows = (docs.where(F.pmod(mark, F.lit(max(1, n // DICT_DOCS))) == 0)
-            .select(mark.alias("h"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, DICT_CHARS).alias("t"))
+            .select(mark.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
             .dropDuplicates(["h"]))
 
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            made = [_serialize(ids, enc.bytes_per_id, end_id) for ids in enc.encode(batch.column(1).to_pylist())]
+            made = []
+            for h, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+                raw = _serialize(ids, enc.bytes_per_id, end_id)
+                spare = max(0, len(raw) - DICT_WINDOW) // enc.bytes_per_id
+                at = h % (spare + 1) * enc.bytes_per_id
+                made.append(raw[at:at + DICT_WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["ids"])
         enc.forget()
 

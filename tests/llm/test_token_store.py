@@ -25,7 +25,7 @@ def direct():
 
 def test_words_give_the_ids_of_the_whole_text(spark, direct, monkeypatch):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ODD
-    monkeypatch.setattr(token_store, "_CHUNK_WORDS", 5000)
+    monkeypatch.setattr(token_store, "_CHUNK_CHARS", 30_000)
     monkeypatch.setattr(token_store, "_CACHED_WORDS", 3000)
     got = [ids.tolist() for ids in WordEncoder(tokenizer_path()).encode(texts)]
     assert got == [e.ids for e in direct.encode_batch(texts, add_special_tokens=False)]
@@ -73,3 +73,12 @@ def test_dictionary_is_used_and_named(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.encode_to_store(docs, tokenizer_path()).count() == 0
+
+
+def test_a_tokenizer_that_does_not_go_by_words_is_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    whole = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1}, unk_token="[UNK]"))
+    whole.pre_tokenizer = pre_tokenizers.Split(",", "removed")
+    whole.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        token_store.WordEncoder(str(tmp_path / "t.json"))
