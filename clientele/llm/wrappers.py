@@ -3,19 +3,22 @@
 A wrapper says what the token streams of a host's pages have in common. Pages are aligned with it
 one after the other: an element that only one side has becomes optional, one that comes back, or
 stands among some that do, becomes repeated, and text that differs becomes a slot. Each content list
-thus holds an element once, in the order seen, so a wrapper stays as small as the host's template
-and merging two wrappers is the same step as adding a page. Wrappers are folded where the pages
-are, then merged per host in rounds of bounded groups, so a host with most pages is never in one
-place.
+thus holds an element once, in the order seen, and merging two wrappers is the same step as adding a
+page. Where more than ``KINDS`` elements of one tag stand in a list, those on fewer than a quarter of
+the pages differ by page, not by template (an id made of the title), and become one element ``tag.*``;
+with paths of bounded depth a wrapper stays as small as the host's template. Wrappers are folded where the pages are, then
+merged per host in rounds of groups of ``_GROUP``, so a host with most pages is never in one place.
 
 The article is the element of the wrapper whose slots hold the text: an ``article`` or ``main``
-where there is one, else the innermost container of most of it.
+where there is one, else the innermost container of most of it. What every page of a host repeats is
+not part of its articles: constant texts in a container without such a name, constant boxes within one.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -30,15 +33,58 @@ _GROUP = 64
 BROADCAST_BYTES = 16 << 20
 _MOST = 0.7  # share of the text that the article's container must hold
 _CONSTANT_PAGES = 3
+KINDS = 16  # different elements of one tag that a list tells apart
 SLOT = -1
+_BOXES = frozenset("div section aside ul ol dl table fieldset figure form center details".split())
 
 
 class Node(dict):
-    """An element: ``n`` pages, ``chars`` of text below, ``rep``, ``opt``, ``text`` (a checksum or SLOT), ``kids``."""
+    """An element: ``n`` pages, ``chars`` of text below, ``rep``, ``opt``, ``text`` and ``whole`` (a checksum or
+    SLOT, of its own text and of all below), ``kids``."""
 
 
 def _node() -> Node:
-    return Node(n=1, chars=0, rep=False, opt=False, text=None, chrome=False, kids={})
+    return Node(n=1, chars=0, rep=False, opt=False, text=None, whole=0, chrome=False, kids={})
+
+
+def _tag(key: str) -> str:
+    return key.split(".", 1)[0]
+
+
+def _bound(node: Node) -> None:
+    """The rare ones of too many different elements of one tag become one."""
+    kids = node["kids"]
+    if len(kids) <= KINDS:
+        return
+    for tag, n in Counter(map(_tag, kids)).items():
+        if n <= KINDS:
+            continue
+        rare = [k for k, kid in kids.items() if _tag(k) == tag and (
+            k == f"{tag}.*" or node["n"] == 1 or 4 * kid["n"] < node["n"])]
+        if len(rare) < 2:
+            continue
+        one = kids.pop(rare[0])
+        for k in rare[1:]:
+            one = align(one, kids.pop(k))
+        one["rep"] = one["rep"] or one["n"] > node["n"]  # then some page has two
+        one["opt"] = one["n"] < node["n"]
+        kids[f"{tag}.*"] = one
+
+
+def _step(key: str, kids: dict[str, Node]) -> str:
+    """An element in a path; of ``tag.*`` also the elements of the tag that it does not stand for."""
+    return key if not key.endswith(".*") else " ".join([key, *(k for k in kids if k != key and _tag(k) == key[:-2])])
+
+
+def _matches(step: str, key: str) -> bool:
+    name, *others = step.split(" ")
+    return name == key or (name.endswith(".*") and name[:-2] == _tag(key) and key not in others)
+
+
+def fits(path: tuple[str, ...], where: tuple[str, ...]) -> bool:
+    """Whether an element at ``path`` is the wrapper's element ``where`` or lies in it."""
+    head = path[:len(where)]
+    return head == where or (len(head) == len(where) and all(map(_matches, where, head)))
 
 
 def wrapper_of(page: list[Block]) -> Node:
@@ -46,7 +92,7 @@ def wrapper_of(page: list[Block]) -> Node:
     root = _node()
     last: tuple[str, ...] = ()
     for b in page:
-        node = root
+        node, raw = root, b.text.encode()
         node["chars"] += len(b.text)
         same = 0
         while same < min(len(last), len(b.path)) and last[same] == b.path[same]:
@@ -59,13 +105,21 @@ def wrapper_of(page: list[Block]) -> Node:
                 kids[key]["rep"] = True
             node = kids[key]
             node["chars"] += len(b.text)
+            node["whole"] = zlib.crc32(raw, node["whole"])
         node["chrome"] = node["chrome"] or b.chrome
-        mark = zlib.crc32(b.text.encode())
+        mark = zlib.crc32(raw)
         node["text"] = mark if node["text"] is None else SLOT
         last = b.path
+    _bound_all(root)
     return root
 
 
+def _bound_all(node: Node) -> None:
+    for kid in node["kids"].values():
+        _bound_all(kid)
+    _bound(node)
+
+
 def align(a: Node, b: Node) -> Node:
     """``a`` with what ``b`` has; the order of either does not matter for flags and counts."""
     a["rep"] = a["rep"] or b["rep"]
@@ -73,6 +127,8 @@ def align(a: Node, b: Node) -> Node:
     a["chrome"] = a["chrome"] or b["chrome"]
     if a["text"] != b["text"]:
         a["text"] = SLOT
+    if a["whole"] != b["whole"]:
+        a["whole"] = SLOT
     a["n"] += b["n"]
     a["chars"] += b["chars"]
     kids: dict[str, Node] = {}
@@ -93,6 +149,7 @@ def align(a: Node, b: Node) -> Node:
         if key not in kids and key not in a["kids"]:
             kids[key] = b["kids"][key] | {"opt": True}
     a["kids"] = {k: Node(v) for k, v in kids.items()}
+    _bound(a)
     return a
 
 
@@ -129,9 +186,9 @@ def article_path(root: Node) -> tuple[str, ...]:
             if _furniture(key, kid):
                 continue
             if key.split(".")[0] in ("article", "main"):
-                found.append((_mass(kid), -len(found), (*path, key)))
+                found.append((_mass(kid), -len(found), (*path, _step(key, node["kids"]))))
             else:
-                look(kid, (*path, key))
+                look(kid, (*path, _step(key, node["kids"])))
 
     look(root, ())
     best = max(found, default=None)
@@ -145,43 +202,58 @@ def article_path(root: Node) -> tuple[str, ...]:
                                                                            "tbody", "tr", "td", "center")
                 or _mass(step[1]) < _MOST * max(1, total)):
             return path
-        node, path = step[1], (*path, step[0])
+        node, path = step[1], (*path, _step(step[0], node["kids"]))
+
 
+def constants(root: Node, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Paths of what stands alike in every page of a host whose articles differ otherwise.
 
-def constants(root: Node, path: tuple[str, ...]) -> list[tuple[str, int]]:
-    """(path, checksum) of texts that stand in every page of a host whose articles differ otherwise."""
+    In an ``article`` or ``main`` only whole boxes count, since a heading or a sentence may well be in
+    every article; in another container every text does.
+    """
     node = root
     for key in path:
-        node = node["kids"][key]
-    out: list[tuple[str, int]] = []
+        node = node["kids"][key.split(" ")[0]]
+    named = bool(path) and _tag(path[-1]) in ("article", "main")
+    out: list[tuple[str, ...]] = []
     fixed = 0
 
-    def look(node: Node, at: tuple[str, ...]) -> None:
+    def look(node: Node, at: tuple[str, ...], own: bool) -> None:
         nonlocal fixed
-        if node["text"] not in (None, SLOT) and not node["opt"] and not node["rep"] and node["n"] == root["n"]:
-            out.append((">".join(at), node["text"]))
+        always = not node["opt"] and not node["rep"] and node["n"] == root["n"]
+        if always and node["whole"] != SLOT and node["chars"] and len(at) > len(path) and (
+                _tag(at[-1]) in _BOXES or not (named or node["kids"])):
+            out.append(at)
+            fixed += node["chars"]
+            return
+        if always and not named and not own and node["text"] not in (None, SLOT):
+            out.append((*at, "#text"))
             fixed += node["chars"] - sum(k["chars"] for k in node["kids"].values())
         for key, kid in node["kids"].items():
-            look(kid, (*at, key))
+            look(kid, (*at, _step(key, node["kids"])), False)
 
-    look(node, path)
+    look(node, path, named)
     return out if root["n"] >= _CONSTANT_PAGES and 2 * fixed < node["chars"] else []
 
 
-def main_text(page: list[Block], path: tuple[str, ...], fixed: frozenset[tuple[str, int]] = frozenset()) -> str:
+def _is_fixed(path: tuple[str, ...], fixed: list[tuple[str, ...]]) -> bool:
+    return any(path == f[:-1] if f[-1] == "#text" else fits(path, f) for f in fixed)
+
+
+def main_text(page: list[Block], path: tuple[str, ...], fixed: list[tuple[str, ...]] | None = None) -> str:
     """The blocks of the article; a page that does not fit its host's wrapper is taken by itself."""
     def inside(where: tuple[str, ...]) -> list[Block]:
-        return [b for b in page if not b.chrome and b.path[:len(where)] == where]
+        return [b for b in page if not b.chrome and fits(b.path, where)]
 
     kept = inside(path)
-    named = bool(path) and path[-1].split(".")[0] in ("article", "main")
+    named = bool(path) and _tag(path[-1]) in ("article", "main")
     if not kept or not named:
         own = wrapper_of(page)
         where = article_path(own)
-        if not kept or (where and where[-1].split(".")[0] in ("article", "main")):
-            kept, named = inside(where), True
-    if not named and fixed:
-        kept = [b for b in kept if (">".join(b.path), zlib.crc32(b.text.encode())) not in fixed]
+        if not kept or (where and _tag(where[-1]) in ("article", "main")):
+            kept = inside(where)
+    if fixed:
+        kept = [b for b in kept if not _is_fixed(b.path, fixed)]
     return "\n\n".join(b.text for b in kept)
 
 
@@ -193,7 +265,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         held: dict[str, Node] = {}
         for pdf in frames:
             for host, page in zip(pdf["host"], pdf["html"]):
-                one = wrapper_of(list(blocks(page)))
+                one = wrapper_of(blocks(page))
                 held[host] = align(held[host], one) if host in held else one
             if len(held) > _HOSTS_HELD:
                 yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
@@ -206,12 +278,16 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         for text in pdf["wrapper"].sort_values():
             one = _load(json.loads(text))
             merged = one if merged is None else align(merged, one)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(merged)]})
+        return pd.DataFrame({"host": [key[0]], "part": [key[1]], "wrapper": [json.dumps(merged)]})
 
-    partial = rows.mapInPandas(fold, "host string, wrapper string")
-    partial = partial.withColumn("part", F.floor(F.spark_partition_id() / F.lit(_GROUP)))
-    joined = partial.groupBy("host", "part").applyInPandas(merge, "host string, wrapper string")
-    joined = joined.groupBy("host").applyInPandas(merge, "host string, wrapper string")
+    joined = rows.mapInPandas(fold, "host string, wrapper string").withColumn("part", F.spark_partition_id())
+    places = max(1, rows.rdd.getNumPartitions())
+    while True:
+        places = -(-places // _GROUP)
+        joined = joined.withColumn("part", F.floor(F.col("part") / F.lit(_GROUP)).cast("int"))
+        joined = joined.groupBy("host", "part").applyInPandas(merge, "host string, part int, wrapper string")
+        if places == 1:
+            break
 
     def judge(frames):
         for pdf in frames:
@@ -219,7 +295,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
             for host, text in zip(pdf["host"], pdf["wrapper"]):
                 root = _load(json.loads(text))
                 path = article_path(root)
-                out.append((host, list(path), json.dumps(constants(root, path)), root["n"], expression(root)))
+                out.append((host, list(path), json.dumps(constants(root, path), separators=(",", ":")), root["n"], expression(root)))
             if out:
                 yield pd.DataFrame(out, columns=["host", "path", "fixed", "n_pages", "expression"])
 
@@ -250,11 +326,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> t
     schema = T.StructType([joined.schema[row], T.StructField(name, T.StringType())])
 
     def run(batches):
+        known: dict[str | None, list[tuple[str, ...]]] = {}
         for batch in batches:
             texts = []
             for page, path, fixed in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                known = frozenset((p, c) for p, c in json.loads(fixed)) if fixed and len(fixed) > 2 else frozenset()
-                texts.append(main_text(list(blocks(page)), tuple(path or ()), known))
+                if fixed not in known:
+                    known.clear()
+                    known[fixed] = [tuple(f) for f in json.loads(fixed or "[]")]
+                texts.append(main_text(blocks(page), tuple(path or ()), known[fixed]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [row, name])
 
     out = joined.mapInArrow(run, schema)

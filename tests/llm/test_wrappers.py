@@ -1,6 +1,7 @@
 """Blocks, wrappers and the main text."""
 
 import html
+import json
 import random
 import re
 
@@ -8,7 +9,7 @@ import pytest
 
 from clientele.llm.catalog import runs
 from clientele.llm.markup import blocks
-from clientele.llm.wrappers import align, article_path, constants, expression, extract, main_text, wrapper_of
+from clientele.llm.wrappers import align, article_path, constants, expression, extract, infer, main_text, wrapper_of
 
 HEAD = "<!doctype html><html><head><title>T</title><style>p{}</style><script>var x='<p>no</p>';</script></head><body>"
 
@@ -31,6 +32,17 @@ def text_of(page):
     ("<article>" + "<p>x</p>" * 3000 + "</article>", "\n\n".join(["x"] * 3000)),
     ("<article><script>if (a < b) { '</p>' }</script>real</article>", "real"),
     ("<article><p class=\"unclosed>broken</p><p>next</p></article>", "broken\n\nnext"),
+    (HEAD + "<div class='layout sidebar-right'><article><p>kept</p></article></div>", "kept"),
+    (HEAD + "<div class='post comments-open'><main><p>kept</p></main></div>", "kept"),
+    (HEAD + "<div id='menu-page'><article><p>kept</p></article></div>", "kept"),
+    (HEAD + "<form action=/><div>top</div><main><p>The text of the page.</p></main></form>", "The text of the page."),
+    (HEAD + "<div class=sidebar><article>teaser</article></div><main><p>The text of the page.</p></main>", "The text of the page."),
+    (HEAD + "<article><p>Body</p><section class='related-work'><h2>Related work</h2><p>" + "prose " * 30 + "</p></section></article>",
+     "Body\n\nRelated work\n\n" + ("prose " * 30).strip()),
+    (HEAD + "<article><p>Body of it</p><div class='related-posts'><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></div></article>", "Body of it"),
+    (HEAD + "<article><p>Body of it</p><div class='comments'><article class='comment'><p>" + "loud " * 90 + "</p></article></div></article>", "Body of it"),
+    ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
+    ("<div>" * 200 + "<h1>a</h1><p>b<p>c" + "</div>" * 200, "a\n\nb\n\nc"),
 ])
 def test_main_text(page, want):
     assert text_of(page) == want
@@ -62,6 +74,35 @@ def test_wrappers_find_the_article(spark, article):
     assert got == dict(enumerate(texts)) | {99: "", 98: ""}
 
 
+def test_a_box_that_every_article_repeats_is_left_out(spark):
+    pages = [f"{HEAD}<article><h2>Summary</h2><p>{f'alpha{i} beta ' * 20}</p><div><p>Buy now</p><p>Cheap</p></div></article>" for i in range(6)]
+    rows = [(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)]
+    out, name = extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r[name] for r in out.collect()} == {
+        i: "Summary\n\n" + (f"alpha{i} beta " * 20).strip() for i in range(6)}
+
+
+def test_a_wrapper_is_bounded_by_the_template():
+    page = lambda i: (f"<div id=post-x{'abcdefgh'[i % 8] * (i + 1)} class='post tag{chr(97 + i % 26) * (i // 26 + 1)}'>"
+                      f"<h2 class='t{chr(97 + i % 26) * 2}{chr(97 + i // 26)}'>Head</h2><p>{f'word{i} ' * 30}</p></div>")
+    one = wrapper_of(blocks(page(0)))
+    for i in range(1, 200):
+        one = align(one, wrapper_of(blocks(page(i))))
+    assert len(json.dumps(one)) < 8000 and one["n"] == 200
+    for i in range(200):
+        assert main_text(blocks(page(i)), article_path(one), constants(one, article_path(one))).endswith(f"word{i}")
+
+
+def test_hosts_merge_in_rounds(spark):
+    pages, texts = host_pages(150, False)
+    rows = [(i, "http://h.org/x", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(140)
+    found = infer(df).collect()
+    assert len(found) == 1 and found[0]["n_pages"] == 150
+    out, name = extract(df)
+    assert {r["page_id"]: r[name] for r in out.collect()} == dict(enumerate(texts))
+
+
 def test_alignment_gives_optional_repeated_and_slots():
     a = "<div><h1>A</h1><p>x</p></div>"
     b = "<div><h1>B</h1><p>y</p><p>z</p><ul><li>1<li>2</ul></div>"
