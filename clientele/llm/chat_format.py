@@ -12,7 +12,7 @@ A conversation is one training example and one row; other conversations never me
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Fixed values of the template: tags of the common roles; other roles are written out.
 TAGS = {"user": "INST", "system": "SYS", "assistant": "OUT"}
@@ -21,6 +21,7 @@ BEGIN, END = "<s>", "</s>"
 LOSS_ROLE = "assistant"
 PATCH = 28  # pixels of an image side that make one token
 AUDIO_TOKENS = 25  # tokens for each second
+CHUNK = 2048  # code points a span is read from at a time
 PAGE_TOKENS = 256  # tokens for each page of a document
 PARTS = ("array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>")
 
@@ -84,36 +85,31 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     ``turn``, nulls first, equal ones by role and parts; a null role is an empty one, a null list of
     parts an empty text; rows with a null conversation id form one conversation.
     """
+    order = Window.partitionBy("c").orderBy("turn", "role", "parts")
     rows = turns.select(
-        F.col(conv).alias("c"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
-                                         F.coalesce(F.col(parts), F.array().cast(PARTS)).alias("parts")).alias("t"))
-    chats = rows.groupBy("c").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    body = lambda t, i: F.array_join(F.transform(t["parts"], lambda p, j: F.when(
-        _is_text(p), escape(p["text"])).otherwise(F.concat(
-            F.lit("<"), escape(p["type"]), F.lit(":"), i.cast("string"), F.lit("."), j.cast("string"), F.lit(">")))), "")
-    written = F.transform("turns", lambda t, i: F.struct(
-        _tag(t["role"]).alias("tag"), body(t, i).alias("body"), (t["role"] == LOSS_ROLE).alias("learn")))
-    attached = F.flatten(F.transform("turns", lambda t, i: F.filter(
-        F.transform(t["parts"], lambda p, j: F.struct(
-            t["turn"].alias("turn"), i.alias("place"), j.alias("part"), p["type"].alias("type"),
-            p["ref"].alias("ref"), expanded_tokens(p).alias("n_tokens"))),
-        lambda a: F.coalesce(a["type"], F.lit("text")) != "text")))
-    chats = chats.select("c", written.alias("written"), attached.alias("attachments"))
+        F.col(conv).alias("c"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.coalesce(F.col(parts), F.array().cast(PARTS)).alias("parts")).withColumn("i", F.row_number().over(order) - 1)
+    body = F.array_join(F.transform("parts", lambda p, j: F.when(_is_text(p), escape(p["text"])).otherwise(F.concat(
+        F.lit("<"), escape(p["type"]), F.lit(":"), F.col("i").cast("string"), F.lit("."), j.cast("string"),
+        F.lit(">")))), "")
+    attached = F.filter(F.transform("parts", lambda p, j: F.struct(
+        F.col("turn").alias("turn"), F.col("i").alias("place"), j.alias("part"), p["type"].alias("type"),
+        p["ref"].alias("ref"), expanded_tokens(p).alias("n_tokens"))),
+        lambda a: F.coalesce(a["type"], F.lit("text")) != "text")
+    rows = rows.select("c", "turn", "role", "parts", "i", _tag(F.col("role")).alias("tag"), body.alias("body"),
+                       attached.alias("attached"))
+    # Where a turn starts is a running sum over the turns before it, in the order they already have.
+    size = (2 * F.char_length("tag") + 5 + F.char_length("body")).cast("long")
+    start = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size + F.char_length("tag") + 2
+    rows = rows.withColumn("start", start + len(BEGIN))
+    chats = rows.groupBy("c").agg(F.sort_array(F.collect_list(F.struct(
+        "i", "tag", "body", "start", (F.col("role") == LOSS_ROLE).alias("learn"), "attached"))).alias("written"))
     whole = F.concat(F.lit(BEGIN), F.array_join(F.transform("written", lambda w: F.concat(
         F.lit("["), w["tag"], F.lit("]"), w["body"], F.lit("[/"), w["tag"], F.lit("]"))), ""), F.lit(END))
-    # Lengths first, then one walk that carries the place reached; O(turns) steps, one struct each.
-    sizes = F.transform("written", lambda w: F.struct(
-        (F.char_length(w["tag"]) + 2).alias("open"), F.char_length(w["body"]).alias("n"),
-        (F.char_length(w["tag"]) + 3).alias("close"), w["learn"].alias("learn")))
-    chats = chats.select("c", whole.alias("formatted"), sizes.alias("sizes"), "attachments")
-    empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    walk = F.aggregate("sizes", F.struct(F.lit(len(BEGIN)).cast("long").alias("at"), empty.alias("spans")),
-                       lambda s, z: F.struct(
-        (s["at"] + z["open"] + z["n"] + z["close"]).cast("long").alias("at"),
-        F.when(z["learn"], F.concat(s["spans"], F.array(F.struct(
-            (s["at"] + z["open"]).cast("long").alias("start"), z["n"].cast("long").alias("length")))))
-        .otherwise(s["spans"]).alias("spans")), lambda s: s["spans"])
-    return chats.select(F.col("c").alias(conv), "formatted", walk.alias("loss"), "attachments")
+    loss = F.transform(F.filter("written", lambda w: w["learn"]), lambda w: F.struct(
+        w["start"].cast("long").alias("start"), F.char_length(w["body"]).cast("long").alias("length")))
+    return chats.select(F.col("c").alias(conv), whole.alias("formatted"), loss.alias("loss"),
+                        F.flatten(F.transform("written", lambda w: w["attached"])).alias("attachments"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -126,6 +122,19 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, loss: Column) -> Column:
-    """The text under the loss mask, unescaped, without anything between its spans."""
-    pieces = F.transform(loss, lambda s: F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))
-    return unescape(F.array_join(pieces, ""))
+    """The text under the loss mask, unescaped, without anything between its spans.
+
+    Counting code points from the front for every span would be quadratic, so the text is cut into
+    chunks once and a span is read from the chunks that it touches.
+    """
+    def piece(chunks: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / F.lit(CHUNK)).cast("int")
+        last = F.floor((s["start"] + s["length"]) / F.lit(CHUNK)).cast("int")
+        near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+        return F.substr(near, (s["start"] - first * CHUNK + 1).cast("int"), s["length"].cast("int"))
+
+    # A list of one, so that the chunks are a value of its element and not made anew for every span.
+    chunks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    both = F.array(F.struct(chunks.alias("chunks"), loss.alias("loss")))
+    pieces = F.transform(both, lambda x: F.array_join(F.transform(x["loss"], lambda s: piece(x["chunks"], s)), ""))
+    return unescape(F.element_at(pieces, 1))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -66,5 +67,19 @@ def test_query_and_plan(spark):
     assert not re.search("BatchEval|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_a_conversation_of_very_many_turns(spark):
+    turns = spark.range(100_000).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("[é😀 "), F.col("id").cast("string"), F.lit(" " + "x" * 40)).alias("text"))
+    out = format_chats(turns.withColumn("parts", text_parts(F.col("text"))))
+    began = time.monotonic()
+    row = out.select(F.size(read_turns(F.col("formatted"))).alias("n"), F.sha2(read_loss(
+        F.col("formatted"), F.col("loss")), 256).alias("learnt")).first()
+    assert row["n"] == 100_000 and time.monotonic() - began < 60
+    said = "".join(f"[é😀 {i} " + "x" * 40 for i in range(1, 100_000, 2))
+    assert row["learnt"] == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_empty_table(spark):
     assert chats(spark, []) == {}
