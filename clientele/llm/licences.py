@@ -10,6 +10,7 @@ every template for a document before any window is.
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,8 +50,34 @@ MPL was not distributed with this file, You can obtain one at"""
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy,
 modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
 binary, for any purpose, commercial or non-commercial, and by any means."""
-
-#: Public licence texts and the notices that name a licence.
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the
+authors be held liable for any damages arising from the use of this software. Permission is granted to anyone
+to use this software for any purpose, including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you
+must not claim that you wrote the original software."""
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the
+software and accompanying documentation covered by this license (the "Software") to use, reproduce, display,
+distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+third-parties to whom the Software is furnished to do so."""
+_APACHE_GRANT = """Grant of Copyright License. Subject to the terms and conditions of this License, each
+Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense,
+and distribute the Work and such Derivative Works in Source or Object form."""
+_GPL2_PREAMBLE = """The licenses for most software are designed to take away your freedom to share and change it.
+By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free
+software"""
+_GPL3_PREAMBLE = """The licenses for most software and other practical works are designed to take away your freedom
+to share and change the works. By contrast, the GNU General Public License is intended to guarantee your
+freedom to share and change all versions of a program"""
+_LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation; either version {} of the License,
+or (at your option) any later version."""
+_MPL_TERMS = """"Contributor" means each individual or legal entity that creates, contributes to the creation of,
+or owns Covered Software."""
+_CC_TERMS = """By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and
+conditions of this Creative Commons {} 4.0 International Public License"""
+
+#: Public licence texts, passages that stand for the longer ones, and notices that name a licence.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License"),
@@ -62,6 +89,21 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
      "used to endorse or promote products derived from this software without specific prior written permission."),
     ("Apache-2.0", _APACHE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", _APACHE_GRANT),
+    ("BSL-1.0", _BSL),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("zlib", _ZLIB),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+     "License 2.0"),
+    ("Artistic-2.0", "You may redistribute and modify it under the terms of the Artistic License 2.0"),
+    ("GPL-2.0", _GPL2_PREAMBLE),
+    ("GPL-3.0", _GPL3_PREAMBLE),
+    ("LGPL-2.1", _LGPL.format("2.1")),
+    ("LGPL-3.0", _LGPL.format("3")),
+    ("MPL-2.0", _MPL_TERMS),
+    ("CC-BY-4.0", _CC_TERMS.format("Attribution")),
+    ("CC-BY-SA-4.0", _CC_TERMS.format("Attribution-ShareAlike")),
+    ("CC-BY-NC-4.0", _CC_TERMS.format("Attribution-NonCommercial")),
     ("GPL-2.0", _GPL.format(2)),
     ("GPL-3.0", _GPL.format(3)),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
@@ -110,23 +152,33 @@ class Scanner:
         self.most = [math.floor(len(s) / share + 1e-9) for s in self.sets]
 
     def _windows(self, grams: list[tuple[bytes, bytes]], t: int) -> Iterator[tuple[float, int, int]]:
-        """(dice, first bigram, end) of the best passage from each place where the template shows."""
+        """(dice, first bigram, end) of the best passage from each place where the template shows.
+
+        The coefficient only changes where a bigram comes for the first time after the start. Going
+        backwards, ``first`` holds the bigrams by where they next come, the nearest last, so a start
+        looks at no more than ``most`` of them however often they repeat.
+        """
         mine, need, most = self.sets[t], self.need[t], self.most[t]
-        places = [i for i, g in enumerate(grams) if g in mine]
-        for k, start in enumerate(places):
-            seen, shared, best, at = set(), set(), None, start
-            for end in places[k:]:
-                seen.update(grams[at:end + 1])
-                at = end + 1
-                if len(seen) > most:  # only grows from here on
+        first: OrderedDict[tuple[bytes, bytes], int] = OrderedDict()
+        found = []
+        for start in range(len(grams) - 1, -1, -1):
+            first[grams[start]] = start
+            first.move_to_end(grams[start])
+            if grams[start] not in mine:
+                continue
+            shared, best = 0, None
+            for seen, (gram, at) in enumerate(reversed(first.items()), 1):
+                if seen > most:
                     break
-                shared.add(grams[end])
-                if len(shared) >= need:
-                    dice = 2 * len(shared) / (len(seen) + len(mine))
-                    if dice >= self.threshold and (best is None or dice > best[0]):
-                        best = dice, start, end + 1
+                if gram in mine:
+                    shared += 1
+                    if shared >= need:
+                        dice = 2 * shared / (seen + len(mine))
+                        if dice >= self.threshold and (best is None or dice > best[0]):
+                            best = dice, start, at + 1
             if best:
-                yield best
+                found.append(best)
+        yield from reversed(found)
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """Passages (licence, dice, first word, words) without overlap, the most similar first taken."""
@@ -143,7 +195,7 @@ class Scanner:
         taken: list[tuple[int, int, str, float]] = []
         free = bytearray(len(words))
         for minus, _, a, name, b in sorted(found):
-            if not any(free[a:b + 1]):
+            if free.find(1, a, b + 1) < 0:
                 free[a:b + 1] = b"\1" * (b + 1 - a)
                 taken.append((a, b, name, -minus))
         return [(name, dice, a, b + 1 - a) for a, b, name, dice in sorted(taken)]

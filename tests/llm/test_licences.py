@@ -1,9 +1,11 @@
 """Licence passages against a brute-force search."""
 
 import random
+import time
 
 import pytest
 
+from clientele.llm.catalog import runs
 from clientele.llm.licences import TEMPLATES, Scanner, add_licences, bigrams
 from clientele.llm.suffix_match import fold_words
 
@@ -31,6 +33,48 @@ def test_best_passage_is_that_of_brute_force():
             assert best == pytest.approx(want if want >= 0.8 else 0.0), (text, t)
 
 
+def slow_windows(scanner, grams):
+    """The best passage from each place, every end looked at."""
+    mine, out = scanner.sets[0], []
+    for i, g in enumerate(grams):
+        best = None
+        for j in range(i, len(grams)):
+            seen = set(grams[i:j + 1])
+            dice = 2 * len(seen & mine) / (len(seen) + len(mine))
+            if g in mine and dice >= scanner.threshold and (best is None or dice > best[0]):
+                best = dice, i, j + 1
+        if best:
+            out.append(best)
+    return out
+
+
+def test_passages_of_every_start_are_those_of_brute_force():
+    rng = random.Random(2)
+    scanner = Scanner((("a", "one two three four five six one three"),))
+    for _ in range(200):
+        words = fold_words(" ".join(rng.choice("one two three four five six x".split()) for _ in range(rng.randint(0, 40))))
+        assert list(scanner._windows(bigrams(words), 0)) == slow_windows(scanner, bigrams(words))
+
+
+def test_very_long_repeats():
+    began = time.monotonic()
+    found = Scanner().scan("all rights reserved " * 50_000)
+    assert {n for n, *_ in found} == {"all-rights-reserved"} and time.monotonic() - began < 20
+
+
+def test_query_gives_the_passages_of_its_operator(spark):
+    sf = "/root/testdata/sf0.001"
+    got = runs()["op9_licence_scan"](spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    scanner = Scanner()
+    want = []
+    for r in docs:
+        found = scanner.scan(r["text"])
+        want.append((r["doc_id"], len(found), ",".join(sorted({m[0] for m in found})),
+                     max((m[1] for m in found), default=None), sum(m[3] for m in found)))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and any(w[1] for w in want)
+
+
 def test_templates_find_themselves():
     scanner = Scanner()
     for name, text in TEMPLATES:
