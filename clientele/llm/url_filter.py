@@ -3,7 +3,8 @@
 Labelled URLs are those a rule decides and those whose host has a word of a short list; URLs with
 neither sign count as allowed with less weight. The trees are fitted on a bounded sample of them.
 Everything else reads all rows: the suffix statistics (how often hosts under a suffix are labelled,
-and how often as blocked) are aggregates of the whole table, joined back by suffix.
+and how often as blocked) are aggregates of the whole table, joined back by suffix, a row taking
+those of the folds it is not in.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from clientele.llm.common import ascii_lower, fresh, stage
 FIT_ROWS = 20_000  # the trees are fitted on about so many labelled rows, fewer than twice as many
 UNSIGNED_WEIGHT = 0.25
 PRIOR = 20.0  # labelled rows a suffix is taken to have had, half of them blocked
+FOLDS = 8  # parts of the urls whose labels are counted apart
 TREES, DEPTH = 12, 3
 SEED = 5
 #: Host words that mark a URL as blocked for the training labels.
@@ -99,42 +101,59 @@ def suffix_of(host: Column, n: int) -> Column:
     return F.substring_index(host, ".", -n)
 
 
-def _statistics(rows: DataFrame, key: str, block: str, seen: str) -> DataFrame:
-    """Per suffix, over all rows: the smoothed share of blocked ones among the labelled, and their log count."""
-    got = rows.where("label is not null").groupBy(key).agg(
-        F.count("*").alias("n"), F.sum("label").alias("bad"))
-    return got.select(F.col(key).alias(f"{key}_of"), ((F.col("bad") + PRIOR / 2) / (F.col("n") + PRIOR)).alias(block),
-                      F.log1p("n").alias(seen))
-
-
-def featured(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(url, host, path, rule, label, FEATURES) for every different url.
+def _signs(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``rows`` (with ``url``) and host, path, rule, label, suffix and domain.
 
     ``label`` is 1 for blocked, 0 for allowed and null without a sign.
     """
-    one = pages.select(F.col(url_col).alias("url")).distinct()
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = one.withColumns({"host": host, "path": path})
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     bad = F.size(F.array_intersect(F.split("host", "[.-]"), F.array(*[F.lit(w) for w in BAD_WORDS]))) > 0
     label = (F.when(F.col("rule.verdict") == "block", 1.0).when(F.col("rule.verdict") == "allow", 0.0)
              .when(bad, 1.0))
-    rows = rows.withColumns({"label": label, "suffix": suffix_of(F.col("host"), 1),
+    return rows.withColumns({"label": label, "suffix": suffix_of(F.col("host"), 1),
                              "domain": suffix_of(F.col("host"), 2)})
-    rows = stage(rows.withColumns(lexical(F.col("url"), F.col("host"), F.col("path"))), "urls")
-    for key in ("suffix", "domain"):
-        stats = _statistics(rows, key, f"{key}_block", f"{key}_seen")
-        rows = rows.join(stats, rows[key] == stats[f"{key}_of"], "left").drop(f"{key}_of")
-    rows = rows.fillna({"suffix_block": 0.5, "suffix_seen": 0.0, "domain_block": 0.5, "domain_seen": 0.0})
-    return rows.select("url", "host", "path", "rule", "label", *[F.col(f).cast("double").alias(f) for f in FEATURES])
-
-
-def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SEED):
-    """Boosted trees on about ``fit_rows`` rows, chosen by the hash of their url; None with one class only."""
-    marked = rows.withColumns({"weight": F.when(F.col("label").isNull(), UNSIGNED_WEIGHT).otherwise(1.0),
-                               "label": F.coalesce("label", F.lit(0.0))})
-    chosen = F.pmod(F.xxhash64(F.lit(seed), F.col("url")), F.lit(max(1, rows.count() // fit_rows))) == 0
-    sample = stage(marked.where(chosen).select("label", "weight", *FEATURES), "fit")
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), url), F.lit(FOLDS)).cast("int")
+
+
+def suffix_statistics(urls: DataFrame) -> dict[str, DataFrame]:
+    """Of the labelled ones among all different urls, per suffix and per domain: how many, how many blocked, by fold."""
+    known = urls.where("label is not null").withColumn("fold", _fold(F.col("url")))
+    by_fold = lambda what: F.array(*[F.sum(F.when(F.col("fold") == i, what).otherwise(0.0)) for i in range(FOLDS)])
+    return {key: stage(known.groupBy(key).agg(by_fold(F.lit(1.0)).alias("n"), by_fold(F.col("label")).alias("bad")).select(
+        F.col(key).alias(f"{key}_of"), F.col("n").alias(f"{key}_n"), F.col("bad").alias(f"{key}_bad")), f"{key}-statistics")
+        for key in ("suffix", "domain")}
+
+
+def featured(rows: DataFrame, statistics: dict[str, DataFrame]) -> DataFrame:
+    """``rows`` as ``_signs`` gives them with the columns FEATURES.
+
+    A url takes the counts of its suffixes from the folds it is not in, so that no row sees its own
+    label. (Taking out only its own would tell labelled rows by a count that is one less.)
+    """
+    def others(counts: Column) -> Column:
+        every = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+        return F.coalesce(every - F.element_at(counts, _fold(F.col("url")) + 1), F.lit(0.0))
+
+    for key, stats in statistics.items():
+        rows = rows.join(stats, rows[key] == stats[f"{key}_of"], "left")
+        n, bad = others(F.col(f"{key}_n")), others(F.col(f"{key}_bad"))
+        rows = rows.withColumns({f"{key}_block": (bad + PRIOR / 2) / (n + PRIOR), f"{key}_seen": F.log1p(n)}).drop(
+            f"{key}_of", f"{key}_n", f"{key}_bad")
+    rows = rows.withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+    return rows.withColumns({f: F.col(f).cast("double") for f in FEATURES})
+
+
+def fit(urls: DataFrame, statistics: dict[str, DataFrame], fit_rows: int = FIT_ROWS, seed: int = SEED):
+    """Boosted trees on about ``fit_rows`` different urls, chosen by their hash; None with one class only."""
+    chosen = F.pmod(F.xxhash64(F.lit(seed), F.col("url")), F.lit(max(1, urls.count() // fit_rows))) == 0
+    marked = featured(urls.where(chosen), statistics).withColumns({
+        "weight": F.when(F.col("label").isNull(), UNSIGNED_WEIGHT).otherwise(1.0),
+        "label": F.coalesce("label", F.lit(0.0))})
+    sample = stage(marked.select("label", "weight", *FEATURES), "fit")
     if sample.select("label").distinct().count() < 2:
         return None
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(sample).select("label", "weight", "x")
@@ -146,23 +165,23 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SEED):
 def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, str]:
     """``pages`` with a struct (host, path, rule, verdict, by_model); also the new column's name.
 
-    Every different url is judged once. A null url or one without ``://`` has empty host and path
-    and is judged by the trees like any other; without two classes among the labels they allow.
+    A null url or one without ``://`` has empty host and path and is judged by the trees like any
+    other; without two classes among the labels they allow. Rows are judged where they are: only the
+    counts of the labelled urls' suffixes are joined to them.
     """
-    spark = pages.sparkSession
-    rows = stage(featured(pages, url_col, rules), "features")
-    model = fit(rows)
+    urls = pages.select(F.col(url_col).alias("url")).distinct()
+    urls = stage(_signs(urls, rules).select("url", "host", "path", "label", "suffix", "domain"), "urls")
+    statistics = suffix_statistics(urls)
+    model = fit(urls, statistics)
+    name, row = fresh("url_judged", pages.columns), fresh("_row", ["url", *pages.columns])
+    packed = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias(row), F.col(url_col).alias("url"))
+    rows = _signs(packed, rules)
     if model is None:
-        judged = rows.withColumn("bad", F.lit(0.0))
+        judged = rows.withColumn("prediction", F.lit(0.0))
     else:
-        scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows))
-        judged = scored.withColumn("bad", F.col("prediction"))
-    judged = judged.select("url", F.struct(
+        judged = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(
+            featured(rows, statistics)))
+    return judged.select(f"{row}.*", F.struct(
         "host", "path", F.col("rule.name").alias("rule"),
-        F.coalesce("rule.verdict", F.when(F.col("bad") == 1.0, "block").otherwise("allow")).alias("verdict"),
-        F.col("rule").isNull().alias("by_model")).alias("judged"))
-    judged = stage(judged, "judged").withColumnRenamed("url", "judged_url")
-    name, row = fresh("url_judged", pages.columns), fresh("_row", pages.columns)
-    packed = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias(row), F.col(url_col).alias("packed_url"))
-    joined = packed.join(judged, F.col("packed_url").eqNullSafe(F.col("judged_url")))
-    return joined.select(f"{row}.*", F.col("judged").alias(name)), name
+        F.coalesce("rule.verdict", F.when(F.col("prediction") == 1.0, "block").otherwise("allow")).alias("verdict"),
+        F.col("rule").isNull().alias("by_model")).alias(name)), name

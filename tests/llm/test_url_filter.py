@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from clientele.llm import url_filter
-from clientele.llm.url_filter import RULES, entropy, host_of, judge_urls, path_of
+from clientele.llm.catalog import runs
+from clientele.llm.common import stage
+from clientele.llm.url_filter import (PRIOR, RULES, _fold, _signs, entropy, featured, host_of, judge_urls, path_of,
+                                      suffix_statistics)
 
 URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/1?x=1#y", "http://example.net/EN/", "x://net/", "x://net",
         "x://a.net?q", "https://example.com/de/5", "https://example.com.evil/de/", "http://notexample.com/de/",
@@ -76,6 +79,34 @@ def test_held_out_accuracy(spark):
     assert hidden and sum(got[i] == "block" for i in hidden) / len(hidden) > 0.4  # measured: 0.47
 
 
+def test_suffix_features_come_from_other_folds(spark):
+    urls = [f"http://h{i}.{'casino' if i % 3 else 'plain'}.com/{i}" for i in range(60)] + ["http://casino.org/fr/1", None]
+    rows = stage(_signs(spark.createDataFrame([(u,) for u in urls], "url string"), RULES).withColumn(
+        "fold", _fold(F.col("url"))), "signs")
+    got = featured(rows, suffix_statistics(rows)).collect()
+    assert sorted(str(r["url"]) for r in got) == sorted(map(str, urls))
+    for r in got:
+        for key in ("suffix", "domain"):
+            mine = [x["label"] for x in got if x[key] == r[key] and x["fold"] != r["fold"] and x["label"] is not None]
+            assert r[f"{key}_block"] == pytest.approx((sum(mine) + PRIOR / 2) / (len(mine) + PRIOR))
+            assert r[f"{key}_seen"] == pytest.approx(math.log1p(len(mine)))
+
+
+def test_query_gives_rules_and_every_page(spark):
+    sf = "/root/testdata/sf0.001"
+    out = runs()["op5_url_filter"](spark, sf)
+    got = {r["page_id"]: r for r in out.collect()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any("url" in line for line in joins)
+    for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect():
+        host, path, rule, verdict = slow(r["url"])
+        mine = got.pop(r["page_id"])
+        assert (mine["host"], mine["path"], mine["rule"]) == (host, path, rule)
+        assert mine["verdict"] == verdict if rule else mine["verdict"] in ("allow", "block")
+    assert not got
+
+
 def test_very_long_url(spark):
     url = "http://" + "a" * 50_000 + ".net/" + "b" * 200_000
     row = pages(spark, [url]).select(F.char_length(host_of(F.col("url"))), F.char_length(path_of(F.col("url")))).first()
