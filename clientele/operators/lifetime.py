@@ -321,36 +321,35 @@ def backtest(lines: DataFrame, valued: DataFrame, days: int = 90) -> DataFrame:
         F.sum("clv").alias("predicted"))
 
 
-def purchase_probabilities(model: PurchaseModel, t: float, most: int) -> np.ndarray:
-    """P(X(t) = x) for x = 0…most."""
+def purchase_probabilities(model: PurchaseModel, t: float | np.ndarray, most: int) -> np.ndarray:
+    """P(X(t) = x) for x = 0…most in the last dimension, for one t or an array of them."""
     r, alpha, a, b = model.r, model.alpha, model.a, model.b
     lg = lambda v: gamma_terms(v)[0]
-    x = np.arange(most + 1)
-    counting = np.exp(lg(r + x) - math.lgamma(r) - lg(x + 1.0) + r * math.log(alpha / (alpha + t))
-                      + (x * math.log(t / (alpha + t)) if t > 0 else np.where(x > 0, -np.inf, 0.0)))
+    t, x = np.asarray(t, dtype=float)[..., None], np.arange(most + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        growth = np.where(x == 0, 0.0, x * np.log(t / (alpha + t)))  # at t = 0 nobody has bought yet
+    counting = np.exp(lg(r + x) - math.lgamma(r) - lg(x + 1.0) + r * np.log(alpha / (alpha + t)) + growth)
     beta = lambda u, v: lg(u) + lg(v) - lg(u + v)
     base = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
-    stay = np.exp(beta(np.full(most + 1, a), b + x) - base) * counting
-    reached = 1.0 - np.concatenate([[0.0], np.cumsum(counting)[:-1]])
-    leave = np.zeros(most + 1)
+    total = np.exp(beta(np.full(most + 1, a), b + x) - base) * counting
     if most:
-        leave[1:] = np.exp(beta(np.full(most, a + 1.0), b + x[1:] - 1.0) - base) * reached[1:]
-    return stay + leave
+        reached = 1.0 - np.cumsum(counting, axis=-1)[..., :-1]
+        total[..., 1:] += np.exp(beta(np.full(most, a + 1.0), b + x[1:] - 1.0) - base) * reached
+    return total
 
 
 def calibration(summary: DataFrame, model: PurchaseModel, most: int = 20) -> DataFrame:
     """Customers by number of purchases (the last row is ``most`` and above): actual and expected.
 
-    Ages are compressed to their distinct values before the model is evaluated.
+    Ages are compressed to their distinct values before the model is evaluated, a batch at a time.
     """
     ages = summary.groupBy("age").agg(F.count("*").alias("n"))
 
     @F.pandas_udf("array<double>")
     def probabilities(age: pd.Series) -> pd.Series:
-        def whole(t):
-            p = purchase_probabilities(model, float(t), most - 1)
-            return [*p, max(0.0, 1.0 - float(p.sum()))]
-        return age.map(whole)
+        p = purchase_probabilities(model, age.to_numpy(dtype=float), most - 1)
+        rest = np.maximum(0.0, 1.0 - p.sum(axis=-1, keepdims=True))
+        return pd.Series(list(np.concatenate([p, rest], axis=-1)))
 
     expected = (ages.select("n", F.posexplode(probabilities("age")).alias("purchases", "p"))
                 .groupBy(F.col("purchases").cast("long").alias("purchases"))
