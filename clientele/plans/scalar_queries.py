@@ -61,11 +61,13 @@ def const_cast_concat(spark, sf):
 select event_id, ts as parsed, ts as parsed_iso, null::timestamp as unreadable,
        timestamp '2011-12-11 00:00:00' as fixed_day from events""")
 def parse_ts(spark, sf):
+    # The text of a time at a whole second has no point to put the digits behind.
+    text = F.col("ts").cast("string")
+    pointed = F.when(F.contains(text, F.lit(".")), text).otherwise(F.concat(text, F.lit(".")))
     return table(spark, sf, "events").select(
         "event_id",
-        S.parse_ts(F.rpad(F.col("ts").cast("string"), F.lit(26), F.lit("0")),
-                   "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("parsed"),
-        S.parse_ts(F.col("ts").cast("string")).alias("parsed_iso"),
+        S.parse_ts(F.rpad(pointed, F.lit(26), F.lit("0")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("parsed"),
+        S.parse_ts(text).alias("parsed_iso"),
         S.parse_ts("event_type").alias("unreadable"),
         S.as_of_literal(datetime(2011, 12, 11)).alias("fixed_day"))
 
