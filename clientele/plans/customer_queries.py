@@ -10,6 +10,7 @@ from clientele.operators import cleaning, customers, lifetime, profiling
 from clientele.operators.joins import attach
 from clientele.plans.oracle import CHURN, CLTV, LINES, METRICS, SCORES, SEGMENTS, TOTALS, with_
 from clientele.plans.registry import query
+from clientele.session import stage
 from clientele.sources.tables import order_lines, purchases
 from clientele.plans.oracle import PURCHASES
 
@@ -186,7 +187,8 @@ capped as (select customer_id, order_id, order_ts,
 def _retail(spark, sf):
     lines = order_lines(spark, sf).select(
         "customer_id", F.col("invoice"), "order_ts", "quantity", "unit_price")
-    clean = cleaning.retail_clean(lines).drop("total_price")
+    # The limits read the lines several times: a written table, so that lines and orders meet once.
+    clean = stage(cleaning.retail_clean(lines).drop("total_price"), "clean")
     capped = cleaning.winsorise(clean, cleaning.outlier_limits(clean, ["quantity", "unit_price"], 0.01, 0.99))
     return capped.withColumnRenamed("invoice", "order_id").withColumn(
         "value", F.col("quantity") * F.col("unit_price"))
