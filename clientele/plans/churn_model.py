@@ -15,6 +15,8 @@ from clientele.session import stage
 NOT_FEATURES = ("customer_id", "order_id", "product_id", "line_number", "invoice", "order_ts",
                 "ship_ts", "city", "churn")
 ALWAYS_NUMERIC = ("tax_ratio",)
+# Columns that stay beside the features.
+KEPT = ("customer_id", "order_id", "line_number", "value")
 
 
 def churn_frame(lines: DataFrame, noise: Sequence[tuple[int, float, int | None]] = (),
@@ -25,7 +27,7 @@ def churn_frame(lines: DataFrame, noise: Sequence[tuple[int, float, int | None]]
 
 
 def model_frame(frame: DataFrame, drop: Sequence[str] = features.LEAKING,
-                keep: Sequence[str] = ("customer_id", "order_id", "line_number", "value")
+                keep: Sequence[str] = KEPT
                 ) -> tuple[DataFrame, list[str]]:
     """Encode and scale what remains after ``drop`` and assemble it; also the feature names."""
     kept = {k: f"_keep_{k}" for k in keep}
