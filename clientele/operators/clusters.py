@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -24,15 +24,18 @@ METRICS = ("recency", "frequency", "monetary")
 
 def scaled_features(rfm: DataFrame, columns: Sequence[str] = METRICS) -> DataFrame:
     """The columns scaled to 0…1 as one vector; a stage, because every iteration reads it."""
-    scaled = minmax_scale(stage(rfm, "rfm"), columns, suffix="_scaled")
+    rfm = stage(rfm, "rfm")
+    scaled = minmax_scale(rfm, columns, suffix="_scaled")
     names = [f"{c}_scaled" for c in columns]
-    return stage(VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
-                 .drop(*names), "clusters")
+    made = VectorAssembler(inputCols=names, outputCol="features").transform(scaled).drop(*names)
+    return stage(made.repartition(_tasks(rfm, rfm.count())), "clusters")
 
 
 #: Points, about, that first centres are drawn from; they are chosen by hash and only shape the start.
 START_ROWS = 4_000
 TOLERANCE = 1e-4
+#: Points, about, that make a task of a round worth its start.
+ROUND_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +58,10 @@ def _first_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.n
 
 
 def _pass(data: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """(points per centre, sums of points per centre, cost) of each model, in one pass over ``data``."""
+    """(points per centre, sums of points per centre, cost) of each model, in one pass over ``data``.
+
+    ``data`` has a double column per coordinate and nothing else.
+    """
     d = next(iter(models.values())).shape[1]
     keys = sorted(models)
     bounds = np.cumsum([0, *[len(models[m]) for m in keys]])
@@ -66,9 +72,10 @@ def _pass(data: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np.
         every = shared.value
         squares = (every * every).sum(axis=1)
         n, total, cost = np.zeros(len(every)), np.zeros((len(every), d)), np.zeros(len(every))
-        for pdf in batches:
-            for first in range(0, len(pdf), 8192):
-                x = np.vstack(pdf["x"].iloc[first:first + 8192].to_numpy())
+        for batch in batches:
+            whole = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            for first in range(0, len(whole), 8192):
+                x = whole[first:first + 8192]
                 gap = squares - 2.0 * (x @ every.T)
                 own = (x * x).sum(axis=1)
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -77,16 +84,26 @@ def _pass(data: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np.
                     for i in range(d):
                         total[a:b, i] += np.bincount(at, x[:, i], b - a)
                     cost[a:b] += np.bincount(at, np.maximum(gap[np.arange(len(x)), a + at] + own, 0.0), b - a)
-        yield pd.DataFrame({"centre": np.arange(len(every)), "n": n, **dict(zip(sums, total.T)), "cost": cost})
+        columns = [np.arange(len(every), dtype=np.int32), n, *total.T, cost]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["centre", "n", *sums, "cost"])
 
-    made = data.select(vector_to_array("features").alias("x")).mapInPandas(
-        run, "centre int, n double, " + ", ".join(f"{c} double" for c in sums) + ", cost double")
+    made = data.mapInArrow(run, "centre int, n double, " + ", ".join(f"{c} double" for c in sums) + ", cost double")
     rows = made.groupBy("centre").agg(*[F.sum(c).alias(c) for c in ("n", *sums, "cost")]).toPandas().sort_values("centre")
     n, total, cost = rows["n"].to_numpy(), rows[sums].to_numpy(), rows["cost"].to_numpy()
     shared.unpersist()
     return {m: (n[a:b], total[a:b], float(cost[a:b].sum())) for m, a, b in zip(keys, bounds[:-1], bounds[1:])}
 
 
+def _tasks(df: DataFrame, rows: int) -> int:
+    return max(1, min(-(-rows // ROUND_ROWS), 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _coordinates(data: DataFrame, rows: int, d: int) -> DataFrame:
+    """A double column per coordinate, written in enough files that every core works in every round."""
+    x = vector_to_array("features")
+    return stage(data.select(*[x[i].alias(f"x{i}") for i in range(d)]).repartition(_tasks(data, rows)), "points")
+
+
 def fit_clusters(data: DataFrame, ks: Sequence[int], starts: int = 10, max_iter: int = 300,
                  seed: int = 10) -> dict[int, Clusters]:
     """For each k the model with the lowest cost of several starts, all advanced together.
@@ -105,6 +122,7 @@ def fit_clusters(data: DataFrame, ks: Sequence[int], starts: int = 10, max_iter:
         drawn = data.select(vector_to_array("features").alias("x")).limit(1).toPandas()["x"]
     points = np.array(sorted(map(tuple, drawn)))
     runs = [(k, s) for k in ks for s in range(starts)]
+    data = _coordinates(data, rows, points.shape[1])
     centres = {i: _first_centres(points, k, np.random.default_rng([seed, k, s])) for i, (k, s) in enumerate(runs)}
     moving, done = dict(centres), {}
     for step in range(1, max_iter + 2):
