@@ -4,8 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 
-from clientele.operators import fit_search, models
+from clientele.operators import all_row_fits, fit_search, models
 from clientele.operators.fit_search import Run
 from clientele.operators.metrics import class_metrics
 
@@ -46,3 +47,43 @@ def test_folds_of_a_vote_are_fitted_side_by_side(spark, data, monkeypatch):
         want = class_metrics(spark.createDataFrame(own)).first()
         assert got[k].model == "Voting"
         assert all(abs(got[k][c] - want[c]) < 1e-9 for c in ("accuracy", "f1", "precision", "recall", "auc"))
+
+
+def _dealt(spark, codes, y, parts=5):
+    cuts = np.array_split(np.random.default_rng(1).permutation(len(y)), parts + 2)
+    return spark.sparkContext.parallelize([(np.ascontiguousarray(codes[c].T), y[c]) for c in cuts], parts)
+
+
+def _same(got, want):
+    assert got[0] == pytest.approx(want[0]) and len(got[1]) == len(want[1])
+    for (w, a), (v, b) in zip(got[1], want[1]):
+        assert w == v and all((p == q).all() for p, q in zip(a[:3], b[:3])) and np.allclose(a[3], b[3])
+
+
+def test_fits_over_blocks_equal_fits_of_one_array(spark, data, monkeypatch):
+    monkeypatch.setattr(all_row_fits, "RENEW", 3)
+    fits = fit_search.fit_set(data)
+    base, y, rows = _dealt(spark, fits.codes, fits.label), fits.label, len(fits.label)
+    own = [Run("XGBoost", (("rounds", 5),)).settings(), Run("LightGBM", (("rounds", 7), ("min_rows", 9))).settings()]
+    for got, s in zip(all_row_fits._boosted(base, y.mean(), own), own):
+        _same(got, fit_search.fit_ensemble(s, fits.codes, y))
+    monkeypatch.setattr(all_row_fits, "JOB_BYTES", 1)
+    s = Run("CART", (("max_depth", 5), ("min_rows", 1))).settings()
+    _same((0.0, all_row_fits._forest(base, rows, y.mean(), 3, s)), fit_search.fit_ensemble(s, fits.codes, y))
+
+
+def test_a_vote_sees_all_rows_without_sparks_learners(spark, data):
+    score = models.voting(_voters())(data).score(data)
+    found = class_metrics(score).first()
+    assert found.auc > .95 and score.count() == 900
+    x = spark.range(40_000).selectExpr("array(cast(id as double), double(id > 2)) v", "double(id % 4 = 0 or id < 3) label")
+    rare = x.select(array_to_vector("v").alias("features"), "label")
+    assert [e[:1].tolist() for e in all_row_fits.edges_of(rare)] == [[0.0], [0.0]]  # three rows of 40 000 are told apart
+    assert sum(len(y) for _, y in all_row_fits.blocks_of(rare, all_row_fits.edges_of(rare)).collect()) == 40_000
+
+
+def test_votes_on_no_rows_and_on_one_class(spark, data):
+    voter = models.voting(_voters())
+    assert voter(data.limit(0)).score(data).where("prob is not null").count() == 0
+    ones = voter(data.where("label = 1")).score(data)
+    assert ones.where("prob < 0.999 or prob is null").count() == 0
